@@ -192,7 +192,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
                     key = (ids[t], index.items[item])
                     if key not in got or score > got[key][1]:
                         got[key] = (at, score, q, a)
-                yield pd.DataFrame([(*k, *v) for k, v in got.items()], columns=["d", "i", "w", "s", "q", "a"])
+                yield pd.DataFrame([(*k, *v) for k, v in got.items()], columns=[doc_id, "item_id", "word_at", "score", "question_overlap", "answer_overlap"])
 
         part = documents.select(doc_id, text).mapInPandas(run, schema)
         found = part if found is None else found.unionByName(part)
