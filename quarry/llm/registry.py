@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_NAMES = ("pieces", "neardup", "leaks", "residue", "subjects")
+_NAMES = ("pieces", "neardup", "leaks", "residue", "subjects", "pairs")
 
 
 def _parts() -> list:
