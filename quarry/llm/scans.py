@@ -10,6 +10,7 @@ their form and their distance from the pages of the chunk.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -39,6 +40,8 @@ _RIGHT = re.compile(r"\s*([^\W_]+(?:[!@][^\W_]+)*)")
 _PAGE = re.compile(r"^\s*(?:(?P<bare>\d{1,4})|(?P<square>\[\d{1,4}\])|(?P<dash>[-–—]\s?\d{1,4}\s?[-–—])|(?P<tilde>~\s?\d{1,4}\s?~)|(?P<word>(?:page|seite|página|p\.|s\.|pág\.)\s?\d{1,4}(?:\s(?:of|von|de|sur|/)\s\d{1,4})?)|(?P<part>\d{1,4}/\d{1,4}))\s*$", re.I)
 #: Forms that are page numbers wherever they stand alone in a line.
 PLAIN_FORMS = ("dash", "tilde", "word")
+#: Forms that are page numbers unless there are more of them than pages.
+COUNTED_FORMS = ("square", "part")
 _NUMBER = re.compile(r"\d+")
 _HEAD_NUMBER = re.compile(r"^\s*\d{1,4}\s{2,}|\s{2,}\d{1,4}\s*$")
 _DIGIT_IN = re.compile(r"(?<=[^\W\d_])[0156!@]|[0156!@](?=[^\W\d_])")
@@ -138,9 +141,9 @@ def evidence(text: str, path: str | None, common: frozenset[str]) -> Iterator[tu
         if named or breaks:
             skip.add(i)
         yield "head", key, _NUMBER.search(number[0])[0] if number else None, int(named), int(breaks)
-    bare = sum(f == "bare" for f, _ in pages)
+    alike = Counter(f for f, _ in pages)
     for form, n in pages:
-        yield "page", form, None, n, bare
+        yield "page", form, None, n, alike[form]
     for i, line in enumerate(lines[:-1]):
         if line.rstrip()[-1:] not in HYPHENS or not (m := _LEFT.search(line)):
             continue
@@ -184,14 +187,15 @@ def running_heads(found: DataFrame) -> DataFrame:
 def page_numbers(found: DataFrame, heads: DataFrame) -> DataFrame:
     """chunk_id, form, n: printed page numbers, alone in a line or in a running head.
 
-    A dashed or worded form always is one. A bare or bracketed number is one if it lies within the chunk's pages or as
-    far from them as that form does in another chunk of the document, and is not one of a column of numbers.
+    A dashed or worded form always is one, one in brackets or with the number of pages unless more of them stand in the
+    chunk than it has pages. A bare number is one if it lies within the chunk's pages or as far from them as in another
+    chunk of the document, and is not one of a column of numbers.
     """
-    alone = found.filter("kind = 'page'").select("chunk_id", "doc_id", F.col("a").alias("form"), F.col("x").alias("n"), F.col("y").alias("bare"), "lo", "hi").distinct()
-    sure = alone.filter(F.col("form").isin(*PLAIN_FORMS))
+    alone = found.filter("kind = 'page'").select("chunk_id", "doc_id", F.col("a").alias("form"), F.col("x").alias("n"), F.col("y").alias("alike"), "lo", "hi").distinct()
     span = F.col("hi") - F.col("lo")
-    few = (F.col("form") != "bare") | (F.col("bare") <= F.least(F.greatest(span, F.lit(0)) + 1, F.lit(3)))
-    rest = alone.filter(~F.col("form").isin(*PLAIN_FORMS) & few)
+    few = F.col("alike") <= F.least(F.greatest(F.coalesce(span, F.lit(1)), F.lit(0)) + 1, F.lit(3))
+    sure = alone.filter(F.col("form").isin(*PLAIN_FORMS) | (few & F.col("form").isin(*COUNTED_FORMS)))
+    rest = alone.filter((F.col("form") == "bare") & few)
     there = rest.filter(F.col("lo").isNotNull() & (span >= 0) & (span <= 50))
     inside = there.filter((F.col("n") >= F.col("lo")) & (F.col("n") <= F.col("hi")))
     far = there.withColumn("o", F.explode(F.expr("transform(sequence(lo, hi), p -> n - p)")))
