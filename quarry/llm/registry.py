@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_NAMES = ("pieces", "neardup", "leaks", "residue", "subjects", "pairs", "scans")
+_NAMES = ("pieces", "neardup", "leaks", "residue", "subjects", "pairs", "scans", "packing")
 
 
 def _parts() -> list:
