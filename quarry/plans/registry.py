@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import orphan_queries
+from quarry.plans import orphan_queries, text_queries
 
-_PARTS = (orphan_queries,)
+_PARTS = (orphan_queries, text_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
