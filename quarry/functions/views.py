@@ -9,8 +9,8 @@ from quarry.functions.text import chunk_key, extract_all, strip
 
 
 def chunk_rows(chunks: DataFrame) -> DataFrame:
-    """One row per chunk id with a text; repeated rows count once, ranges are the widest seen."""
-    return chunks.filter("text is not null").groupBy("chunk_id").agg(
+    """One row per chunk id (in canonical form) with a text; repeated rows count once, ranges are the widest seen."""
+    return chunks.filter("text is not null").groupBy(chunk_key(F.trim(F.lower("chunk_id"))).alias("chunk_id")).agg(
         F.min("doc_id").alias("doc_id"), F.min("text").alias("text"), F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"), F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end")
     )
 
@@ -25,7 +25,7 @@ def lines(documents: DataFrame) -> DataFrame:
 def facts(chunks: DataFrame, least: int = 30) -> DataFrame:
     """Sentences of chunks as facts: fact_id `{doc}_F%06d` by order in the document, chunk_id, doc_id, text, page_start, order_idx."""
     s = chunk_rows(chunks).select("chunk_id", "doc_id", "page_start", F.posexplode(F.transform(extract_all(F.col("text"), "[^.!?]+[.!?]+"), strip)).alias("i", "text")).filter(F.length("text") >= least)
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_id", "i"))
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("chunk_id"), "chunk_id", "i"))
     return s.withColumn("order_idx", order).select(F.format_string("%d_F%06d", "doc_id", "order_idx").alias("fact_id"), "chunk_id", "doc_id", "text", "page_start", "order_idx")
 
 

@@ -45,7 +45,7 @@ def rechunk(chunks: DataFrame, kind: str) -> DataFrame:
     pieces, least = (sentences(F.col("text")), 30) if kind == "sentence" else (paragraphs(F.col("text")), 50)
     kept = F.filter(pieces, lambda p: F.length(p) >= least)
     rows = chunks.select("doc_id", "chunk_id", F.posexplode(F.when(F.size(kept) > 0, kept).otherwise(F.array("text"))).alias("i", "text"))
-    return rows.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_id", "i")) - 1).alias("idx"), "text")
+    return rows.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("chunk_id"), "chunk_id", "i")) - 1).alias("idx"), "text")
 
 
 def sliding(documents: DataFrame, size: int = 256, overlap: int = 128) -> DataFrame:
