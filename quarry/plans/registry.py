@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import filter_queries, orphan_queries, text_queries
+from quarry.plans import filter_queries, orphan_queries, retrieval_queries, text_queries
 
-_PARTS = (orphan_queries, text_queries, filter_queries)
+_PARTS = (orphan_queries, text_queries, filter_queries, retrieval_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return orphan_queries.p2_counts(spark, d)
+    return retrieval_queries.ev_leaderboard(spark, d)
