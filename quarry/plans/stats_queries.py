@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import predicates as P
@@ -52,9 +52,19 @@ def ag_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return bs.groupBy("mode").agg(F.round(F.percentile("m", F.lit(0.025)), 5).alias("lo"), F.round(F.percentile("m", F.lit(0.975)), 5).alias("hi"))
 
 
-@q("ag_pearson", _rel_sql("").rstrip() + f",\n{_RP}\nSELECT mode, round(corr(r, p), 6) AS rho FROM rp GROUP BY 1")
+def pearson(x: str, y: str) -> Column:
+    """Correlation as an aggregate; null where a side doesn't vary."""
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when((F.round(F.stddev_pop(x), 9) > 0) & (F.round(F.stddev_pop(y), 9) > 0), F.round(F.try_divide(F.covar_pop(x, y), spread), 6))
+
+
+def _corr(x: str, y: str) -> str:
+    return f"CASE WHEN round(stddev_pop({x}), 9) > 0 AND round(stddev_pop({y}), 9) > 0 THEN round(covar_pop({x}, {y}) / (stddev_pop({x}) * stddev_pop({y})), 6) END"
+
+
+@q("ag_pearson", _rel_sql("").rstrip() + f",\n{_RP}\nSELECT mode, {_corr('r', 'p')} AS rho FROM rp GROUP BY 1")
 def ag_pearson(spark: SparkSession, d: str) -> DataFrame:
-    return _rp(spark, d).groupBy("mode").agg(F.round(F.corr("r", "p"), 6).alias("rho"))
+    return _rp(spark, d).groupBy("mode").agg(pearson("r", "p").alias("rho"))
 
 
 _QM = "qm AS (SELECT q_id, round(avg(r), 9) AS r, round(avg(p), 9) AS p FROM rp GROUP BY 1)"
@@ -67,12 +77,12 @@ def _average_rank(rows: DataFrame, value: str) -> DataFrame:
     return c.select(value, (before + (F.col("c") + 1) / 2).alias(f"rank_{value}"))
 
 
-@q("ag_spearman", _rel_sql("").rstrip() + f",\n{_RP}, {_QM}\nSELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM (SELECT rank() OVER (ORDER BY r) + (count(*) OVER (PARTITION BY r) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS b FROM qm)")
+@q("ag_spearman", _rel_sql("").rstrip() + f",\n{_RP}, {_QM}\nSELECT count(*) AS n, {_corr('a', 'b')} AS rho FROM (SELECT rank() OVER (ORDER BY r) + (count(*) OVER (PARTITION BY r) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS b FROM qm)")
 def ag_spearman(spark: SparkSession, d: str) -> DataFrame:
     """Rank correlation with average ranks. Only the distinct values are ordered in one place, never the rows."""
     m = _rp(spark, d).groupBy("q_id").agg(F.round(F.avg("r"), 9).alias("r"), F.round(F.avg("p"), 9).alias("p"))
     both = m.join(_average_rank(m, "r"), "r").join(_average_rank(m, "p"), "p")
-    return both.agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("rank_r", "rank_p"), 6).alias("rho"))
+    return both.agg(F.count(F.lit(1)).alias("n"), pearson("rank_r", "rank_p").alias("rho"))
 
 
 @q("ag_kendall", _rel_sql("").rstrip() + f",\n{_RP}, dm AS (SELECT substr(q_id, 1, 1) AS d, round(avg(r), 9) AS r, round(avg(p), 9) AS p FROM rp GROUP BY 1)\nSELECT count(*) AS n_pairs, round(sum(sign((a.r - b.r) * (a.p - b.p))) / count(*), 6) AS tau FROM dm a JOIN dm b ON a.d < b.d")
