@@ -126,7 +126,7 @@ def configurations(histogram: dict[int, int], capacity: int, rounds: int = ROUND
     uses: dict[tuple, float] = {}
     cover = np.zeros(len(lengths))
     for _ in range(rounds):
-        a = best_configuration(lengths, np.exp(weight - step * cover), capacity)
+        a = best_configuration(lengths, np.exp(weight - step * (cover - cover.min())), capacity)
         a = {k: min(n, int(h[k])) for k, n in a.items()}
         width = 0.5 * min(h[k] / n for k, n in a.items())
         key = tuple(sorted(a.items()))
