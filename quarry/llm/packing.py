@@ -26,7 +26,7 @@ TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 ROUNDS, STEP = 300, 1.0
 SCALES = (1.0, 0.9, 0.75, 0.5, 0.25, 0.0)
 #: Classes of lengths of one program; a class counts as its longest length.
-CLASSES = 256
+CLASSES = 1024
 #: Items of one length that are ranked by one task, about.
 RANKED = 500_000
 
