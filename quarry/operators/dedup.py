@@ -41,7 +41,7 @@ def allocate(counts: DataFrame, key: str, n: str, budget: int) -> DataFrame:
     One pass gives every remainder its unit; the place in the order of remainders comes from a range-partitioned sort.
     """
     total = counts.agg(F.coalesce(F.sum(n), F.lit(0)).alias("total"))
-    c = counts.crossJoin(F.broadcast(total)).withColumn("quota", F.lit(float(budget)) * F.col(n) / F.greatest(F.col("total"), F.lit(1)))
+    c = counts.withColumn("total", total.scalar()).withColumn("quota", F.lit(float(budget)) * F.col(n) / F.greatest(F.col("total"), F.lit(1)))
     c = c.withColumn("base", F.when(F.lit(budget) >= F.col("total"), F.col(n)).otherwise(F.least(F.col(n), F.floor("quota")))).withColumn("frac", F.round(F.col("quota") - F.floor("quota"), 9))
     spare = c.agg((F.least(F.lit(budget), F.max("total")) - F.sum("base")).alias("spare"))
     room = c.filter(F.col("base") < F.col(n))

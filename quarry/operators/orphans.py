@@ -69,8 +69,7 @@ def orphans(refs: DataFrame, known: DataFrame) -> DataFrame:
     partial counts, and the join back broadcasts its one row.
     """
     found = cut(suspects(refs, known))
-    total = found.agg(F.sum("n").alias("t"))
-    hot = found.join(F.broadcast(total), F.col("n") * HOT_SHARE >= F.col("t")).filter("n > 1000").select("ref_field", "key")
+    hot = found.filter((F.col("n") > 1000) & (F.col("n") * HOT_SHARE >= found.agg(F.sum("n")).scalar())).select("ref_field", "key")
     facts = found.select("ref_field", "key", "is_parent", "always", "dead", "since", "until")
     rows = skew_join(refs, facts, ["ref_field", "key"], hot)
     state = (

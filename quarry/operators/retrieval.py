@@ -33,12 +33,13 @@ def bm25(queries: DataFrame, units: DataFrame, within: tuple[str, ...] = (), que
     Everything is an equi-join on the token; the query side is what the caller states and is never multiplied by all units.
     """
     keys = list(within)
-    post, dl = postings(units, unit, keep=within), lengths(units, unit, keep=within)
-    stats = dl.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.sum("dl") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("avgdl"))
+    post = postings(units.withColumn("dl", F.size(tokens(F.col("text")))), unit, keep=(*within, "dl"))  # lengths travel with the postings
+    stats = lengths(units, unit, keep=within).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.sum("dl") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("avgdl"))
     df = post.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("df"))
     asked = queries.select(*query, *keys, F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    idf = (df.join(stats, keys) if keys else df.crossJoin(F.broadcast(stats))).select(*keys, "token", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
-    met = asked.join(idf, [*keys, "token"]).join(post, [*keys, "token"]).join(dl, [unit, *keys])
+    one = df.join(stats, keys) if keys else df.withColumns({"n": stats.select("n").scalar(), "avgdl": stats.select("avgdl").scalar()})
+    idf = one.select(*keys, "token", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+    met = asked.join(idf, [*keys, "token"]).join(post, [*keys, "token"])
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return met.groupBy(*query, unit).agg(F.round(F.sum(part), 6).alias("score"))
 

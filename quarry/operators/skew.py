@@ -15,8 +15,8 @@ def hot_keys(rows: DataFrame, keys: list[str], share: int = HOT_SHARE) -> DataFr
     Counts are combined on the map side first. Null keys count as a key. An empty input has no hot key.
     """
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total = rows.agg(F.count(F.lit(1)).alias("__t"))
-    return counts.join(F.broadcast(total), F.col("__n") * share >= F.col("__t")).filter("__n > 1").select(*keys)
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    return counts.filter((F.col("__n") > 1) & (F.col("__n") * share >= total)).select(*keys)
 
 
 def skew_join(rows: DataFrame, facts: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:

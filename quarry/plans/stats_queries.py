@@ -215,7 +215,7 @@ def dd_category_caps(spark: SparkSession, d: str) -> DataFrame:
 def dd_kind_deficit(spark: SparkSession, d: str) -> DataFrame:
     """How far each kind falls short of its share."""
     c = V.questions(table(spark, d, "questions")).groupBy("hop_type").agg(F.count(F.lit(1)).alias("c"))
-    return c.crossJoin(F.broadcast(c.agg(F.sum("c").alias("t")))).select("hop_type", F.round(0.25 - F.col("c") / F.col("t"), 6).alias("deficit"))
+    return c.select("hop_type", F.round(0.25 - F.col("c") / c.agg(F.sum("c")).scalar(), 6).alias("deficit"))
 
 
 @q("dd_depth_targets", "SELECT depth, greatest(1, round_even(200 * frac * 1.5::DOUBLE, 0)::INT) AS n FROM (VALUES (1, 0.5::DOUBLE), (2, 0.35::DOUBLE), (3, 0.15::DOUBLE), (4, 0.0::DOUBLE)) v(depth, frac)")
