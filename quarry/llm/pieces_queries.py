@@ -13,8 +13,7 @@ from quarry.session import table
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     """Pieces of every oversized chunk. Texts within the smallest size are dropped before the join."""
     chunks, sizes = table(spark, d, "chunks"), latest_sizes(table(spark, d, "chunk_results"))
-    least = sizes.agg(F.min("chunk_size").alias("least"))
-    long = chunks.select("chunk_id", "doc_id", "text").join(F.broadcast(least), F.length("text") > F.col("least")).drop("least")
+    long = chunks.select("chunk_id", "doc_id", "text").filter(F.length("text") > sizes.agg(F.min("chunk_size")).scalar())
     joined = skew_join(long, sizes, ["doc_id"], hot_keys(chunks, ["doc_id"]))
     over = joined.filter(F.length("text") > F.col("chunk_size")).dropDuplicates(["chunk_id", "text"])
     return split_oversized(over).drop("text")

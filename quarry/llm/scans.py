@@ -72,8 +72,7 @@ def vocabulary(chunks: DataFrame) -> DataFrame:
 
 
 def frequent(words: DataFrame) -> DataFrame:
-    total = words.agg(F.sum("n").alias("t"))
-    return words.join(F.broadcast(total), (F.col("n") * SHARE >= F.col("t")) & (F.col("n") >= FLOOR)).drop("t")
+    return words.filter((F.col("n") >= FLOOR) & (F.col("n") * SHARE >= words.agg(F.sum("n")).scalar()))
 
 
 def corrections(words: DataFrame, common: DataFrame) -> DataFrame:
