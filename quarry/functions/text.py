@@ -111,7 +111,13 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def share_held(unit: Column, held: Column) -> Column:
     """Share of the unit's tokens, repeats counted, that `held` has; 0 for an empty unit."""
-    return F.when(F.size(unit) > 0, F.size(F.filter(unit, lambda t: F.array_contains(held, t))) / F.size(unit)).otherwise(F.lit(0.0))
+    return F.when(F.size(unit) > 0, count_held(unit, held) / F.size(unit)).otherwise(F.lit(0.0))
+
+
+def count_held(unit: Column, held: Column) -> Column:
+    """How many of the unit's tokens, repeats counted, `held` has. The long side is hashed once; the rest is within the unit."""
+    once = F.transform(F.array(F.array_intersect(unit, held)), lambda both: F.size(F.filter(unit, lambda t: F.array_contains(both, t))))
+    return F.element_at(once, 1)
 
 
 def share_held_set(unit: Column, held: Column) -> Column:

@@ -94,9 +94,8 @@ def sweep(at: DataFrame) -> DataFrame:
 def unit_hits(units: DataFrame, lists: DataFrame) -> DataFrame:
     """ret_id, unit_id, held, hit: the best share of each unit's tokens (repeats counted) in one chunk of each list.
 
-    units: q_id, unit_id, unit; lists: ret_id, q_id, rank, text.
+    units: q_id, unit_id, unit; lists: ret_id, q_id, rank, ct (a chunk's distinct tokens).
     """
     u = units.select("q_id", "unit_id", tokens(F.col("unit")).alias("ut"))
-    c = lists.select("ret_id", "q_id", "rank", F.array_distinct(tokens(F.col("text"))).alias("ct"))
-    share = share_held(F.col("ut"), F.col("ct"))
-    return c.join(u, "q_id").groupBy("ret_id", "q_id", "unit_id").agg(F.max(share).alias("held"), F.min(F.when(share >= HELD, F.col("rank"))).alias("rank")).withColumn("hit", F.col("rank").isNotNull())
+    met = lists.select("ret_id", "q_id", "rank", "ct").join(u, "q_id").withColumn("share", share_held(F.col("ut"), F.col("ct")))
+    return met.groupBy("ret_id", "q_id", "unit_id").agg(F.max("share").alias("held"), F.min(F.when(F.col("share") >= HELD, F.col("rank"))).alias("rank")).withColumn("hit", F.col("rank").isNotNull())

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from quarry.functions.text import tokens
 
 K1, B, RRF_K = 1.5, 0.75, 60
+#: Queries whose tokens are broadcast, at most.
+QUERIES = 2000
 #: Query vectors that a task holds at once; more of them are searched block by block.
 QUERY_BLOCK = 4096
 
@@ -31,15 +33,20 @@ def bm25(queries: DataFrame, units: DataFrame, within: tuple[str, ...] = (), que
     queries: query columns, `within`, text; units: unit, `within`, text. With `within`, numbers of units, frequencies and
     mean lengths are those of each group, and a query meets its own group's units only. Distinct query tokens count.
     Everything is an equi-join on the token; the query side is what the caller states and is never multiplied by all units.
+    Up to QUERIES queries their weighted tokens are broadcast, and units that come partitioned by `unit` (or that are put so
+    once) are scored without another shuffle; more queries are joined by shuffling the postings on the token.
     """
     keys = list(within)
+    few = not keys and queries.limit(QUERIES + 1).count() <= QUERIES
     post = postings(units.withColumn("dl", F.size(tokens(F.col("text")))), unit, keep=(*within, "dl"))  # lengths travel with the postings
     stats = lengths(units, unit, keep=within).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.sum("dl") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("avgdl"))
-    df = post.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("df"))
     asked = queries.select(*query, *keys, F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+    met = post.join(F.broadcast(asked.select("token").distinct()), "token", "left_semi") if few else post
+    df = met.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("df"))
     one = df.join(stats, keys) if keys else df.withColumns({"n": stats.select("n").scalar(), "avgdl": stats.select("avgdl").scalar()})
     idf = one.select(*keys, "token", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
-    met = asked.join(idf, [*keys, "token"]).join(post, [*keys, "token"])
+    weighted = asked.join(idf, [*keys, "token"])
+    met = met.join(F.broadcast(weighted) if few else weighted, [*keys, "token"])
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return met.groupBy(*query, unit).agg(F.round(F.sum(part), 6).alias("score"))
 

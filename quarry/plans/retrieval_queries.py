@@ -116,8 +116,9 @@ _CAND = f"""ca AS (SELECT rk.ret_id, rk.rank, rk.chunk_id, ch.page_start, len(li
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     """Retrieved chunks with the share of their question's tokens that they hold."""
     u = V.questions(table(spark, d, "questions")).filter("question is not null").select("q_id", "question", F.array_distinct(T.tokens(F.col("question"))).alias("qt"))
-    c = V.ranked(table(spark, d, "retrievals")).join(u, "q_id").join(_chunks(spark, d).select("chunk_id", "text", "page_start"), "chunk_id")
-    return c.withColumn("overlap", F.size(F.array_intersect("qt", F.array_distinct(T.tokens(F.col("text"))))) / F.greatest(F.lit(1), F.size("qt")))
+    held = _chunks(spark, d).select("chunk_id", "text", "page_start", F.array_distinct(T.tokens(F.col("text"))).alias("ct"))
+    c = V.ranked(table(spark, d, "retrievals")).join(u, "q_id").join(held, "chunk_id")
+    return c.withColumn("overlap", F.size(F.array_intersect("qt", "ct")) / F.greatest(F.lit(1), F.size("qt")))
 
 
 @q("rt_rerank_overlap", with_("rk qu ch", "").rstrip() + f",\n{_CAND}\nSELECT ret_id, chunk_id, score, rank FROM (SELECT ret_id, chunk_id, round(overlap, 6) AS score, row_number() OVER (PARTITION BY ret_id ORDER BY round(overlap, 6) DESC, chunk_id) AS rank FROM ca) WHERE rank <= 3")
@@ -214,7 +215,7 @@ def _held(spark: SparkSession, d: str) -> DataFrame:
 @q("jo_containment_repeats", with_("go ch qu", "").rstrip() + f",\n{_UNIT}\nSELECT q_id, chunk_id, round(len(list_filter(ut, lambda x: list_contains(ct, x)))::DOUBLE / len(ut), 6) AS held, len(list_filter(ut, lambda x: list_contains(ct, x))) >= len(ut) * 0.6::DOUBLE AS hit FROM hi")
 def jo_containment_repeats(spark: SparkSession, d: str) -> DataFrame:
     s = T.share_held(F.col("ut"), F.col("ct"))
-    return _held(spark, d).select("q_id", "chunk_id", F.round(s, 6).alias("held"), (F.size(F.filter("ut", lambda x: F.array_contains("ct", x))) >= F.size("ut") * 0.6).alias("hit"))
+    return _held(spark, d).select("q_id", "chunk_id", F.round(s, 6).alias("held"), (T.count_held(F.col("ut"), F.col("ct")) >= F.size("ut") * 0.6).alias("hit"))
 
 
 @q("jo_containment_distinct", with_("go ch qu", "").rstrip() + f",\n{_UNIT}\nSELECT q_id, chunk_id, round(len(list_intersect(list_distinct(ut), ct))::DOUBLE / len(list_distinct(ut)), 6) AS held FROM hi")
@@ -316,7 +317,7 @@ def ev_by_hop_type(spark: SparkSession, d: str) -> DataFrame:
 def ev_clause_scores(spark: SparkSession, d: str) -> DataFrame:
     """Clauses of the gold answer found in one retrieved chunk each, by token containment."""
     units = V.questions(table(spark, d, "questions")).select("q_id", F.posexplode(T.extract_all(F.col("answer"), "[^.!?]+[.!?]+")).alias("unit_id", "unit")).filter(F.size(T.tokens(F.col("unit"))) > 0)
-    lists = V.ranked(table(spark, d, "retrievals")).join(_chunks(spark, d).select("chunk_id", "text"), "chunk_id")
+    lists = V.ranked(table(spark, d, "retrievals")).join(_chunks(spark, d).select("chunk_id", F.array_distinct(T.tokens(F.col("text"))).alias("ct")), "chunk_id")
     h = M.unit_hits(units, lists)
     return h.groupBy("ret_id", "q_id").agg(F.count(F.lit(1)).alias("n_units"), F.round(F.avg(F.col("hit").cast("double")), 6).alias("recall"), F.bool_and("hit").alias("hit"))
 
