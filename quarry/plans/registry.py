@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import event_queries, filter_queries, graph_queries, orphan_queries, retrieval_queries, stats_queries, text_queries
+from quarry.plans import event_queries, filter_queries, graph_queries, mapping_queries, orphan_queries, retrieval_queries, stats_queries, text_queries
 
-_PARTS = (orphan_queries, text_queries, filter_queries, retrieval_queries, graph_queries, stats_queries, event_queries)
+_PARTS = (orphan_queries, text_queries, filter_queries, retrieval_queries, graph_queries, stats_queries, event_queries, mapping_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
