@@ -202,27 +202,3 @@ def pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     linked = links.join(a, "a").join(b, "b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).filter("id_a < id_b")
     same = a.join(b.withColumnRenamed("b", "a"), "a").filter("id_a < id_b").select("id_a", "id_b")
     return linked.unionByName(same).distinct()
-
-
-def components(nodes: DataFrame, links: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, group: the least node that links lead to, by stars pointed at ever smaller nodes; nodes: node; links: a, b.
-
-    Alternates large and small stars until nothing changes; each round is a few equi-joins and is written to the
-    shared folder. No component is gathered in one place.
-    """
-    edges = cut(links.select("a", "b").filter("a <> b").distinct())
-    mark = None
-    for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("x"), F.col("m").alias("y"))
-        e = large.filter("x <> y").distinct()
-        down = e.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select(F.col("b").alias("x"), F.col("m").alias("y")).unionByName(low.select(F.col("a").alias("x"), F.col("m").alias("y")))
-        edges = cut(small.filter("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
-        now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if now == mark:
-            break
-        mark = now
-    return nodes.join(edges.select(F.col("a").alias("node"), F.col("b").alias("g")), "node", "left").groupBy("node").agg(F.coalesce(F.min("g"), F.col("node")).alias("group"))

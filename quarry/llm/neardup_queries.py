@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.neardup import components, near_duplicates, pairs
+from quarry.llm.neardup import near_duplicates, pairs
+from quarry.operators.components import components
 from quarry.session import cut, table
 
 

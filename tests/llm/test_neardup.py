@@ -71,10 +71,3 @@ def test_index_loses_no_close_pair():
     i, j = N.near(codes, n, np.zeros(300, int), False, 0.8)
     want = {(a, b) for a, b in itertools.combinations(range(300), 2) if np.bitwise_count(codes[a] ^ codes[b]).sum() <= 4}
     assert {tuple(sorted(x)) for x in zip(i.tolist(), j.tolist())} == want
-
-
-def test_components(spark):
-    nodes = spark.createDataFrame([(x,) for x in "abcdefgh"], "node string")
-    links = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c"), ("f", "e"), ("a", "d")], "a string, b string")
-    got = {r.node: r.group for r in N.components(nodes, links).collect()}
-    assert got == {"a": "a", "b": "a", "c": "a", "d": "a", "e": "e", "f": "e", "g": "g", "h": "h"}
