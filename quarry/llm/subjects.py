@@ -21,6 +21,10 @@ SAMPLE = 4000
 UNLABELLED = 2000
 #: Sentences of the sample that are fitted on, at most.
 SENTENCES = 60_000
+#: Passes over the sentences, and batches at least, of a fit.
+EPOCHS, STEPS = 10, 1000
+#: By how much a document's sentences must on average speak against its label (log probability) for it to be given up.
+DOUBT = 2.5
 #: A document has a subject from this share of its sentences on.
 SHARE = 0.25
 
@@ -165,16 +169,24 @@ def fit(rows: list[tuple[str, tuple[str, ...]]], subjects: list[str], more: list
         t = Tokens(t.codes[: t.starts[m]], t.starts[: m + 1], t.doc[:m])
     ids, starts = features(t)
     known = int(np.searchsorted(t.doc, len(single)))
-    label = np.array([next(iter(l)) for _, l in single])[t.doc[:known]]
-    model.w, model.bias = train(ids[: starts[known]], starts[: known + 1], np.eye(k, dtype=np.float32)[label], 1 << BITS)
-    for _ in range(rounds - 1):
+    given = np.array([next(iter(l)) for _, l in single])
+    label, use = given[t.doc[:known]], known
+    for turn in range(rounds):
+        share = np.bincount(label, minlength=k) / len(label)
+        even = np.sqrt(1 / np.maximum(share, 0.01))  # rare subjects count more
+        model.w, model.bias = train(ids[: starts[use]], starts[: use + 1], np.eye(k, dtype=np.float32)[label], 1 << BITS, epochs=EPOCHS, steps=STEPS, weight=(even / even.mean())[label].astype(np.float32))
         z = scores(model.w, model.bias, ids, starts)
-        z -= np.log(np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)) + z.max(axis=1, keepdims=True)
+        z = z - z.max(axis=1, keepdims=True)
+        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
         whole = np.zeros((int(t.doc[-1]) + 1, k), np.float32)
         np.add.at(whole, t.doc, np.maximum(z, -6))
-        of_doc, best = whole.argmax(axis=1)[t.doc], z.argmax(axis=1)
-        label = np.where(z[np.arange(len(z)), best] > z[np.arange(len(z)), of_doc] + 2.0, best, of_doc)
-        model.w, model.bias = train(ids, starts, np.eye(k, dtype=np.float32)[label], 1 << BITS)
+        whole /= np.maximum(1, np.bincount(t.doc, minlength=len(whole)))[:, None]
+        of_doc = whole.argmax(axis=1)
+        n = min(len(given), len(of_doc))
+        doubt = whole[np.arange(n), of_doc[:n]] - whole[np.arange(n), given[:n]] > DOUBT
+        of_doc[:n] = np.where(doubt, of_doc[:n], given[:n])  # a given label stays unless its sentences speak clearly against it
+        of, best = of_doc[t.doc], z.argmax(axis=1)
+        label, use = np.where(z[np.arange(len(z)), best] > z[np.arange(len(z)), of] + 2.0, best, of), len(t.doc)
     texts, truth = [x for x, _ in held], [l for _, l in held]
     t = sentences(texts)
     if len(t.doc):
