@@ -19,6 +19,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from quarry.llm.batches import parts
+
 RUN = 12
 #: A window's words; windows start every WINDOW - RUN + 1 words, so every run of RUN words lies in one.
 WINDOW = 16
@@ -185,7 +187,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
 
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             index = held.value
-            for p in batches:
+            for p in parts(batches):
                 ids = p.iloc[:, 0].values
                 got = {}
                 for t, item, at, score, q, a in scan(index, p.iloc[:, 1].tolist()):

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import cut
+from quarry.session import stored
 
 #: Words in more sets than this don't key a bucket alone but together with a second word.
 COMMON = 2000
@@ -171,7 +171,7 @@ def similar_sets(classes: DataFrame, s: float = 0.8) -> DataFrame:
         F.transform(F.filter(first, lambda x: x["df"] > COMMON), lambda x: F.transform(F.filter(more, lambda y: y["h"] != x["h"]), lambda y: F.xxhash64(F.least(x["h"], y["h"]), F.greatest(x["h"], y["h"]))))
     )
     short = F.transform(F.filter(first, lambda x: (x["df"] > COMMON) & (n < 2)), lambda x: x["h"])
-    entries = cut(head.select("sid", "n", "hi", "lo", F.explode(F.array_distinct(F.concat(alone, both, short))).alias("k")))
+    entries = stored(head.select("sid", "n", "hi", "lo", F.explode(F.array_distinct(F.concat(alone, both, short))).alias("k")))
     total = entries.count()
     most = max(BLOCK, -(-total // 4096))
     sizes = entries.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
@@ -191,7 +191,7 @@ def near_duplicates(rows: DataFrame, row_id: str, text: str, s: float = 0.8) ->
     Null ids, null texts and texts without a word belong to no set. Repeated rows count once. An empty table gives no
     members and no links. Copies are one set and are not paired with each other here.
     """
-    m = cut(sets(rows, row_id, text))
+    m = stored(sets(rows, row_id, text))
     classes = m.groupBy("sid").agg(F.first("ws").alias("ws"))
     return m.select("id", "sid"), similar_sets(classes, s)
 

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.batches import parts
 from quarry.llm.linear import best_threshold, scores, train
 
 BITS = 17
@@ -225,7 +226,7 @@ def classify(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: s
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = held.value
-        for p in batches:
+        for p in parts(batches):
             part, n = shares(m, p.iloc[:, 1].tolist())
             d, s = np.nonzero((part >= share - 1e-9) & (part > 0))
             yield pd.DataFrame({"doc_id": p.iloc[:, 0].values[d], "subject": np.array(m.subjects, dtype=object)[s], "share": part[d, s], "sentences": n[d]})

@@ -52,3 +52,13 @@ def test_operator(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in got} == {(7, 1), (9, 4)} and len(got) == 2
     assert next(r for r in got if r.item_id == 1).answer_overlap == 1.0
     assert L.leaks(d.limit(0), i).count() == 0 and L.leaks(d, i.limit(0)).count() == 0
+
+
+def test_batches_are_cut_by_characters():
+    import pandas as pd
+
+    from quarry.llm.batches import parts
+
+    p = pd.DataFrame({"i": range(6), "t": ["aa", None, "bbbb", "c" * 99, "", "dd"]})
+    got = list(parts(iter([p, p.iloc[:0]]), chars=5))
+    assert [g.i.tolist() for g in got] == [[0, 1], [2], [3], [4, 5], []]
