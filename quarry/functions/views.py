@@ -16,10 +16,13 @@ def chunk_rows(chunks: DataFrame) -> DataFrame:
 
 
 def lines(documents: DataFrame) -> DataFrame:
-    """doc_id, line_idx, text, char_start, page_no: lines of documents with running offsets; three lines make a page."""
-    rows = documents.filter("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_idx", "text"))
+    """doc_id, line_idx, text, n_chars, char_start, page_no: lines of documents with running offsets; three lines make a page.
+
+    Lengths are taken before the window, so a query that doesn't ask for the text doesn't shuffle it.
+    """
+    rows = documents.filter("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_idx", "text")).withColumn("n_chars", F.length("text"))
     before = Window.partitionBy("doc_id").orderBy("line_idx").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("doc_id", "line_idx", "text", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).alias("char_start"), (F.floor(F.col("line_idx") / 3) + 1).cast("int").alias("page_no"))
+    return rows.select("doc_id", "line_idx", "text", "n_chars", F.coalesce(F.sum(F.col("n_chars") + 1).over(before), F.lit(0)).alias("char_start"), (F.floor(F.col("line_idx") / 3) + 1).cast("int").alias("page_no"))
 
 
 def facts(chunks: DataFrame, least: int = 30) -> DataFrame:

@@ -66,12 +66,12 @@ def pack_units(sizes: list[int], limit: int) -> list[int]:
     return out
 
 
-def pack_lines(rows: DataFrame, limit: int, key: str = "doc_id", order: str = "line_idx", text: str = "text", page: str = "page_no") -> DataFrame:
+def pack_lines(rows: DataFrame, limit: int, key: str = "doc_id", order: str = "line_idx", size: str = "n_chars", page: str = "page_no") -> DataFrame:
     """doc_id, idx, n_units, n_chars, page_start, page_end: units packed greedily in order and never cut.
 
     A fold over each document's units, in the JVM; what it gathers is as long as the document.
     """
-    units = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.length(text).alias("n"), F.col(page).alias("p")))).alias("u"))
+    units = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).alias("n"), F.col(page).alias("p")))).alias("u"))
     zero = F.expr("cast(array() as array<struct<n_units:int,n_chars:int,page_start:int,page_end:int>>)")
 
     def add(acc: Column, u: Column) -> Column:

@@ -47,7 +47,7 @@ def io_dropped_pages(spark: SparkSession, d: str) -> DataFrame:
 
 @q("io_line_offsets", with_("li", "SELECT doc_id, line_idx, char_start, length(text) AS n_chars, page_no FROM li"))
 def io_line_offsets(spark: SparkSession, d: str) -> DataFrame:
-    return V.lines(table(spark, d, "documents")).select("doc_id", "line_idx", "char_start", F.length("text").alias("n_chars"), "page_no")
+    return V.lines(table(spark, d, "documents")).select("doc_id", "line_idx", "char_start", "n_chars", "page_no")
 
 
 @q("io_artifact_key", "SELECT doc_id, sha256(concat_ws('|', doc_id::VARCHAR, coalesce(title, ''), text))[1:16] AS artifact FROM documents WHERE text IS NOT NULL")
@@ -195,7 +195,7 @@ def tx_sliding_windows(spark: SparkSession, d: str) -> DataFrame:
 @q("tx_chunk_pages", with_("ch li", """SELECT chunk_id, list_sort(list(DISTINCT li.page_no)) AS pages, sum(least(ch.char_end, li.char_start + length(li.text)) - greatest(ch.char_start, li.char_start))::BIGINT AS unit_chars
   FROM ch JOIN li ON li.doc_id = ch.doc_id AND li.char_start + length(li.text) > ch.char_start AND li.char_start < ch.char_end GROUP BY 1"""))
 def tx_chunk_pages(spark: SparkSession, d: str) -> DataFrame:
-    units = V.lines(table(spark, d, "documents")).select("doc_id", "char_start", (F.col("char_start") + F.length("text")).alias("char_end"), "page_no")
+    units = V.lines(table(spark, d, "documents")).select("doc_id", "char_start", (F.col("char_start") + F.col("n_chars")).alias("char_end"), "page_no")
     return C.pages_of(V.chunk_rows(table(spark, d, "chunks")).select("chunk_id", "doc_id", "char_start", "char_end"), units)
 
 

@@ -74,7 +74,7 @@ def test_pack_units_never_splits_or_overfills(sizes):
 
 def test_pack_lines_equals_fold(spark):
     rows = [(1, i, "x" * n, i // 3) for i, n in enumerate([30, 30, 60, 5, 5, 5, 200, 1])] + [(2, 0, "", 0)]
-    d = spark.createDataFrame(rows, "doc_id long, line_idx int, text string, page_no int")
+    d = spark.createDataFrame(rows, "doc_id long, line_idx int, text string, page_no int").withColumn("n_chars", F.length("text"))
     got = [(r.doc_id, r.idx, r.n_units, r.n_chars) for r in C.pack_lines(d, 64).orderBy("doc_id", "idx").collect()]
     want, sizes = [], [30, 30, 60, 5, 5, 5, 200, 1]
     g = C.pack_units(sizes, 64)
