@@ -42,6 +42,13 @@ REFUSALS = {
     "fr": """Je suis désolé, je ne peux pas répondre à cette question.|Je préfère ne pas répondre à cette demande.|Les extraits fournis ne permettent pas de répondre.|Je ne sais pas, veuillez consulter un expert.|Je ne suis pas en mesure d'aider sur ce point.|Le contexte ne contient pas la réponse.|Désolé, je dois refuser cette demande.|Les informations sont insuffisantes pour répondre.|En tant qu'assistant, je ne peux pas donner d'avis.""",
     "es": """Lo siento, no puedo responder a esa pregunta.|Prefiero no contestar a esta solicitud.|El contexto no basta para dar una respuesta.|No lo sé, consulte a un experto.|No puedo ayudar con eso.|Los fragmentos no permiten responder.|Debo rechazar esta solicitud.|No hay información suficiente para contestar.|Como asistente no puedo dar consejos sobre este asunto.""",
 }
+# Sound answers that deny or forbid something, so that a negation alone is no refusal.
+DENIALS = {
+    "en": """The cover cannot be opened before the pump has stopped.|It must not be stored near heat.|No, the limit does not apply to spare parts.|The test is not repeated if the first result is sound.|The valve can't be reached without a ladder.|Nothing in the report changes the limit.|The crew is unable to start the motor while the door is open.|There is no second inspection after the first year.""",
+    "de": """Der Deckel kann erst geöffnet werden, wenn die Pumpe steht.|Das Bauteil darf nicht neben Wärmequellen lagern.|Nein, der Grenzwert gilt nicht für Ersatzteile.|Die Prüfung wird nicht wiederholt, wenn das erste Ergebnis stimmt.|Das Ventil ist ohne Leiter nicht erreichbar.|Der Kessel kann leider nicht im Freien stehen.""",
+    "fr": """Le couvercle ne peut pas être ouvert avant l'arrêt de la pompe.|La pièce ne doit pas être rangée près d'une source de chaleur.|Non, la limite ne vaut pas pour les pièces de rechange.|L'essai n'est pas répété si le premier résultat est bon.|On ne peut pas atteindre la vanne sans échelle.""",
+    "es": """La tapa no se puede abrir antes de parar la bomba.|La pieza no debe guardarse cerca del calor.|No, el límite no vale para los repuestos.|La prueba no se repite si el primer resultado es bueno.|No es posible llegar a la válvula sin escalera.""",
+}
 OPENINGS = ("", "", "", "Hmm. ", "Well. ", "After reviewing the passages: ", "Answer: ", "Note: ")
 
 OPEN_ENDS = "-…(,–"
@@ -223,6 +230,9 @@ def _broken(model: Model, pairs: list[tuple[str, str]], seed: int) -> tuple[list
         if rng.random() < 0.8:
             r = REFUSALS[LANGUAGES[lang[i]]].split("|")
             add(q, OPENINGS[int(rng.integers(len(OPENINGS)))] + r[int(rng.integers(len(r)))], "refusal")
+        if rng.random() < 0.4:
+            r = DENIALS[LANGUAGES[lang[i]]].split("|")
+            add(q, r[int(rng.integers(len(r)))], None)
         if rng.random() < 0.2:
             add(q, rng.choice(["", " ", "-", "—", "...", "?", "[]", '""', "\\n", *sorted(NO_VALUE)]), "empty")
     return out, np.array(y, dtype=np.float32), np.array(of)
@@ -231,7 +241,8 @@ def _broken(model: Model, pairs: list[tuple[str, str]], seed: int) -> tuple[list
 def fit(pairs: list[tuple[str, str]], spoken: list[tuple[str, str]]) -> Model:
     """Fits on (question, answer) pairs, mostly sound, and on (text, language) examples."""
     words = Counter(w for q, a in pairs for t in {q, a} for w in {x.lower() for x in _WORD.findall(t)})
-    vocabulary = frozenset(w for w, n in words.items() if n >= 4)
+    said = {w.lower() for lists in (REFUSALS, DENIALS) for t in lists.values() for w in _WORD.findall(t)}
+    vocabulary = frozenset(w for w, n in words.items() if n >= 4) | said
     k = len(LANGUAGES)
     model = Model(vocabulary, np.zeros((1 << BITS, k), np.float32), np.zeros(k, np.float32), np.zeros((1 << BITS, len(DEFECTS)), np.float32), np.full(len(DEFECTS), -1.0, np.float32), np.zeros(len(DEFECTS), np.float32))
     texts, label = [t for t, l in spoken if l in LANGUAGES], [LANGUAGES.index(l) for _, l in spoken if l in LANGUAGES]
