@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.skew import HOT_SHARE, skew_join
 from quarry.session import stored
 
 #: Words in more sets than this don't key a bucket alone but together with a second word.
@@ -154,10 +155,11 @@ def sets(rows: DataFrame, row_id: str, text: str) -> DataFrame:
 def similar_sets(classes: DataFrame, s: float = 0.8) -> DataFrame:
     """Pairs (a, b), a < b, of set ids with shared words / all words >= s; classes: sid (unique), ws. Exact and whole."""
     tokens = classes.select("sid", F.explode("ws").alias("w")).select("sid", F.xxhash64("w").alias("h"))
-    df = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    df = stored(tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")))
+    hot = df.filter(F.col("df") * HOT_SHARE >= df.agg(F.sum("df")).scalar()).select("h")  # words of a third of all texts, say
     bit = F.pmod(F.col("h"), F.lit(128))
     one = F.lit(1).cast("long")
-    per = tokens.join(df, "h").groupBy("sid").agg(
+    per = skew_join(tokens, df, ["h"], hot).groupBy("sid").agg(
         F.array_sort(F.collect_list(F.struct("df", "h"))).alias("t"),
         F.bit_xor(F.when(bit < 64, F.expr("shiftleft(1L, cast(pmod(h, 128) as int))")).otherwise(0)).alias("hi"),
         F.bit_xor(F.when(bit >= 64, F.expr("shiftleft(1L, cast(pmod(h, 128) - 64 as int))")).otherwise(0)).alias("lo"),
