@@ -7,22 +7,12 @@ from pyspark.sql import functions as F
 
 from quarry.functions import views as V
 from quarry.operators import dag
+from quarry.plans.named import register
 from quarry.plans.oracle import with_
 from quarry.session import table
 from quarry.streaming import events as E
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def q(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return keep
+QUERIES, SQL, q = register()
 
 
 _LOG = "WITH lo AS (SELECT DISTINCT event_id AS seq, user_id AS run, event_type AS stage, ts, value, (props->>'$.k')::INT AS k FROM events)"

@@ -8,21 +8,11 @@ from pyspark.sql import functions as F
 from quarry.functions import predicates as P
 from quarry.functions import text as T
 from quarry.functions import views as V
+from quarry.plans.named import register
 from quarry.plans.oracle import tok, with_
 from quarry.session import table
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def q(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return keep
+QUERIES, SQL, q = register()
 
 
 def _like(c: str, pattern: str, i: bool = True) -> str:

@@ -10,21 +10,11 @@ from quarry.functions import text as T
 from quarry.functions import views as V
 from quarry.operators import graph as G
 from quarry.plans.filter_queries import _CONTENT, _case
+from quarry.plans.named import register
 from quarry.plans.oracle import with_
 from quarry.session import table
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def q(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return keep
+QUERIES, SQL, q = register()
 
 
 def _facts(spark: SparkSession, d: str) -> DataFrame:

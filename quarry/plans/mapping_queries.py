@@ -16,23 +16,13 @@ from quarry.operators import retrieval as R
 from quarry.operators.components import components
 from quarry.plans.filter_queries import _CONTENT
 from quarry.plans.graph_queries import _FA, _PAIRS, _SCHED
+from quarry.plans.named import register
 from quarry.plans.oracle import tok, with_
 from quarry.plans.retrieval_queries import _OWN, _SPANS, _bm25, _chunks, _overlaps, _rel, _rel_sql
 from quarry.plans.stats_queries import _average_rank, _corr, pearson
 from quarry.session import table
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def q(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return keep
+QUERIES, SQL, q = register()
 
 
 @q("mx_exact_alignment", with_("fa", "SELECT fact_id, instr(d.text, fa.text) - 1 AS char_start, instr(d.text, fa.text) - 1 + length(fa.text) AS char_end FROM fa JOIN documents d USING (doc_id) WHERE instr(d.text, fa.text) > 0"))

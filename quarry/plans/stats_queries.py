@@ -11,22 +11,12 @@ from quarry.functions import views as V
 from quarry.operators import dedup as D
 from quarry.operators import verify as Y
 from quarry.plans.filter_queries import _SCORED, _case, flags
+from quarry.plans.named import register
 from quarry.plans.oracle import tok, with_
 from quarry.plans.retrieval_queries import _rel, _rel_sql
 from quarry.session import table
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def q(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return keep
+QUERIES, SQL, q = register()
 
 
 _RP = "rp AS (SELECT q_id, mode, len(rel)::DOUBLE / n_gold AS r, len(rel)::DOUBLE / n AS p FROM rl)"

@@ -8,25 +8,11 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.functions import views as V
 from quarry.operators import chunking as C
+from quarry.plans.named import register
 from quarry.plans.oracle import tok, with_
 from quarry.session import table
 
-
-
-def q(name: str, sql: str | None = None):
-    """Registers a query and its SQL."""
-
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return keep
-
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+QUERIES, SQL, q = register()
 
 
 @q("io_page_ranges", with_("ch", "SELECT doc_id, s AS first_page, least(s + 3, n) AS last_page FROM (SELECT doc_id, n, unnest(range(1, n + 1, 4)) AS s FROM (SELECT doc_id, max(page_end)::BIGINT AS n FROM ch GROUP BY 1) WHERE n >= 1)"))
