@@ -204,9 +204,9 @@ def pack(counts: DataFrame, capacity: int) -> DataFrame:
 
 
 def pack_all(documents: DataFrame, sizes: list[tuple[str, int]], folder: str = TOKENIZERS) -> DataFrame:
-    """pack() for each (pack_id, capacity): pack_id and its columns. Documents are tokenised once."""
+    """pack() for each (pack_id, capacity): pack_id and its columns. Documents are tokenised once; no sizes give no rows."""
     counts = stored(token_counts(documents, folder=folder))
-    out = None
+    out = None if sizes else pack(counts.limit(0), 1).select(F.lit("").alias("pack_id"), "*")
     for pack_id, capacity in sizes:
         part = pack(counts, capacity).select(F.lit(pack_id).alias("pack_id"), "*")
         out = part if out is None else out.unionByName(part)
