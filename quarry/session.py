@@ -38,11 +38,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, written once as a table in the shared folder and read from there; compressed and read by columns."""
+def stored(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """df, written once as a table in the shared folder and read from there; compressed and read by columns.
+
+    by: columns of few values that the table is partitioned by, so that a filter on them reads its part only.
+    """
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
