@@ -174,7 +174,7 @@ def gather(chunks: DataFrame, common: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["chunk_id", "doc_id", "kind", "a", "b", "x", "y", "lo", "hi"]).astype({"x": "Int32", "y": "Int32", "lo": "Int32", "hi": "Int32"})
 
     use = chunks.filter("text is not null and chunk_id is not null").select("chunk_id", "doc_id", "text", "source_path", "page_start", "page_end")
-    return stored(use.mapInPandas(run, EVIDENCE))
+    return stored(use.mapInPandas(run, EVIDENCE), by=("kind",))
 
 
 def running_heads(found: DataFrame) -> DataFrame:
