@@ -86,8 +86,11 @@ def at_all(rel_rows: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
 
 
 def sweep(at: DataFrame) -> DataFrame:
-    """mode, k, n, recall, precision, precision_rw, f1, f1_rw, hit_rate: F1 of the means, not the mean of F1s."""
-    m = at.groupBy("mode", "k").agg(F.count(F.lit(1)).alias("n"), F.avg("recall").alias("recall"), F.avg("precision").alias("precision"), F.avg("precision_rw").alias("precision_rw"), F.avg("hit").alias("hit_rate"))
+    """mode, k, n, recall, precision, precision_rw, f1, f1_rw, hit_rate: F1 of the means, not the mean of F1s.
+
+    Means are rounded to 9 places first: the order in which a sum is taken must not decide a tie at the fourth.
+    """
+    m = at.groupBy("mode", "k").agg(F.count(F.lit(1)).alias("n"), *(F.round(F.avg(c), 9).alias(c) for c in ("recall", "precision", "precision_rw")), F.round(F.avg("hit"), 9).alias("hit_rate"))
     return m.withColumns({"f1": f1(F.col("precision"), F.col("recall")), "f1_rw": f1(F.col("precision_rw"), F.col("recall"))}).select("mode", "k", "n", *(F.round(c, 4).alias(c) for c in ("recall", "precision", "precision_rw", "f1", "f1_rw", "hit_rate")))
 
 

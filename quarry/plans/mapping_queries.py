@@ -258,11 +258,11 @@ def mx_hash_chains(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "fact_id"))), lambda x: x["fact_id"]).alias("chain"))
 
 
-@q("mx_master_row", _rel_sql("SELECT count(DISTINCT q_id) AS n_questions, count(*) AS n_retrievals, round(avg(recall), 4) AS recall_5, round(avg(precision), 4) AS precision_5, round(avg(ndcg), 4) AS ndcg_5, round(avg(mrr), 4) AS mrr FROM am WHERE k = 5", True))
+@q("mx_master_row", _rel_sql("SELECT count(DISTINCT q_id) AS n_questions, count(*) AS n_retrievals, round(round(avg(recall), 9), 4) AS recall_5, round(round(avg(precision), 9), 4) AS precision_5, round(round(avg(ndcg), 9), 4) AS ndcg_5, round(round(avg(mrr), 9), 4) AS mrr FROM am WHERE k = 5", True))
 def mx_master_row(spark: SparkSession, d: str) -> DataFrame:
     """One row that sums up a run."""
     m = M.at_all(_rel(spark, d), (5,))
-    return m.agg(F.count_distinct("q_id").alias("n_questions"), F.count(F.lit(1)).alias("n_retrievals"), F.round(F.avg("recall"), 4).alias("recall_5"), F.round(F.avg("precision"), 4).alias("precision_5"), F.round(F.avg("ndcg"), 4).alias("ndcg_5"), F.round(F.avg("mrr"), 4).alias("mrr"))
+    return m.agg(F.count_distinct("q_id").alias("n_questions"), F.count(F.lit(1)).alias("n_retrievals"), F.round(F.round(F.avg("recall"), 9), 4).alias("recall_5"), F.round(F.round(F.avg("precision"), 9), 4).alias("precision_5"), F.round(F.round(F.avg("ndcg"), 9), 4).alias("ndcg_5"), F.round(F.round(F.avg("mrr"), 9), 4).alias("mrr"))
 
 
 @q("nl_minimality", with_("go ch qu", f"""SELECT CASE WHEN n = 1 THEN 'single' WHEN need = n THEN 'minimal' WHEN need = 0 THEN 'redundant' ELSE 'partly' END AS verdict, count(*) AS n_questions FROM (SELECT q_id, count(*) AS n, count_if(own > 0) AS need FROM (SELECT q_id, chunk_id, len(list_filter(t, lambda x: NOT list_contains(o, x))) AS own FROM (

@@ -275,7 +275,7 @@ def ev_list_metrics(spark: SparkSession, d: str) -> DataFrame:
     return r.select("ret_id", F.round(rec, 6).alias("fact_recall"), F.round(pre, 6).alias("fact_precision"), F.round(M.f1(pre, rec), 6).alias("fact_f1"), F.round(1 - pre, 6).alias("over_retrieval"), (F.size("rel") == F.col("n_gold")).alias("joint"), (F.size("rel") > 0).alias("any_hit"), F.round(M.mean_reciprocal(F.col("rel")), 6).alias("mrr_all"))
 
 
-_SWEEP = """sw AS (SELECT mode, k, count(*) AS n, avg(recall) AS r, avg(precision) AS p, avg(precision_rw) AS w, avg(hit) AS h FROM am GROUP BY 1, 2),
+_SWEEP = """sw AS (SELECT mode, k, count(*) AS n, round(avg(recall), 9) AS r, round(avg(precision), 9) AS p, round(avg(precision_rw), 9) AS w, round(avg(hit), 9) AS h FROM am GROUP BY 1, 2),
 sr AS (SELECT mode, k, n, round(r, 4) AS recall, round(p, 4) AS precision, round(w, 4) AS precision_rw, round(CASE WHEN r + p > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 4) AS f1, round(CASE WHEN r + w > 0 THEN 2 * w * r / (w + r) ELSE 0 END, 4) AS f1_rw, round(h, 4) AS hit_rate FROM sw)"""
 
 
