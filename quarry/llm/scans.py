@@ -47,7 +47,7 @@ _HEAD_NUMBER = re.compile(r"^\s*\d{1,4}\s{2,}|\s{2,}\d{1,4}\s*$")
 _DIGIT_IN = re.compile(r"(?<=[^\W\d_])[0156!@]|[0156!@](?=[^\W\d_])")
 _FIX = {"0": "o", "1": "l", "5": "s", "6": "b", "!": "i", "@": "a"}
 
-EVIDENCE = "chunk_id string, doc_id long, kind string, a string, b string, x int, y int, lo int, hi int"
+EVIDENCE = "chunk_id string, doc_id long, kind string, a string, b string, x int, y int, lo int, hi int, h long"
 
 
 def tokens(text: Column) -> Column:
@@ -66,34 +66,45 @@ def _python_anagram(word: str) -> int:
 
 
 def vocabulary(chunks: DataFrame) -> DataFrame:
-    """w, n, groups: in how many rows each word occurs, and in how many of 64 groups of documents."""
-    words = chunks.filter("text is not null").select(F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int").alias("g"), F.explode(tokens(F.col("text"))).alias("w"))
-    return words.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.bit_count(F.bit_or(F.expr("shiftleft(1L, g)"))).alias("groups"))
+    """w, n, rows, groups: in how many distinct texts and in how many rows each word occurs, and in how many of 64 groups of documents.
+
+    Repeated rows count once in both, copies of a text under other ids in `rows` only. All rows are counted and what copies
+    added is taken off, so no text is shuffled but those that have copies. Texts are told apart by 64 bits.
+    """
+    texts = chunks.filter("text is not null").select("chunk_id", "text", F.xxhash64("text").alias("h"), F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int").alias("g"))
+    words = texts.select("g", F.explode(tokens(F.col("text"))).alias("w"), F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("rows"))
+    ids = texts.groupBy("h", "chunk_id").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("ids"))
+    copied = texts.select("h", "text").join(stored(ids.filter("c > 1")), "h").groupBy("h", "text").agg(F.min("c").alias("c"), F.min("ids").alias("ids"))
+    less = copied.select(F.lit(None).cast("int").alias("g"), F.explode(tokens(F.col("text"))).alias("w"), (1 - F.col("c")).alias("n"), (F.col("ids") - F.col("c")).alias("rows"))
+    return words.unionByName(less).groupBy("w").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"), F.bit_count(F.bit_or(F.expr("shiftleft(1L, g)"))).alias("groups"))
 
 
 def frequent(words: DataFrame) -> DataFrame:
-    return words.filter((F.col("n") >= FLOOR) & (F.col("n") * SHARE >= words.agg(F.sum("n")).scalar()))
+    return words.filter((F.col("rows") >= FLOOR) & (F.col("rows") * SHARE >= words.agg(F.sum("rows")).scalar()))
 
 
 def corrections(words: DataFrame, common: DataFrame) -> DataFrame:
     """w, better: the misread words of the vocabulary with the most frequent word that each could have been.
 
     `common` are the frequent words (at most SHARE rows, so they are broadcast). Numbers with letters for digits are
-    corrected to the number. Ties go to the first in alphabetical order.
+    corrected to the number. A word is RATIO times as frequent in distinct texts, so copies of a misread text don't shield
+    it; or in rows, unless the misread form stands in more texts. Ties go to the first in alphabetical order.
     """
     spark = words.sparkSession
     reads = [(r, t, _python_anagram(t) - _python_anagram(r)) for r, t in READ_AS]
     table = F.broadcast(spark.createDataFrame(reads, "r string, t string, delta long"))
-    known = F.broadcast(common.filter((F.col("groups") >= GROUPS) & ~F.col("w").rlike(r"[0-9@!]")).select(F.col("w").alias("better"), F.col("n").alias("m"), anagram(F.col("w")).alias("h")))
+    known = F.broadcast(common.filter((F.col("groups") >= GROUPS) & ~F.col("w").rlike(r"[0-9@!]")).select(F.col("w").alias("better"), F.col("n").alias("m"), F.col("rows").alias("m_rows"), anagram(F.col("w")).alias("h")))
     odd = words.filter((F.length("w") >= 3) & F.col("w").rlike(r"\p{L}") & ~F.col("w").rlike(r"^\p{L}[0-9]{2,}\p{L}?$"))
-    odd = odd.select("w", "n", F.col("w").rlike(r"[0-9@!]").alias("mixed"), anagram(F.col("w")).alias("hw"))
+    odd = odd.select("w", "n", "rows", F.col("w").rlike(r"[0-9@!]").alias("mixed"), anagram(F.col("w")).alias("hw"))
     held = odd.join(table, F.instr("w", F.col("r")) > 0)
     times = ((F.length("w") - F.length(F.replace("w", F.col("r"), F.lit("")))) / F.length("r")).cast("int")
     held = held.withColumn("k", F.explode(F.when(times > 1, F.array(F.lit(1), times)).otherwise(F.array(F.lit(1))))).withColumn("h", F.col("hw") + F.col("k") * F.col("delta"))
-    met = held.join(known, "h").filter((F.col("m") >= F.col("n") * F.when(F.col("mixed"), MIXED).otherwise(RATIO)) & (F.col("w") != F.col("better")))
+    ratio = F.when(F.col("mixed"), MIXED).otherwise(RATIO)
+    outweighs = (F.col("m") >= F.col("n") * ratio) | ((F.col("m_rows") >= F.col("rows") * ratio) & (F.col("m") >= F.col("n")))
+    met = held.join(known, "h").filter(outweighs & (F.col("w") != F.col("better")))
     once = F.exists(F.sequence(F.lit(1), F.length("w")), lambda p: (F.col("w").substr(p, F.length("r")) == F.col("r")) & (F.concat(F.col("w").substr(F.lit(1), p - 1), F.col("t"), F.col("w").substr(p + F.length("r"), F.length("w"))) == F.col("better")))
     fits = met.filter(F.when(F.col("k") == 1, once).otherwise(F.replace("w", F.col("r"), F.col("t")) == F.col("better")))
-    letters = fits.groupBy("w").agg(F.min(F.struct(-F.col("m"), "better")).alias("b")).select("w", "b.better")
+    letters = fits.groupBy("w").agg(F.min(F.struct(-F.col("m"), -F.col("m_rows"), "better")).alias("b")).select("w", "b.better")
     digits = F.translate("w", "olbsi", "01851")
     numbers = words.filter(F.col("w").rlike(r"^[0-9olbs]+$") & F.col("w").rlike(r"[0-9]") & F.col("w").rlike(r"[olbs]") & (F.length(F.regexp_replace("w", "[0-9]", "")) * 2 <= F.length("w")) & ~F.col("w").rlike(r"^\p{L}[0-9]{2,}\p{L}?$"))
     numbers = numbers.select("w", "n", digits.alias("better")).join(words.select(F.col("w").alias("better"), F.col("n").alias("m")), "better").filter("m >= n").select("w", "better")
@@ -160,20 +171,20 @@ def evidence(text: str, path: str | None, common: frozenset[str]) -> Iterator[tu
 
 
 def gather(chunks: DataFrame, common: DataFrame) -> DataFrame:
-    """All evidence of all chunks, as written rows. `common` (at most SHARE rows) are words that are surely none."""
+    """All evidence of all chunks, as written rows; h tells the texts of broken words apart. `common` (at most SHARE rows) are words that are surely none."""
     held = chunks.sparkSession.sparkContext.broadcast(frozenset(r.w for r in common.select("w").toLocalIterator()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             out = []
-            for c, d, t, s, lo, hi in zip(p.chunk_id, p.doc_id, p.text, p.source_path, p.page_start, p.page_end):
+            for c, d, t, s, lo, hi, h in zip(p.chunk_id, p.doc_id, p.text, p.source_path, p.page_start, p.page_end, p.h):
                 lo = None if lo != lo or lo is None else int(lo)
                 hi = lo if hi != hi or hi is None else int(hi)
                 for e in evidence(t, s, held.value):
-                    out.append((c, d, *e, lo if lo is not None else hi, hi))
-            yield pd.DataFrame(out, columns=["chunk_id", "doc_id", "kind", "a", "b", "x", "y", "lo", "hi"]).astype({"x": "Int32", "y": "Int32", "lo": "Int32", "hi": "Int32"})
+                    out.append((c, d, *e, lo if lo is not None else hi, hi, h if e[0] == "hyphen" else None))
+            yield pd.DataFrame(out, columns=["chunk_id", "doc_id", "kind", "a", "b", "x", "y", "lo", "hi", "h"]).astype({"x": "Int32", "y": "Int32", "lo": "Int32", "hi": "Int32", "h": "Int64"})
 
-    use = chunks.filter("text is not null and chunk_id is not null").select("chunk_id", "doc_id", "text", "source_path", "page_start", "page_end")
+    use = chunks.filter("text is not null and chunk_id is not null").select("chunk_id", "doc_id", "text", "source_path", "page_start", "page_end", F.xxhash64("text").alias("h"))
     return stored(use.mapInPandas(run, EVIDENCE), by=("kind",))
 
 
@@ -209,17 +220,17 @@ def page_numbers(found: DataFrame, heads: DataFrame) -> DataFrame:
 def broken_words(found: DataFrame, words: DataFrame) -> DataFrame:
     """chunk_id, a, b: words broken over a line end. A compound divided at its own hyphen is none.
 
-    The joined and the hyphenated form are looked up; the commoner decides. Where neither occurs elsewhere, a plain hyphen
+    The joined and the hyphenated form are looked up; the one in more distinct texts decides. Where neither occurs elsewhere, a plain hyphen
     between two known words or before a capital is taken for the compound's own.
     """
-    h = found.filter("kind = 'hyphen'").select("chunk_id", "a", "b", "x", "y").distinct()
+    h = found.filter("kind = 'hyphen'").select("chunk_id", "a", "b", "x", "y", "h").distinct()
     forms = h.select("a", "b", "x", "y").distinct().withColumn("joined", F.concat("a", "b")).withColumn("whole", F.concat_ws("-", "a", "b"))
     n = words.select(F.col("w"), F.col("n"))
     seen = (
         forms.join(n.toDF("joined", "nj"), "joined", "left").join(n.toDF("whole", "nw"), "whole", "left").join(n.toDF("a", "na"), "a", "left").join(n.toDF("b", "nb"), "b", "left").fillna(0, ["nj", "nw", "na", "nb"])
     )
-    # the vocabulary joins what is broken, so each broken form has put itself there at least once
-    own = h.groupBy("a", "b").agg(F.count(F.lit(1)).alias("own"))
+    # the vocabulary joins what is broken, so each text with a broken form has put it there once
+    own = h.groupBy("a", "b").agg(F.count_distinct("h").alias("own"))
     seen = seen.join(own, ["a", "b"])
     elsewhere = F.col("nj") - F.col("own")
     own_hyphen = F.when(F.col("nw") > F.greatest(elsewhere, F.lit(0)), True).when(elsewhere > 0, False).otherwise((F.col("x") == 1) & ((F.col("y") == 1) | ((F.col("na") >= FLOOR) & (F.col("nb") >= FLOOR))))

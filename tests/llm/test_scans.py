@@ -51,3 +51,21 @@ def test_repair_gives_continuous_text():
     got = S.repair(t, {"kelodarna guide"}, {("dash", 4)}, {("turb", "ine")}, {"rec0rded": "recorded"})
     assert got == "The pressure of the turbine after repair is measured in the shop and is recorded.\n\n## Scope\nPost-weld limits."
     assert S.repair("", set(), set(), set(), {}) == ""
+
+
+def _texts(n, word, doc=1000):
+    return [(f"{doc + k}_c0", doc + k, f"Entry {k} names the {word} of the plant.", None, 1, 1) for k in range(n)]
+
+
+def test_copies_are_no_evidence(spark):
+    rows = _texts(25, "pressure") + [(f"{d}_c0", d, "A scanned page about pressurc.", None, 1, 1) for d in range(300)]
+    chunks = spark.createDataFrame(rows, SCHEMA)
+    words = {r.w: (r.n, r.rows) for r in S.vocabulary(chunks.unionByName(chunks)).collect()}
+    assert words["pressurc"] == (1, 300) and words["pressure"] == (25, 25)
+    assert {(r.w, r.better) for r in S.Noise(chunks).misread.collect()} == {("pressurc", "pressure")}
+    assert S.Noise(chunks).kinds().filter("noise = 'misread'").count() == 300
+
+
+def test_repeated_rows_are_no_evidence_of_broken_words(spark):
+    chunks = spark.createDataFrame([("1_c0", 1, "We follow the Post-\nHardening rule.", None, 1, 1)] * 2, SCHEMA)
+    assert S.Noise(chunks).kinds().count() == 0
