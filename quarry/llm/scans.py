@@ -2,7 +2,7 @@
 
 Misread words are found by anagram hashes: a word's hash is the sum of a power of its characters' codes, so reading `rn`
 for `m` changes it by the same number in every word. Each word plus the difference of each confusion it could hold is
-joined with the frequent words in SQL; of several variants the most frequent wins. Broken words are judged by how often
+joined with the words that are frequent enough in SQL; of several variants the most frequent wins. Broken words are judged by how often
 the joined and the hyphenated form occur elsewhere, heads by their return in chunks of the same document, page numbers by
 their form and their distance from the pages of the chunk.
 """
@@ -23,9 +23,10 @@ from quarry.session import stored
 # Fixed values: (what is read, what was printed) in lower case.
 CONFUSIONS = """0:o 1:l 1:i !:i !:l 5:s 6:b 8:b 9:g 3:e @:a c:e e:c f:t t:f b:h h:b q:g g:q ri:n rn:m cl:d ii:u vv:w n:ri m:rn d:cl u:ii w:vv li:h h:li l:i i:l o:0 l:1 i:1 s:5 b:8 b:6"""
 READ_AS = [tuple(x.split(":")) for x in CONFUSIONS.split()]
-#: A frequent word makes up at least this share of all words, so there are at most this many; and occurs FLOOR times.
+#: A frequent word makes up at least this share of all words, so there are at most this many; and occurs FLOOR times. What
+#: is corrected depends on FLOOR only; the share bounds the words that are known to be none when evidence is gathered.
 SHARE, FLOOR = 200_000, 12
-#: A frequent word occurs in at least so many of 64 groups of documents, so it is no name of one document.
+#: A correction occurs in at least so many of 64 groups of documents, so it is no name of one document.
 GROUPS = 3
 #: A correction is at least so many times as frequent as what it corrects; less is needed where letters and digits mix.
 RATIO, MIXED = 20, 1
@@ -83,17 +84,22 @@ def frequent(words: DataFrame) -> DataFrame:
     return words.filter((F.col("rows") >= FLOOR) & (F.col("rows") * SHARE >= words.agg(F.sum("rows")).scalar()))
 
 
-def corrections(words: DataFrame, common: DataFrame) -> DataFrame:
+def targets(words: DataFrame) -> DataFrame:
+    """The words that may be corrections, however large the table is."""
+    return words.filter(F.col("rows") >= FLOOR)
+
+
+def corrections(words: DataFrame, right: DataFrame) -> DataFrame:
     """w, better: the misread words of the vocabulary with the most frequent word that each could have been.
 
-    `common` are the frequent words (at most SHARE rows, so they are broadcast). Numbers with letters for digits are
-    corrected to the number. A word is RATIO times as frequent in distinct texts, so copies of a misread text don't shield
+    `right` are the words that may be corrections; they are written, so the plan broadcasts few and shuffles many. Numbers
+    with letters for digits are corrected to the number, other words with one digit are misread by their shape. A word is RATIO times as frequent in distinct texts, so copies of a misread text don't shield
     it; or in rows, unless the misread form stands in more texts. Ties go to the first in alphabetical order.
     """
     spark = words.sparkSession
     reads = [(r, t, _python_anagram(t) - _python_anagram(r)) for r, t in READ_AS]
     table = F.broadcast(spark.createDataFrame(reads, "r string, t string, delta long"))
-    known = F.broadcast(common.filter((F.col("groups") >= GROUPS) & ~F.col("w").rlike(r"[0-9@!]")).select(F.col("w").alias("better"), F.col("n").alias("m"), F.col("rows").alias("m_rows"), anagram(F.col("w")).alias("h")))
+    known = stored(right.filter((F.col("groups") >= GROUPS) & ~F.col("w").rlike(r"[0-9@!]")).select(F.col("w").alias("better"), F.col("n").alias("m"), F.col("rows").alias("m_rows"), anagram(F.col("w")).alias("h")))
     odd = words.filter((F.length("w") >= 3) & F.col("w").rlike(r"\p{L}") & ~F.col("w").rlike(r"^\p{L}[0-9]{2,}\p{L}?$"))
     odd = odd.select("w", "n", "rows", F.col("w").rlike(r"[0-9@!]").alias("mixed"), anagram(F.col("w")).alias("hw"))
     held = odd.join(table, F.instr("w", F.col("r")) > 0)
@@ -108,7 +114,8 @@ def corrections(words: DataFrame, common: DataFrame) -> DataFrame:
     digits = F.translate("w", "olbsi", "01851")
     numbers = words.filter(F.col("w").rlike(r"^[0-9olbs]+$") & F.col("w").rlike(r"[0-9]") & F.col("w").rlike(r"[olbs]") & (F.length(F.regexp_replace("w", "[0-9]", "")) * 2 <= F.length("w")) & ~F.col("w").rlike(r"^\p{L}[0-9]{2,}\p{L}?$"))
     numbers = numbers.select("w", "n", digits.alias("better")).join(words.select(F.col("w").alias("better"), F.col("n").alias("m")), "better").filter("m >= n").select("w", "better")
-    shaped = words.filter(F.col("w").rlike(r"^\p{L}+[0-9!]\p{L}+$") & (F.length("w") >= 5) & (F.col("n") <= 3)).join(letters, "w", "left_anti").select("w", F.translate("w", "01568!", "olsbbi").alias("better"))
+    shaped = words.filter(F.col("w").rlike(r"^\p{L}+[0-9!]\p{L}+$") & (F.length("w") >= 5)).join(letters, "w", "left_anti").select("w", "n", F.translate("w", "0135689!", "olesbbgi").alias("better"))
+    shaped = shaped.filter(~F.col("better").rlike("[0-9]") | (F.col("n") <= 3)).drop("n")  # digits that stand for no letter may belong there
     return letters.unionByName(numbers.join(letters, "w", "left_anti")).unionByName(shaped)
 
 
@@ -251,7 +258,7 @@ class Noise:
     def __init__(self, chunks: DataFrame) -> None:
         words = stored(vocabulary(chunks))
         common = stored(frequent(words))
-        better = stored(corrections(words, common))
+        better = stored(corrections(words, targets(words)))
         self.found = gather(chunks, common.join(better, "w", "left_anti"))
         self.heads = running_heads(self.found)
         self.pages = page_numbers(self.found, self.heads)

@@ -69,3 +69,16 @@ def test_copies_are_no_evidence(spark):
 def test_repeated_rows_are_no_evidence_of_broken_words(spark):
     chunks = spark.createDataFrame([("1_c0", 1, "We follow the Post-\nHardening rule.", None, 1, 1)] * 2, SCHEMA)
     assert S.Noise(chunks).kinds().count() == 0
+
+
+def test_rare_terms_are_corrections_at_any_size(spark, monkeypatch):
+    monkeypatch.setattr(S, "SHARE", 5)  # as in a table so large that no word is frequent
+    rows = _texts(25, "pressure") + [("1_c0", 1, "A scanned page about pressurc.", None, 1, 1)] + [(f"{d}_c0", d, f"Page {d} of the tr1bunal.", None, 1, 1) for d in range(200, 206)]
+    rows += [(f"{d}_c0", d, f"Page {d} of log4j.", None, 1, 1) for d in range(300, 306)]
+    chunks = spark.createDataFrame(rows, SCHEMA)
+    for limit in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            assert {(r.w, r.better) for r in S.Noise(chunks).misread.collect()} == {("pressurc", "pressure"), ("tr1bunal", "trlbunal")}
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
