@@ -16,6 +16,8 @@ K1, B, RRF_K = 1.5, 0.75, 60
 QUERIES = 2000
 #: Query vectors that a task holds at once; more of them are searched block by block.
 QUERY_BLOCK = 4096
+#: Vectors of a block that meets every other block in one task.
+LINK_BLOCK = 4096
 
 
 def postings(units: DataFrame, unit: str = "chunk_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -114,6 +116,48 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_i
     return out
 
 
+def _reached(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and column of a matrix of links the first row that links lead to; -1 for columns without any."""
+    rows, cols = np.full(s.shape[0], -1), np.full(s.shape[1], -1)
+    for k in range(len(rows)):
+        new = np.array([k]) if rows[k] < 0 else np.array([], dtype=int)
+        rows[new] = k
+        while len(new):
+            c = np.flatnonzero(s[new].any(axis=0) & (cols < 0))
+            cols[c] = k
+            new = np.flatnonzero(s[:, c].any(axis=1) & (rows < 0))
+            rows[new] = k
+    return rows, cols
+
+
+def alike(vectors: DataFrame, least: float, vec_id: str = "vec_id", vector: str = "embedding", block: int = LINK_BLOCK) -> DataFrame:
+    """a, b: links that join the same vectors as all pairs of cosine `least` and more do, exactly; least above 0.
+
+    Vectors are hashed into blocks of about `block`, and each pair of blocks is compared in one task. Of its pairs a forest
+    goes on, so links grow with the vectors of a task and not with its pairs. vec_id is unique; no vector is null.
+    """
+    n = max(1, -(-vectors.count() // block))
+    own = F.pmod(F.xxhash64(vec_id), F.lit(n)).cast("int")
+    met = vectors.select(F.col(vec_id).alias("v"), F.col(vector).alias("x"), own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("o"))
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        first = (p["own"] == p["i"]).values
+        last = (p["own"] == p["j"]).values
+        v, x = p["v"].values, np.array(p["x"].tolist(), dtype=np.float64).reshape(len(p), -1)
+        norm = np.sqrt((x * x).sum(axis=1))
+        a, b = np.flatnonzero(first), np.flatnonzero(last)
+        s = np.zeros((len(a), len(b)), dtype=bool)
+        for k in range(0, len(a), 512):
+            r = a[k : k + 512]
+            s[k : k + 512] = np.round(x[r] @ x[b].T / (norm[r][:, None] * norm[b][None, :] + 1e-10), 6) >= least
+        rows, cols = _reached(s)
+        on = cols >= 0
+        out = pd.DataFrame({"a": np.concatenate([v[a], v[b][on]]), "b": np.concatenate([v[a][rows], v[a][cols[on]]])})
+        return out[out["a"] != out["b"]]
+
+    return met.select("v", "x", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j")).groupBy("i", "j").applyInPandas(run, "a long, b long")
+
+
 # The parts of the objective of a complementary ranking.
 RELEVANCE, NOVELTY, COVERAGE, PAGES = 0.65, 0.15, 0.10, 0.10
 

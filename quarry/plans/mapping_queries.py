@@ -137,11 +137,9 @@ def gr_sampled_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @q("gr_vector_groups")
 def gr_vector_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Single-link groups of the query vectors and their neighbours of cosine 0.3 and more."""
-    e = table(spark, d, "embeddings")
-    links = R.nearest(e, e.filter("vec_id % 20 = 0"), 5).filter("score >= 0.3").select(F.greatest("query_id", "vec_id").alias("a"), F.least("query_id", "vec_id").alias("b"))
-    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return components(nodes, links).groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    """Single-link groups of all vectors by cosine 0.3 and more; one without links is its own group. Repeated ids count once."""
+    e = table(spark, d, "embeddings").filter("vec_id is not null and embedding is not null").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    return components(e.select(F.col("vec_id").alias("node")), R.alike(e, 0.3)).groupBy("group").agg(F.count(F.lit(1)).alias("n"))
 
 
 _LEAD = "substr(lower(t), 1, 60)"

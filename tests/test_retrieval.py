@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import metrics as M
 from quarry.operators import retrieval as R
+from quarry.plans import registry
 
 
 def brute(query, docs, k1=1.5, b=0.75):
@@ -82,3 +83,20 @@ def test_relevance_ignores_unknown_questions(spark):
     assert [(x.ret_id, x.n, x.n_gold, x.rel) for x in r] == [(1, 2, 2, [2])]
     at = {x.k: x for x in M.at_all(M.relevance(ranked, gold)).collect()}
     assert at[1].recall == 0 and at[3].recall == 0.5 and at[10].mrr == 0.5
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_vector_groups_equal_brute_force(spark, tmp_path, monkeypatch, block):
+    rng = np.random.default_rng(5)
+    m = np.round(rng.normal(size=(60, 12)), 3)
+    m[7] = 0
+    unit = m / np.maximum(1e-9, np.linalg.norm(m, axis=1))[:, None]
+    near = np.round(unit @ unit.T, 6) >= 0.3
+    group = np.arange(60)
+    for _ in range(60):
+        group = np.array([min(group[i], group[near[i]].min(initial=i)) for i in range(60)])
+    rows = [(i, [float(x) for x in m[i]]) for i in range(60)]
+    spark.createDataFrame(rows + rows[:5] + [(99, None)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(R.alike, "__defaults__", ("vec_id", "embedding", block))
+    got = {r.group: r.n for r in registry.queries()["gr_vector_groups"](spark, str(tmp_path)).collect()}
+    assert got == {int(g): int((group == g).sum()) for g in np.unique(group)} and len(got) > 1
