@@ -272,19 +272,32 @@ class Noise:
         return reduce(DataFrame.unionByName, [p.select("chunk_id", F.lit(k).alias("noise")) for k, p in parts]).distinct()
 
 
+def _runs_on(prior: str, line: str) -> bool:
+    """Whether a line carries on the sentence of the line before it."""
+    return prior[0] not in "#|" and not re.match(r"\s*(?:[#|]|[-*•]\s|\d+(?:\.\d+)*\.?\s+\S)", line) and (prior[-1] not in ".!?:" or line.lstrip()[0].islower()) and len(prior) > 30
+
+
 def repair(text: str, heads: set[str], pages: set[tuple[str, int]], broken: set[tuple[str, str]], better: dict[str, str]) -> str:
     """The text in continuous paragraphs: page matter dropped, broken words joined, misread words corrected, lines joined.
 
-    Empty lines, headings, table rows and list items keep their line.
+    Empty lines, headings, table rows and list items keep their line; an empty line at page matter goes if a sentence runs on.
     """
-    kept = []
+    kept: list[str] = []
+    removed = blank = False
     for line in text.split("\n"):
         s = line.strip()
         m = _PAGE.match(s) if s else None
-        if m and (m.lastgroup, int(_NUMBER.search(s)[0])) in pages:
+        if (m and (m.lastgroup, int(_NUMBER.search(s)[0])) in pages) or (s and s[0] not in "#|" and head_key(line) in heads):
+            removed = True
+            while kept and not kept[-1]:
+                blank = not kept.pop()
             continue
-        if s and s[0] not in "#|" and head_key(line) in heads:
+        if removed and not s:
+            blank = True
             continue
+        if removed and blank and kept and not (_LEFT.search(kept[-1]) and _RIGHT.match(line)) and not _runs_on(kept[-1], line):
+            kept.append("")
+        removed = blank = False
         kept.append(line.rstrip())
     out: list[str] = []
     for line in kept:
@@ -294,7 +307,7 @@ def repair(text: str, heads: set[str], pages: set[tuple[str, int]], broken: set[
                 out[-1] = prior[: m.start(2)] + line.lstrip()
             else:
                 out[-1] = prior + line.lstrip()
-        elif prior and line.strip() and prior[0] not in "#|" and not re.match(r"\s*(?:[#|]|[-*•]\s|\d+(?:\.\d+)*\.?\s+\S)", line) and (prior[-1] not in ".!?:" or line.lstrip()[0].islower()) and len(prior) > 30:
+        elif prior and line.strip() and _runs_on(prior, line):
             out[-1] = prior + " " + line.lstrip()
         else:
             out.append(line)

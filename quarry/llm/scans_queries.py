@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.scans import Noise, repair
-from quarry.session import table
+from quarry.session import stored, table
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -15,7 +15,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_text(spark: SparkSession, d: str) -> DataFrame:
-    """The repaired text of every noisy chunk: chunk_id, text. What a chunk's repair needs is as bounded as its text."""
+    """The repaired text of every chunk of scanned documents, marked or not: chunk_id, text.
+
+    A document is scanned if any of its chunks was read by OCR or by what isn't known, or is noisy. What a chunk's repair needs is as bounded as its text.
+    """
     chunks = table(spark, d, "chunks")
     noise = Noise(chunks)
     nothing = F.lit(None).cast("string")
@@ -32,12 +35,15 @@ def p3_text(spark: SparkSession, d: str) -> DataFrame:
     @F.pandas_udf("string")
     def mend(text: pd.Series, marks: pd.Series) -> pd.Series:
         def one(t, ms):
-            of = {k: [(m["a"], m["b"]) for m in ms if m["k"] == k] for k in ("head", "page", "broken", "word")}
+            of = {k: [(m["a"], m["b"]) for m in (ms if ms is not None else ()) if m["k"] == k] for k in ("head", "page", "broken", "word")}
             return repair(t, {a for a, _ in of["head"]}, {(a, int(b)) for a, b in of["page"]}, set(of["broken"]), dict(of["word"]))
 
         return pd.Series([one(t, m) for t, m in zip(text, marks)])
 
-    texts = chunks.filter("text is not null").select("chunk_id", "text").join(marks, "chunk_id").dropDuplicates(["chunk_id", "text"])
+    marks = stored(marks)
+    noisy = chunks.select("chunk_id", "doc_id").join(marks.select("chunk_id"), "chunk_id", "left_semi").select("doc_id")
+    scanned = stored(noisy.unionByName(chunks.filter("extractor is null or lower(extractor) like 'ocr%'").select("doc_id")).distinct())
+    texts = chunks.filter("text is not null and chunk_id is not null").join(scanned, "doc_id", "left_semi").select("chunk_id", "text").join(marks, "chunk_id", "left").dropDuplicates(["chunk_id", "text"])
     return texts.select("chunk_id", mend("text", "marks").alias("text"))
 
 

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import scans as S
+from quarry.llm.scans_queries import p3_text
 
 SCHEMA = "chunk_id string, doc_id long, text string, source_path string, page_start int, page_end int"
 PLAIN = "The pressure of the turbine after repair is measured against the post-weld limit at page one.\nEvery inspector records the pressure of the turbine before the coating has cured in the shop."
@@ -82,3 +83,16 @@ def test_rare_terms_are_corrections_at_any_size(spark, monkeypatch):
             assert {(r.w, r.better) for r in S.Noise(chunks).misread.collect()} == {("pressurc", "pressure"), ("tr1bunal", "trlbunal")}
         finally:
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_words_broken_over_pages_with_blank_lines():
+    t = "The pressure of the plant is read at the turb-\n\n- 4 -\n\nine after repair is done.\n\n- 5 -\n\nAll is well."
+    assert S.repair(t, set(), {("dash", 4), ("dash", 5)}, {("turb", "ine")}, {}) == "The pressure of the plant is read at the turbine after repair is done.\n\nAll is well."
+
+
+def test_unmarked_chunks_of_scanned_documents_are_mended(spark, tmp_path):
+    hard = "Each inspector of the plant records the pressure\nof the vessel before the shift ends."
+    rows = [("1_c0", 1, hard, None, 1, 1, "ocr_page"), ("1_c1", 1, hard + " Twice.", None, 2, 2, None), ("2_c0", 2, hard, None, 1, 1, "plain_text"), ("1_c2", 1, None, None, 1, 1, "ocr_page")]
+    spark.createDataFrame(rows, SCHEMA + ", extractor string").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = {r.chunk_id: r.text for r in p3_text(spark, str(tmp_path)).collect()}
+    assert got == {"1_c0": hard.replace("\n", " "), "1_c1": hard.replace("\n", " ") + " Twice."}
