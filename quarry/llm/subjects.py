@@ -77,6 +77,23 @@ def sentences(texts: list[str | None]) -> Tokens:
     return Tokens(np.array(codes, dtype=np.int64), np.array(starts), np.array(doc, dtype=np.int64))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def drawn(t: Tokens, n: int) -> Tokens:
+    """n of the sentences in their order, drawn by a hash of their words and their document's, so from all documents alike."""
+    own = np.add.reduceat(_mixed(t.codes.astype(np.uint64)), t.starts[:-1])
+    whole = np.zeros(int(t.doc[-1]) + 1, dtype=np.uint64)
+    np.add.at(whole, t.doc, own)
+    keep = np.sort(np.argsort(_mixed(own ^ _mixed(whole[t.doc])), kind="stable")[:n])
+    sizes = np.diff(t.starts)
+    words = np.repeat(np.isin(np.arange(len(t.doc)), keep), sizes)
+    return Tokens(t.codes[words], np.concatenate([[0], np.cumsum(sizes[keep])]), t.doc[keep])
+
+
 _WORD = re.compile(r"[^\W_]+")
 _BREAK = re.compile(r"(?<=[.!?])[\"'»”)\]]*\s+(?=[\"'«“(\[¿¡]?[^\W\d_a-zà-öø-ÿß])|(?<=[.!?])\s*\n\s*(?=\d)|\n[ \t]*\n\s*|\n(?=[ \t]*(?:\||#|\d+(?:\.\d+)*\.?[ \t]+[^\W\d_]))|\n(?<=\|\n)")
 _ROW = re.compile(r"\s*\|")
@@ -166,8 +183,7 @@ def fit(rows: list[tuple[str, tuple[str, ...]]], subjects: list[str], more: list
         return model
     t = sentences([x for x, _ in single] + (more or []))
     if len(t.doc) > SENTENCES:
-        m = SENTENCES
-        t = Tokens(t.codes[: t.starts[m]], t.starts[: m + 1], t.doc[:m])
+        t = drawn(t, SENTENCES)
     ids, starts = features(t)
     known = int(np.searchsorted(t.doc, len(single)))
     given = np.array([next(iter(l)) for _, l in single])

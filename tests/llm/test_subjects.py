@@ -56,3 +56,22 @@ def test_threshold():
 
     t = L.best_threshold(np.array([0.9, 0.8, 0.4, 0.2]), np.array([True, True, False, False]))
     assert 0.4 < t < 0.8
+
+
+def test_sentences_are_drawn_from_all_documents():
+    t = S.sentences([" ".join(f"The {w} of plant {d} is read daily." for w in ("valve", "meter", "gauge", "motor", "shaft")) for d in range(400)])
+    few = S.drawn(t, 1000)
+    assert len(few.doc) == 1000 and 350 < (few.doc >= 200).sum() < 650 and (few.doc[1:] >= few.doc[:-1]).all()
+    first = int((t.doc < few.doc[0]).sum())
+    some = {tuple(t.codes[a:b]) for a, b in zip(t.starts, t.starts[1:])}
+    assert all(tuple(few.codes[a:b]) in some for a, b in zip(few.starts, few.starts[1:])) and few.starts[-1] == len(few.codes) and first < 100
+
+
+def test_fit_draws_its_sentences(monkeypatch):
+    seen = []
+    monkeypatch.setattr(S, "SENTENCES", 40)
+    features = S.features
+    monkeypatch.setattr(S, "features", lambda t: seen.append(t) or features(t))
+    rows = [(f"The valve of plant number {k} is read daily here.", ("a" if k % 2 else "b",)) for k in range(50)]
+    S.fit(rows, ["a", "b"], [f"The meter of shop number {k} is read daily here." for k in range(200)], rounds=1)
+    assert len(seen[0].doc) == 40 and (seen[0].doc >= 40).sum() > 10
