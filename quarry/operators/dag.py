@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+log = logging.getLogger(__name__)
+
 # The stages of an evaluation run and what each waits for.
 STAGES = {
     "profile": (), "ingest": ("profile",), "chunk": ("ingest",), "extract": ("chunk",), "clean": ("extract",), "graph": ("clean",), "sample": ("graph",), "qagen": ("sample",), "verify": ("qagen",), "gt_dataset": ("verify",),
@@ -36,10 +39,10 @@ def downstream(spark: SparkSession, stages: dict[str, tuple[str, ...]]) -> DataF
       SELECT stage, dependent, min(hops) AS hops FROM r GROUP BY 1, 2""")
 
 
-def execute(spark: SparkSession, stages: dict[str, tuple[str, ...]], build: dict[str, Callable[[SparkSession, dict[str, DataFrame]], DataFrame]], folder: str, completed: frozenset[str] = frozenset()) -> dict[str, str]:
+def execute(spark: SparkSession, stages: dict[str, tuple[str, ...]], build: dict[str, Callable[[SparkSession, dict[str, DataFrame]], DataFrame]], folder: str, completed: frozenset[str] = frozenset(), errors: dict[str, Exception] | None = None) -> dict[str, str]:
     """Runs stages in order; each writes a table at folder/stage that later ones read. Status of each: completed, failed or skipped.
 
-    A failed stage skips all that wait for it. `completed` stages are read from their tables instead of run again.
+    A failed stage skips all that wait for it, and its error is logged and put into `errors`. `completed` stages are read from their tables instead of run again.
     """
     status: dict[str, str] = {}
     tables: dict[str, DataFrame] = {}
@@ -52,6 +55,9 @@ def execute(spark: SparkSession, stages: dict[str, tuple[str, ...]], build: dict
                 build[s](spark, {x: tables[x] for x in stages[s]}).write.mode("overwrite").parquet(f"{folder}/{s}")
             tables[s] = spark.read.parquet(f"{folder}/{s}")
             status[s] = "completed"
-        except Exception:  # noqa: BLE001
+        except Exception as e:  # noqa: BLE001
+            log.exception("stage %s failed", s)
             status[s] = "failed"
+            if errors is not None:
+                errors[s] = e
     return status

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: list[str] = []
+
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "6g") -> SparkSession:
     """A session for tests and benches; on a cluster the caller brings its own."""
@@ -24,10 +26,12 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "6g
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session. Only where the cluster names none, one is made."""
+    """The checkpoint folder of the session. Only a session on one machine gets one where none is named; a cluster must name it."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quarry-ckpt-"))
     return sc.getCheckpointDir()
 
@@ -45,8 +49,18 @@ def stored(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
     df.write.partitionBy(*by).parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
 
 
+def release(spark: SparkSession) -> int:
+    """Removes the tables that `stored` has written in this process, and returns their number. No frame read from them works afterwards."""
+    n = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +41,9 @@ def write_artifact(df: DataFrame, folder: str, kind: str) -> str:
     path = f"{folder}/{kind}-{h.n}-{h.s or 0}"
     try:
         df.sparkSession.read.parquet(path)
-    except Exception:  # noqa: BLE001
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         df.write.mode("errorifexists").parquet(path)
     return path
 
