@@ -57,12 +57,15 @@ def train(ids: np.ndarray, starts: np.ndarray, y: np.ndarray, size: int, epochs:
     return w, bias
 
 
-def best_threshold(value: np.ndarray, truth: np.ndarray, weight: float = 1.0) -> float:
-    """The threshold with the best F1 of value >= threshold against truth; weight: what a negative counts."""
+def best_threshold(value: np.ndarray, truth: np.ndarray, weight: float = 1.0, share: float = 0.5) -> float:
+    """The threshold with the best F1 of value >= threshold against truth; weight: what a negative counts.
+
+    It lies in the gap below the last value kept, at this share of the gap from its lower end.
+    """
     order = np.argsort(-value, kind="stable")
     v, t = value[order], truth[order].astype(float)
     tp, fp = np.cumsum(t), np.cumsum((1 - t) * weight)
     f1 = 2 * tp / np.maximum(1e-9, tp + fp + t.sum())
     f1[:-1][v[:-1] == v[1:]] = -1
     k = int(np.argmax(f1)) if len(v) else 0
-    return float((v[k] + v[k + 1]) / 2 if k + 1 < len(v) else v[k] - 1e-6) if len(v) else 0.0
+    return float(v[k + 1] + (v[k] - v[k + 1]) * share if k + 1 < len(v) else v[k] - 1e-6) if len(v) else 0.0

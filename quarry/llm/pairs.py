@@ -1,7 +1,8 @@
 """Broken prompt and response pairs: a multi-label linear classifier on hashed n-grams and features of the pair.
 
-It is trained on sound pairs broken on purpose: cut off, copied, answered in another language, refused and emptied. Pairs
-that look broken after a first fit leave the sound side before the second. Thresholds are calibrated on held-out pairs.
+It is trained on sound pairs broken on purpose: cut off, copied, answered in another language, refused and emptied; refusals
+and sound denials are drawn from grammars that no table was used for. Pairs that look broken after a first fit leave the
+sound side before the second. Thresholds are calibrated on held-out pairs.
 """
 
 from __future__ import annotations
@@ -11,12 +12,15 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.declines import DENIALS, REFUSALS, draw
+from quarry.llm.declines import vocabulary as declining
 from quarry.llm.linear import best_threshold, scores, train
 from quarry.llm.residue import kind_of
 
@@ -25,8 +29,16 @@ LANGUAGES = ("en", "de", "fr", "es")
 BITS = 18
 #: Pairs that the classifiers are fitted on, at most; every pair is classified.
 SAMPLE = 4000
+#: Documents that the languages are learned from, at most.
+SPOKEN = 600
 #: What a sound held-out pair counts against a broken one when thresholds are calibrated.
 SOUND = 8.0
+#: Where in the gap between sound and broken held-out pairs a threshold lies; low, as real defects differ more than made ones.
+LOW = 0.25
+#: Length of the vector of a text's n-grams; a feature of the pair has 1.
+GRAMS = 3.0
+#: Margins per defect from which a sound pair of the sample is doubted and not fitted on; a log holds refusals among its answers.
+DOUBT = np.array([0.0, 0.0, -2.5, 0.0, 0.0], np.float32)
 
 # What stands for "no value", in lower case without marks at the ends.
 NO_VALUE = frozenset(
@@ -35,22 +47,6 @@ keine|keine angabe|keine angaben|k.a|k. a|entfällt|nichts|leer|ohne angabe|unbe
 néant|aucun|aucune|rien|vide|sans objet|s.o|non disponible|non renseigné|inconnu
 ninguno|ninguna|nada|vacío|sin datos|sin valor|no aplica|no disponible|desconocido""".replace("\n", "|").split("|")
 )
-# Ways to decline, by which refusals are made for training.
-REFUSALS = {
-    "en": """I'm sorry, but I can't help with that.|I cannot assist with that request.|I am unable to answer this question.|I can't provide an answer to that.|I don't know the answer, please consult an expert.|I don't know.|As a language assistant I cannot give advice on this matter.|As an AI model, I am not able to comment on that.|I must decline to respond to this request.|I would rather not answer this.|There is not enough information in the context to answer that.|The supplied facts are insufficient, so no answer can be provided.|Unfortunately the given passages do not let me answer.|The context does not contain the answer.|It is not possible to answer this from the given text.|Sorry, I won't answer that.|I have no information about this.|This question cannot be answered with the documents provided.""",
-    "de": """Es tut mir leid, dabei kann ich nicht helfen.|Diese Frage kann ich leider nicht beantworten.|Dazu möchte ich mich nicht äußern.|Die vorliegenden Angaben reichen für eine Antwort nicht aus.|Ich weiß es leider nicht.|Ich kann dazu keine Auskunft geben.|Der Kontext enthält keine Antwort auf diese Frage.|Leider lässt sich das anhand der Texte nicht beantworten.|Als Sprachmodell darf ich dazu nichts sagen.|Ich muss diese Anfrage ablehnen.""",
-    "fr": """Je suis désolé, je ne peux pas répondre à cette question.|Je préfère ne pas répondre à cette demande.|Les extraits fournis ne permettent pas de répondre.|Je ne sais pas, veuillez consulter un expert.|Je ne suis pas en mesure d'aider sur ce point.|Le contexte ne contient pas la réponse.|Désolé, je dois refuser cette demande.|Les informations sont insuffisantes pour répondre.|En tant qu'assistant, je ne peux pas donner d'avis.""",
-    "es": """Lo siento, no puedo responder a esa pregunta.|Prefiero no contestar a esta solicitud.|El contexto no basta para dar una respuesta.|No lo sé, consulte a un experto.|No puedo ayudar con eso.|Los fragmentos no permiten responder.|Debo rechazar esta solicitud.|No hay información suficiente para contestar.|Como asistente no puedo dar consejos sobre este asunto.""",
-}
-# Sound answers that deny or forbid something, so that a negation alone is no refusal.
-DENIALS = {
-    "en": """The cover cannot be opened before the pump has stopped.|It must not be stored near heat.|No, the limit does not apply to spare parts.|The test is not repeated if the first result is sound.|The valve can't be reached without a ladder.|Nothing in the report changes the limit.|The crew is unable to start the motor while the door is open.|There is no second inspection after the first year.""",
-    "de": """Der Deckel kann erst geöffnet werden, wenn die Pumpe steht.|Das Bauteil darf nicht neben Wärmequellen lagern.|Nein, der Grenzwert gilt nicht für Ersatzteile.|Die Prüfung wird nicht wiederholt, wenn das erste Ergebnis stimmt.|Das Ventil ist ohne Leiter nicht erreichbar.|Der Kessel kann leider nicht im Freien stehen.""",
-    "fr": """Le couvercle ne peut pas être ouvert avant l'arrêt de la pompe.|La pièce ne doit pas être rangée près d'une source de chaleur.|Non, la limite ne vaut pas pour les pièces de rechange.|L'essai n'est pas répété si le premier résultat est bon.|On ne peut pas atteindre la vanne sans échelle.""",
-    "es": """La tapa no se puede abrir antes de parar la bomba.|La pieza no debe guardarse cerca del calor.|No, el límite no vale para los repuestos.|La prueba no se repite si el primer resultado es bueno.|No es posible llegar a la válvula sin escalera.""",
-}
-OPENINGS = ("", "", "", "Hmm. ", "Well. ", "After reviewing the passages: ", "Answer: ", "Note: ")
-
 OPEN_ENDS = "-…(,–"
 
 _TOKEN = re.compile(r"\d+(?:[.,/]\d+)*|[^\W\d_]+|[^\w\s]|_")
@@ -59,6 +55,7 @@ _MARKS = re.compile(r"^[\W_]+|[\W_]+$")
 _MASK = (1 << BITS) - 1
 
 
+@lru_cache(maxsize=1 << 17)
 def _h(*parts: object) -> int:
     return zlib.crc32("\x1f".join(map(str, parts)).encode()) & _MASK
 
@@ -82,15 +79,33 @@ class Model:
     thresholds: np.ndarray
 
 
+class _Kept(dict):
+    """Values of a function of a word, kept for so many words."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str):
+        v = self.make(word)
+        if len(self) < 1 << 17:
+            self[word] = v
+        return v
+
+
+def _of_word(word: str) -> tuple[int, ...]:
+    low = word.lower()
+    if not (word[0].islower() or word.isupper()):
+        return (_h("w", low),)
+    p = f"<{low}>"
+    return (_h("w", low), *(_h("c", p[i : i + 3]) for i in range(len(p) - 2)))
+
+
+_SPOKEN = _Kept(_of_word)
+
+
 def _lang_features(text: str) -> list[int]:
-    out = []
-    for word in _WORD.findall(text):
-        low = word.lower()
-        out.append(_h("w", low))
-        if word[0].islower() or word.isupper():
-            p = f"<{low}>"
-            out += [_h("c", p[i : i + 3]) for i in range(len(p) - 2)]
-    return out
+    return [f for word in _WORD.findall(text) for f in _SPOKEN[word]]
 
 
 def language(model: Model, texts: list[str | None]) -> np.ndarray:
@@ -102,17 +117,23 @@ def language(model: Model, texts: list[str | None]) -> np.ndarray:
     return z
 
 
-def _masked(vocabulary: frozenset[str], text: str) -> list[str]:
-    out = []
-    for t in _TOKEN.findall(text):
-        low = t.lower()
-        if t[0].isdigit():
-            out.append("#")
-        elif not t[0].isalpha() or low in vocabulary:
-            out.append(low)
-        else:
-            out.append("XX" if t.isupper() and len(t) > 1 else "Xx" if t[0].isupper() else "xx")
-    return out
+def _of_token(t: str) -> tuple[str, int]:
+    """How a token is written if it is no known word, and its number."""
+    form = "#" if t[0].isdigit() else t.lower() if not t[0].isalpha() else "XX" if t.isupper() and len(t) > 1 else "Xx" if t[0].isupper() else "xx"
+    return form, zlib.crc32(form.encode())
+
+
+def _stem(word: str) -> int:
+    """The first five letters of a word in lower case; 0 for others, which may be names."""
+    return _h("s", word[:5]) if word.islower() and len(word) > 3 else 0
+
+
+_STEMS = _Kept(_stem)
+_FORMS, _KNOWN = _Kept(_of_token), _Kept(lambda low: (low, zlib.crc32(low.encode())))
+
+
+def _masked(vocabulary: frozenset[str], text: str) -> list[tuple[str, int]]:
+    return [_KNOWN[low] if t[0].isalpha() and (low := t.lower()) in vocabulary else _FORMS[t] for t in _TOKEN.findall(text)]
 
 
 def _bucket(x: float, edges: tuple[float, ...]) -> int:
@@ -120,27 +141,32 @@ def _bucket(x: float, edges: tuple[float, ...]) -> int:
 
 
 _R = (0.2, 0.4, 0.55, 0.7, 0.8, 0.9, 0.97)
-_N = (1, 2, 3, 5, 8, 12, 18, 30, 60)
+_N = (1, 2, 3, 4, 6, 8, 12, 18, 30, 60)
+_GAP = (-4, -2, -1, -0.3, 0, 0.5, 2)
 
 
 def pair_features(model: Model, q: str | None, a: str | None, lq: np.ndarray, la: np.ndarray) -> tuple[list[int], list[float]]:
-    """Feature numbers and values of one pair. n-grams share one unit of length, features of the pair count 1 each."""
+    """Feature numbers and values of one pair. n-grams share GRAMS units of length, features of the pair count 1 each."""
     a = a or ""
     t = _masked(model.vocabulary, a)
-    grams = [_h("1", x) for x in t] + [_h("2", x, y) for x, y in zip(t, t[1:])] + [_h("3", *x) for x in zip(t, t[1:], t[2:])]
+    c = [x for _, x in t]
+    grams = [(x * 0x9E3779B1 >> 7) & _MASK for x in c]
+    grams += [s for w in _WORD.findall(a) if (s := _STEMS[w])]
+    grams += [(x * 0x85EBCA6B + y * 0xC2B2AE35 >> 9) & _MASK for x, y in zip(c, c[1:])]
+    grams += [(x * 0x27D4EB2F + y * 0x165667B1 + z * 0x9E3779B1 >> 11) & _MASK for x, y, z in zip(c, c[1:], c[2:])]
     end = a.rstrip()
     mark = "..." if end.endswith("...") else end[-1] if end and not end[-1].isalnum() else ""
-    body = [x for x in t if x[0].isalnum() or x == "#"]
+    body = [x for x, _ in t if x[0].isalnum() or x == "#"]
     n = _bucket(len(body), _N)
-    bodies = ["^", "^", "^", *body]
+    bodies = ["^", "^", "^", *body[-4:]]
     raw = _WORD.findall(end)
+    shape = bodies[-1] if bodies[-1] in ("xx", "Xx", "XX", "#") else "v"
     f = [
         _h("n", n), _h("mark", mark), _h("mark", mark, n), _h("last", bodies[-1]), _h("last", bodies[-1], mark), _h("last2", *bodies[-2:]), _h("last3", *bodies[-3:]), _h("last4", *bodies[-4:]),
-        _h("shape", bodies[-1] if bodies[-1] in ("xx", "Xx", "XX", "#") else "v", bool(mark)), _h("short", min(4, len(raw[-1]) if raw else 0), mark == ""), _h("open", a.count("(") > a.count(")")), _h("first2", *t[:2]), _h("novalue", is_empty(a)),
+        _h("shape", shape, bool(mark)), _h("shape", shape, bool(mark), n), _h("short", min(4, len(raw[-1]) if raw else 0), mark == ""), _h("open", a.count("(") > a.count(")")), _h("first2", *(x for x, _ in t[:2])), _h("novalue", is_empty(a)), _h("openend", end[-1:] in OPEN_ENDS and bool(end), min(n, 4)),
     ]
     if q:
-        qw, aw = set(_TOKEN.findall(q.lower())), [x for x in _TOKEN.findall(a.lower()) if x[0].isalnum()]
-        qw = {x for x in qw if x[0].isalnum()}
+        qw, aw = {x for x in _TOKEN.findall(q.lower()) if x[0].isalnum()}, [x for x in _TOKEN.findall(a.lower()) if x[0].isalnum()]
         both = [x in qw for x in aw]
         r1, r2 = sum(both) / max(1, len(aw)), len(qw & set(aw)) / max(1, len(qw))
         new = len({x for x in aw if x[0].isdigit() and x not in qw})
@@ -148,11 +174,12 @@ def pair_features(model: Model, q: str | None, a: str | None, lq: np.ndarray, la
         f += [_h("r1", b1), _h("r2", b2), _h("r12", b1, b2), _h("new", min(new, 2), b1), _h("r12new", b1, b2, min(new, 2)), _h("newend", min(3, both[::-1].index(True) if True in both else 3), b1)]
         if lq.any() and la.any():
             i = int(lq.argmax())
-            gap = float(la[i] - np.delete(la, i).max())
-            f += [_h("lang", _bucket(gap, (-4, -2, -1, -0.3, 0, 0.5, 2))), _h("lang", _bucket(gap, (-4, -2, -1, -0.3, 0, 0.5, 2)), _bucket(len(raw), (1, 2, 4, 8)))]
+            z = la.tolist()
+            gap = _bucket(z.pop(i) - max(z), _GAP)
+            f += [_h("lang", gap), _h("lang", gap, _bucket(len(raw), (1, 2, 4, 8)))]
     else:
         f.append(_h("noq"))
-    return grams + f, [1 / max(1.0, len(grams) ** 0.5)] * len(grams) + [1.0] * len(f)
+    return grams + f, [GRAMS / max(1.0, len(grams) ** 0.5)] * len(grams) + [1.0] * len(f)
 
 
 def _matrix(model: Model, pairs: list[tuple[str | None, str | None]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,18 +189,40 @@ def _matrix(model: Model, pairs: list[tuple[str | None, str | None]]) -> tuple[n
     return np.array([x for r in rows for x in r[0]], dtype=np.int64), starts, np.array([x for r in rows for x in r[1]], dtype=np.float32)
 
 
+def _rows(ids: np.ndarray, starts: np.ndarray, value: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Some rows of a matrix."""
+    n = np.diff(starts)[rows]
+    at = np.repeat(starts[rows] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+    return ids[at], np.r_[0, np.cumsum(n)], value[at]
+
+
 def _cut(rng: np.random.Generator, a: str) -> str | None:
+    """The answer broken off; up to five words only with a mark of breaking off, as without one they may be a short answer."""
     words = a.split()
     if len(words) < 7:
         return None
-    keep = int(rng.integers(max(4, len(words) // 3), len(words)))
+    if rng.random() < 0.1:
+        return " ".join(words[: int(rng.integers(2, 6))]).rstrip(".,;:!?") + (" …", " ...", " (", ",", "-", " –")[int(rng.integers(6))]
+    keep = int(rng.integers(max(5, len(words) // 3), len(words)))
     s = " ".join(words[:keep])
     if s[-1] in ".!?;":
         return None
     kind = rng.random()
     if kind < 0.35 and len(words[keep]) >= 4:
         return s + " " + words[keep][: int(rng.integers(1, len(words[keep]) - 1))] + ("-" if rng.random() < 0.4 else "")
-    return s.rstrip(",") + ("", "", "", " …", " ...", " (", ",")[int(rng.integers(7))]
+    return s.rstrip(",") + ("", "", "", " …", " ...", " (", ",")[int(rng.integers(7))] if keep > 5 else None
+
+
+def _short(rng: np.random.Generator, a: str) -> str | None:
+    """A short answer: one to five words of a sound one, around a number or a name if it has any."""
+    words = a.rstrip(" .!").split()
+    held = [i for i, w in enumerate(words) if w[0].isdigit()] or [i for i, w in enumerate(words) if w[0].isupper()]
+    if not held:
+        return None
+    i, n = held[int(rng.integers(len(held)))], int(rng.integers(1, 6))
+    first = max(0, i - int(rng.integers(0, n)))
+    s = " ".join(words[first : first + n]).strip(" ,;:(-–")
+    return s[:1].upper() + s[1:] + ("", ".")[int(rng.integers(2))] if s and s[-1].isalnum() else None
 
 
 def _copied(rng: np.random.Generator, q: str) -> str:
@@ -196,17 +245,18 @@ def _copied(rng: np.random.Generator, q: str) -> str:
     return ("{}", "{}", "{}", '"{}"', "You asked: {}", "Question: {}", "{} Answer:", "The question was: {}")[int(rng.integers(8))].format(s)
 
 
-def _broken(model: Model, pairs: list[tuple[str, str]], seed: int) -> tuple[list[tuple[str | None, str | None]], np.ndarray, np.ndarray]:
-    """Pairs made from sound ones, their labels, and which sound pair each came from (-1: made)."""
+def _broken(model: Model, pairs: list[tuple[str, str]], seed: int) -> tuple[list[tuple[str | None, str | None]], np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs made from sound ones, their labels, which sound pair each is (-1: made), and which pair each was made from."""
     rng = np.random.default_rng(seed)
     lang = language(model, [q for q, _ in pairs]).argmax(axis=1)
     by = [np.flatnonzero(lang == i) for i in range(len(LANGUAGES))]
-    out, y, of = [], [], []
+    out, y, of, made_from = [], [], [], []
 
-    def add(q, a, defect: str | None, source: int = -1) -> None:
+    def add(q, a, defect: str | tuple | None, source: int = -1) -> None:
         out.append((q, a))
-        y.append([defect == d for d in DEFECTS])
+        y.append([d == defect or (isinstance(defect, tuple) and d in defect) for d in DEFECTS])
         of.append(source)
+        made_from.append(i)
 
     for i, (q, a) in enumerate(pairs):
         add(q, a, None, i)
@@ -227,24 +277,34 @@ def _broken(model: Model, pairs: list[tuple[str, str]], seed: int) -> tuple[list
             b = pairs[int(rng.choice(by[int(rng.choice(other))]))][1]
             if len(_WORD.findall(b)) >= 5:
                 add(q, b, "other_language")
-        if rng.random() < 0.8:
-            r = REFUSALS[LANGUAGES[lang[i]]].split("|")
-            add(q, OPENINGS[int(rng.integers(len(OPENINGS)))] + r[int(rng.integers(len(r)))], "refusal")
+                if rng.random() < 0.1 and (c := _cut(rng, b)) and len(c.split()) > 8 and not kind_of(c):
+                    add(q, c, ("other_language", "truncated"))
+        own = LANGUAGES[lang[i]]
+        for _ in range(2):
+            if rng.random() < 0.6:
+                add(q, draw(rng, REFUSALS[own]), "refusal")
+        if rng.random() < 0.15:  # a refusal that names what was asked
+            w = q.rstrip(" ?.").split()
+            k = int(rng.integers(2, 6))
+            add(q, f"{draw(rng, REFUSALS[own]).rstrip('.!')} ({' '.join(w[-k:])}).", "refusal")
         if rng.random() < 0.4:
-            r = DENIALS[LANGUAGES[lang[i]]].split("|")
-            add(q, r[int(rng.integers(len(r)))], None)
-        if rng.random() < 0.2:
-            add(q, rng.choice(["", " ", "-", "—", "...", "?", "[]", '""', "\\n", *sorted(NO_VALUE)]), "empty")
-    return out, np.array(y, dtype=np.float32), np.array(of)
+            add(q, draw(rng, DENIALS[own]), None)
+        if rng.random() < 0.35 and (c := _short(rng, a)):
+            add(q, c, None)
+        if rng.random() < 0.3:
+            e = ["", " ", "-", "—", "...", "?", "[]", '""', "\\n", "--", ".", "***", "\n", *sorted(NO_VALUE)][int(rng.integers(13 + len(NO_VALUE)))]
+            k = int(rng.integers(4))
+            add(q, (e, e.upper(), e.capitalize() + ".", f"({e})")[k] if e.strip() and e[0].isalpha() else e, "empty")
+    return out, np.array(y, dtype=np.float32), np.array(of), np.array(made_from)
 
 
 def fit(pairs: list[tuple[str, str]], spoken: list[tuple[str, str]]) -> Model:
     """Fits on (question, answer) pairs, mostly sound, and on (text, language) examples."""
     words = Counter(w for q, a in pairs for t in {q, a} for w in {x.lower() for x in _WORD.findall(t)})
-    said = {w.lower() for lists in (REFUSALS, DENIALS) for t in lists.values() for w in _WORD.findall(t)}
-    vocabulary = frozenset(w for w, n in words.items() if n >= 4) | said
+    vocabulary = frozenset(w for w, n in words.items() if n >= 4) | declining()
     k = len(LANGUAGES)
     model = Model(vocabulary, np.zeros((1 << BITS, k), np.float32), np.zeros(k, np.float32), np.zeros((1 << BITS, len(DEFECTS)), np.float32), np.full(len(DEFECTS), -1.0, np.float32), np.zeros(len(DEFECTS), np.float32))
+    model.w[_h("novalue", True), 0] = 2.0  # all that is known without a pair to fit on
     texts, label = [t for t, l in spoken if l in LANGUAGES], [LANGUAGES.index(l) for _, l in spoken if l in LANGUAGES]
     pairs = [(q, a) for q, a in pairs if q and a and not is_empty(a) and not kind_of(a) and not kind_of(q)]
     if not texts or not pairs:
@@ -264,59 +324,62 @@ def fit(pairs: list[tuple[str, str]], spoken: list[tuple[str, str]]) -> Model:
         sure = order[:, -1] - order[:, -2] > 1
         speak(texts + [t for t, x in zip(own, sure) if x], label + z.argmax(axis=1)[sure].tolist())
 
-    fitted, held = [p for i, p in enumerate(pairs) if i % 5], pairs[::5]
-    made, y, of = _broken(model, fitted, 11)
+    fold = np.array([zlib.crc32(a.encode()) % 5 for _, a in pairs])  # equal answers stay together
+    fitted, held = [p for p, k in zip(pairs, fold) if k], [p for p, k in zip(pairs, fold) if not k]
+    made, y, of, source = _broken(model, fitted, 11)
     ids, starts, value = _matrix(model, made)
-    keep = np.ones(len(made), bool)
-    for turn in range(2):
-        weight = keep.astype(np.float32)
-        model.w, model.bias = train(ids, starts, y, 1 << BITS, epochs=4, rate=0.3, value=value, weight=weight)
-        if not turn:
-            z = scores(model.w, model.bias, ids, starts, value)
-            doubtful = set(of[(of >= 0) & (z > 0).any(axis=1)].tolist())
-            keep = np.array([o < 0 or o not in doubtful for o in of])
-    made, y, of = _broken(model, held, 12)
+    half = np.array([zlib.crc32(a.encode()) % 2 for _, a in fitted])
+    doubtful = np.zeros(len(fitted), bool)
+    for side in range(2):  # sound pairs are doubted by a fit that has not seen their answers
+        w, bias = train(ids, starts, y, 1 << BITS, epochs=3, rate=0.3, value=value, weight=(half[source] != side).astype(np.float32))
+        mine = np.flatnonzero((of >= 0) & (half[source] == side))
+        z = scores(w, bias, *_rows(ids, starts, value, mine))
+        doubtful[of[mine[(z > DOUBT).any(axis=1)]]] = True
+    made, y, *_ = _broken(model, [p for p, x in zip(fitted, doubtful) if not x], 11)
     ids, starts, value = _matrix(model, made)
-    z = scores(model.w, model.bias, ids, starts, value)
-    doubtful = set(of[(of >= 0) & (z > 1).any(axis=1)].tolist())
-    keep = np.array([o < 0 or o not in doubtful for o in of])
+    model.w, model.bias = train(ids, starts, y, 1 << BITS, epochs=4, rate=0.3, value=value)
+    z = scores(model.w, model.bias, *_matrix(model, held))
+    made, y, *_ = _broken(model, [p for p, x in zip(held, (z > DOUBT).any(axis=1)) if not x], 12)
+    z = scores(model.w, model.bias, *_matrix(model, made))
     for d in range(len(DEFECTS)):
-        if y[keep, d].sum() >= 20:
-            model.thresholds[d] = min(1.0, max(-1.0, best_threshold(z[keep, d], y[keep, d] > 0, SOUND)))
+        if y[:, d].sum() >= 20:
+            model.thresholds[d] = min(1.0, max(-1.0, best_threshold(z[:, d], y[:, d] > 0, SOUND, LOW)))
     return model
 
 
-def judge(model: Model, pairs: list[tuple[str | None, str | None]]) -> list[tuple[str, float] | None]:
-    """The defect and its margin of each pair, the likeliest where several show; None for sound pairs and residue.
+def labels(model: Model, pairs: list[tuple[str | None, str | None]]) -> list[list[tuple[str, float]]]:
+    """Every defect that the classifier finds in each pair, with its margin, the likeliest first; none for sound pairs.
 
-    What stands for no value is `empty` whatever the classifier says, and nothing else is; a text of up to five words and
-    numbers is a short answer, unless it ends in a mark of breaking off; without a question nothing is a copy or in
-    another language.
+    What is residue has no other defect than `empty`; without a question, or with residue for one, nothing is a copy or in another language. An
+    `empty` that the classifier finds is checked exactly; what is empty has no other defect.
     """
     if not pairs:
         return []
     z = scores(model.w, model.bias, *_matrix(model, pairs)) - model.thresholds
-    out: list[tuple[str, float] | None] = []
-    for (q, a), row in zip(pairs, z):
-        if is_empty(a):
-            out.append(("empty", float(max(row[0], 0.0))))
+    out: list[list[tuple[str, float]]] = []
+    for (q, a), row in zip(pairs, z.tolist()):
+        if max(row) < 0:
+            out.append([])
+            continue
+        if row[0] >= 0 and is_empty(a):
+            out.append([("empty", row[0])])
             continue
-        if not (row[1:] >= 0).any() or kind_of(a):
-            out.append(None)
+        if max(row[1:]) < 0 or kind_of(a):
+            out.append([])
             continue
-        row = row.copy()
-        row[0] = -9
-        if not q:
-            row[3:] = -9
-        if len(a.split()) <= 5 and a.rstrip()[-1:] not in OPEN_ENDS:
-            row[1] = -9
-        d = int(row.argmax())
-        out.append((DEFECTS[d], float(row[d])) if row[d] >= 0 else None)
+        asked = bool(q) and (max(row[3:]) < 0 or not kind_of(q))
+        got = [(d, v) for d, v in list(zip(DEFECTS, row))[1 : None if asked else 3] if v >= 0]
+        out.append(sorted(got, key=lambda x: -x[1]))
     return out
 
 
+def judge(model: Model, pairs: list[tuple[str | None, str | None]]) -> list[tuple[str, float] | None]:
+    """The likeliest defect and its margin of each pair, None for sound pairs and residue."""
+    return [x[0] if x else None for x in labels(model, pairs)]
+
+
 def defects(rows: DataFrame, model: Model, row_id: str, question: str, answer: str, abstained: str | None = None) -> DataFrame:
-    """row_id, defect, margin, distinct. Where `abstained` is true nothing is a defect; null counts as false.
+    """row_id, defect, margin, distinct, one row per defect of a pair. Where `abstained` is true nothing is a defect; null counts as false.
 
     Null questions, empty answers, repeated rows and empty tables are all allowed; null ids are left out.
     """
@@ -328,7 +391,7 @@ def defects(rows: DataFrame, model: Model, row_id: str, question: str, answer: s
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            got = judge(held.value, [(q if isinstance(q, str) else None, a if isinstance(a, str) else None) for q, a in zip(p.iloc[:, 1], p.iloc[:, 2])])
-            yield pd.DataFrame([(i, *g) for i, g in zip(p.iloc[:, 0], got) if g], columns=["row_id", "defect", "margin"])
+            got = labels(held.value, [(q if isinstance(q, str) else None, a if isinstance(a, str) else None) for q, a in zip(p.iloc[:, 1], p.iloc[:, 2])])
+            yield pd.DataFrame([(i, *x) for i, g in zip(p.iloc[:, 0], got) for x in g], columns=["row_id", "defect", "margin"])
 
     return use.select(row_id, question, answer).mapInPandas(run, f"row_id {ids}, defect string, margin double").dropDuplicates(["row_id", "defect"])
