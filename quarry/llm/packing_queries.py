@@ -11,7 +11,7 @@ from quarry.session import table
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     """pack_id, doc_id, piece, token_start, tokens, container for every pack size."""
-    sizes = table(spark, d, "pack_sizes").filter("pack_id is not null and capacity_tokens > 0").distinct().orderBy("pack_id").limit(1000).collect()
+    sizes = table(spark, d, "pack_sizes").filter("pack_id is not null and capacity_tokens > 0").distinct().orderBy("pack_id").collect()
     return pack_all(table(spark, d, "documents"), [(r.pack_id, int(r.capacity_tokens)) for r in sizes])
 
 

@@ -70,9 +70,10 @@ def split(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, int,
     """(piece_no, char_start, body_start, char_end, piece) in order; offsets count code points of text.
 
     The bodies [body_start, char_end) follow each other without gap and make up the whole text. char_start reaches back
-    by at most overlap, to the start of a word if one is there. An overlap of the limit or more counts as half the limit.
+    by at most overlap, to the start of a word if one is there. An overlap of the limit or more counts as one less than the
+    limit, so that each piece still brings a character.
     """
-    overlap = max(0, min(overlap, limit // 2 if overlap >= limit else overlap))
+    overlap = max(0, min(overlap, limit - 1))
     cuts = bodies(text, limit, overlap)
     words = [m.end() for m in BOUNDARIES[-1].finditer(text)] if overlap and len(cuts) > 1 else []
     out = []

@@ -32,6 +32,8 @@ GROUPS = 3
 RATIO, MIXED = 20, 1
 #: A running head recurs in at least so many chunks of its document.
 RECUR = 3
+#: Pages of a chunk up to which its page numbers tell how far they are from its pages.
+SPAN = 50
 HYPHENS = "-‐¬­"
 
 _SPLIT = re.compile(r"[^\w@!]+|_+")
@@ -164,7 +166,7 @@ def evidence(text: str, path: str | None, common: frozenset[str]) -> Iterator[tu
     for i, line in enumerate(lines[:-1]):
         if line.rstrip()[-1:] not in HYPHENS or not (m := _LEFT.search(line)):
             continue
-        for j in range(i + 1, min(i + 6, len(lines))):
+        for j in range(i + 1, len(lines)):
             if j in skip or not lines[j].strip():
                 continue
             if r := _RIGHT.match(lines[j]):
@@ -206,19 +208,20 @@ def page_numbers(found: DataFrame, heads: DataFrame) -> DataFrame:
 
     A dashed or worded form always is one, one in brackets or with the number of pages unless more of them stand in the
     chunk than it has pages. A bare number is one if it lies within the chunk's pages or as far from them as in another
-    chunk of the document, and is not one of a column of numbers.
+    chunk of the document, and is not one of a column of numbers. How far is only told by chunks of at most SPAN pages;
+    others are as good as unnumbered.
     """
     alone = found.filter("kind = 'page'").select("chunk_id", "doc_id", F.col("a").alias("form"), F.col("x").alias("n"), F.col("y").alias("alike"), "lo", "hi").distinct()
     span = F.col("hi") - F.col("lo")
     few = F.col("alike") <= F.least(F.greatest(F.coalesce(span, F.lit(1)), F.lit(0)) + 1, F.lit(3))
     sure = alone.filter(F.col("form").isin(*PLAIN_FORMS) | (few & F.col("form").isin(*COUNTED_FORMS)))
     rest = alone.filter((F.col("form") == "bare") & few)
-    there = rest.filter(F.col("lo").isNotNull() & (span >= 0) & (span <= 50))
+    there = rest.filter(F.col("lo").isNotNull() & (span >= 0))
     inside = there.filter((F.col("n") >= F.col("lo")) & (F.col("n") <= F.col("hi")))
-    far = there.withColumn("o", F.explode(F.expr("transform(sequence(lo, hi), p -> n - p)")))
+    far = there.filter(span <= SPAN).withColumn("o", F.explode(F.expr("transform(sequence(lo, hi), p -> n - p)")))
     shared = far.groupBy("doc_id", "form", "o").agg(F.countDistinct("chunk_id").alias("c")).filter("c > 1").drop("c")
     moved = far.join(shared, ["doc_id", "form", "o"], "left_semi")
-    lost = rest.filter("lo is null").join(inside.unionByName(moved.select(inside.columns)).select("doc_id", "form").distinct(), ["doc_id", "form"], "left_semi")
+    lost = rest.filter(F.col("lo").isNull() | (span > SPAN)).join(inside.unionByName(moved.select(inside.columns)).select("doc_id", "form").distinct(), ["doc_id", "form"], "left_semi")
     named = found.filter("kind = 'head' and b is not null").join(heads.withColumnRenamed("key", "a"), ["doc_id", "a"], "left_semi").select("chunk_id", F.lit("head").alias("form"), F.col("b").cast("int").alias("n"))
     parts = [x.select("chunk_id", "form", "n") for x in (sure, inside, moved, lost, named)]
     return reduce(DataFrame.unionByName, parts).distinct()

@@ -227,7 +227,8 @@ def fit_on(documents: DataFrame, labels: DataFrame, subjects: list[str], sample:
     """Fits on at most `sample` labelled documents and as many without label, chosen by a hash of their id."""
     few = labels.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     known = labelled(documents, labels.join(few, "doc_id")).collect()
-    more = documents.filter("text is not null").select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(UNLABELLED)
+    ids = documents.filter("text is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(UNLABELLED)
+    more = documents.select("doc_id", "text").join(F.broadcast(ids.distinct()), "doc_id")
     held = {r.text for r in known}
     return fit([(r.text, tuple(r.subjects)) for r in known], subjects, [r.text for r in more.collect() if r.text not in held])
 

@@ -11,7 +11,7 @@ from quarry.session import table
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
-    subjects = sorted(r.subject.strip().lower() for r in table(spark, d, "subject_areas").filter("subject is not null").select("subject").distinct().limit(1000).collect())
+    subjects = sorted(r.subject.strip().lower() for r in table(spark, d, "subject_areas").filter("subject is not null").select("subject").distinct().collect())
     return classify(documents, fit_on(documents, table(spark, d, "subject_labels"), subjects))
 
 

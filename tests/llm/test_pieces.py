@@ -30,6 +30,11 @@ def test_giant_text_without_boundary():
     assert all(len(p) <= 700 for *_, p in got) and got[-1][3] == 100_000
 
 
+def test_the_number_of_pieces_grows_with_the_overlap():
+    n = [len(P.split("word " * 400, 100, o)) for o in (0, 50, 90, 98, 99, 100, 5000)]
+    assert n == sorted(n) and n[-1] == n[-2] == n[-3]
+
+
 def test_operator_handles_nulls_ties_and_clashing_names(spark):
     rows = [("a", "x y " * 30, 20, 4), ("a", "x y " * 30, 20, 4), ("b", None, 20, 4), ("c", "", 5, 1), ("d", "long enough text", None, 1), ("e", "long enough text", 0, 1), ("f", "long enough text", 8, None), ("g", "short", 8, 2)]
     d = spark.createDataFrame([(*r, "mine") for r in rows], "chunk_id string, text string, chunk_size int, overlap int, piece string")

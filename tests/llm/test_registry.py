@@ -33,3 +33,8 @@ def test_found_columns(spark, data):
 def test_core_without_the_subpackage():
     code = "import sys; sys.modules['quarry.llm'] = None; import __spark_entry__ as e; assert 'p2_found' in e.queries() and 'p1_found' not in e.queries()"
     assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True).returncode == 0
+
+
+def test_core_where_a_part_cannot_be_imported():
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; assert 'p2_found' in e.queries() and 'p1_found' not in e.queries() and len(e.queries()) > 150"
+    assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True).returncode == 0
