@@ -9,10 +9,20 @@ from quarry.llm.packing import pack_all
 from quarry.session import table
 
 
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pack_sizes").select("pack_id", F.col("capacity_tokens").alias("capacity"))
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     """pack_id, doc_id, piece, token_start, tokens, container for every pack size."""
-    sizes = table(spark, d, "pack_sizes").filter("pack_id is not null and capacity_tokens > 0").distinct().orderBy("pack_id").collect()
-    return pack_all(table(spark, d, "documents"), [(r.pack_id, int(r.capacity_tokens)) for r in sizes])
+    return pack_all(table(spark, d, "documents"), _sizes(spark, d))[0]
+
+
+def p7_program(spark: SparkSession, d: str) -> DataFrame:
+    """Per pack size: the program's lower bound, the containers of each stage, and by how much they exceed the bound."""
+    where = pack_all(table(spark, d, "documents"), _sizes(spark, d))[1].select("pack_id", "stage", "base", "times", "bound").distinct()
+    of = lambda s: F.sum(F.when(F.col("stage") == s, F.col("times")).otherwise(0))
+    return where.groupBy("pack_id").agg(F.max("bound").alias("bound"), of("whole").alias("n_whole"), of("priced").alias("n_priced"), of("greedy").alias("n_greedy"), (F.sum("times") / F.max("bound") - 1).alias("gap"))
 
 
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -22,5 +32,5 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return sized.select("pack_id", "n_containers", "n_tokens", F.ceil(F.col("n_tokens") / F.col("capacity_tokens")).alias("least_containers"), (F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens"))).alias("filled"))
 
 
-QUERIES = {"p7_containers": p7_containers, "p7_fill": p7_fill}
+QUERIES = {"p7_containers": p7_containers, "p7_fill": p7_fill, "p7_program": p7_program}
 SQL: dict[str, str] = {}

@@ -50,3 +50,34 @@ def test_token_counts(spark):
     d = spark.createDataFrame([(1, "Hello world, hello"), (2, None), (3, ""), (None, "x"), (1, "Hello world, hello"), (4, "<|endoftext|> ä" * 2000)], "doc_id long, text string")
     got = {r.doc_id: r.tokens for r in P.token_counts(d).collect()}
     assert got[1] == 4 and got[3] == 0 and set(got) == {1, 3, 4} and got[4] > 4000
+
+
+def test_program_covers_all_and_its_bound_holds():
+    import numpy as np
+
+    l, h = np.array([3, 7, 20, 22, 31, 33]), np.array([800, 500, 200, 400, 300, 300])
+    uses, bound = P.program(l, h, 64)
+    cover = np.zeros(6)
+    for key, x in uses.items():
+        assert sum(l[k] * n for k, n in key) <= 64
+        for k, n in key:
+            cover[k] += n * x
+    assert (cover >= h - 1e-6).all() and (l * h).sum() / 64 - 1 <= bound <= sum(uses.values())
+
+
+def test_large_histograms_are_within_a_percent_of_the_bound_and_mostly_from_the_program():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    h = {int(l): int(n) for l, n in zip(range(5, 400), rng.poisson(3000, 395))}
+    found, bound = P.solve(h, 512)
+    n = {s: sum(t for x, _, t in found if x == s) for s in ("whole", "priced", "greedy")}
+    assert sum(n.values()) <= 1.01 * bound and n["greedy"] <= 0.02 * sum(n.values())
+
+
+def test_many_sizes(spark):
+    d = spark.createDataFrame([(i, "word " * (i % 40 + 1)) for i in range(60)], "doc_id long, text string")
+    sizes = spark.createDataFrame([(f"p{c}", c) for c in range(30, 38)] + [(None, 9), ("x", None), ("y", 0)], "pack_id string, capacity int")
+    got = P.pack_all(d, sizes)[0].groupBy("pack_id").agg(F.sum("tokens").alias("n")).collect()
+    assert len(got) == 8 and len({r.n for r in got}) == 1
+    assert P.pack_all(d, sizes.limit(0))[0].count() == 0
