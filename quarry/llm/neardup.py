@@ -5,8 +5,8 @@ sets differ in words. Sets with shared words / all words >= s differ in at most
 a pair whose fingerprints differ in more bits can be dropped unseen, and no true pair ever is.
 
 The index is spread over the cluster by rare words: sets that similar share one of their rarest words (a prefix of the
-words in order of frequency). Each bucket of such a word is an index of its own: fingerprints in Gray order, upper nodes
-holding the bits their members share, node pairs dropped by the differences they have in common.
+words in order of frequency). Each bucket of such a word, whatever its size, is an index of its own: fingerprints in Gray
+order, upper nodes holding the bits their members share, node pairs dropped by the differences they have in common.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from quarry.session import stored
 COMMON = 2000
 #: Rows of a bucket, or of one side of a pair of blocks, that one task holds at once.
 BLOCK = 4096
-LEAF = 32
 _KEY = ["k", "bi", "bj"]
 
 
@@ -46,60 +45,62 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).sum(axis=-1)
 
 
-def near(codes: np.ndarray, n: np.ndarray, block: np.ndarray, cross: bool, s: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of one bucket whose codes differ in few enough bits and whose sizes fit; codes: (rows, 2) uint64.
+def near(key: np.ndarray, codes: np.ndarray, n: np.ndarray, block: np.ndarray, cross: np.ndarray, s: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of rows of one bucket whose codes differ in few enough bits and whose sizes fit; codes: (rows, 2) uint64.
 
-    Rows are put in Gray order and grouped in leaves; each level of upper nodes keeps the bits shared by all below. From
-    the root on, pairs of nodes are split into pairs of children unless their shared bits already differ too much.
-    cross: only pairs from different blocks count.
+    key: the bucket of each row, equal keys together. Each bucket is a tree of its own, all trees are built and searched at
+    once: rows are put in Gray order, and each level of upper nodes keeps the bits shared by all below. From the roots on,
+    pairs of nodes are split into pairs of children unless their shared bits already differ too much.
+    cross: of a row's bucket only pairs from different blocks count.
     """
+    none = np.zeros(0, np.int64)
+    if len(key) < 2:
+        return none, none
     allow = (1 - s) / (1 + s)
     hi, lo = gray_rank(codes[:, 0]), gray_rank(codes[:, 1])
     lo = np.where(hi & np.uint64(1), ~lo, lo)  # the second word runs backwards after an odd first
-    order = np.lexsort((lo, hi))
-    c, m, b = codes[order], n[order], block[order]
-    ands, ors, most = [c], [c], [m]
-    while len(ands[-1]) > 1:
-        a, o, k = ands[-1], ors[-1], most[-1]
-        if len(a) % 2:
-            a, o, k = np.vstack([a, a[-1:]]), np.vstack([o, o[-1:]]), np.append(k, k[-1])
-        ands.append(a[0::2] & a[1::2])
-        ors.append(o[0::2] | o[1::2])
-        most.append(np.maximum(k[0::2], k[1::2]))
-    found, stack = [], [(len(ands) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    tree = np.r_[0, np.cumsum(key[1:] != key[:-1])]
+    order = np.lexsort((lo, hi, tree))
+    c, m, b, x = codes[order], n[order], block[order], cross[order]
+    levels = [(c, c, m, tree, None)]  # shared ones, any ones, largest size, tree, place of the first child below
+    roots = []
+    while True:
+        a, o, k, t, _ = levels[-1]
+        first = np.r_[True, t[1:] != t[:-1]]
+        starts = np.flatnonzero(first)
+        sizes = np.diff(np.r_[starts, len(t)])
+        roots.append(starts[(sizes == 1)] if len(levels) > 1 else none)
+        if (sizes == 1).all():
+            break
+        inside = np.arange(len(t)) - np.repeat(starts, sizes)
+        live = np.repeat(sizes > 1, sizes)  # a tree that has come to its root stays there
+        up = np.flatnonzero(live & (inside % 2 == 0))
+        ends = np.minimum(np.r_[up[1:], len(t)], up + 2)
+        pair = np.where((ends - up > 1) & (np.minimum(up + 1, len(t) - 1) < len(t)) & (t[np.minimum(up + 1, len(t) - 1)] == t[up]), np.minimum(up + 1, len(t) - 1), up)
+        levels.append((a[up] & a[pair], o[up] | o[pair], np.maximum(k[up], k[pair]), t[up], np.stack([up, pair], axis=1)))
+    found, stack = [], [(level, r, r) for level, r in enumerate(roots) if len(r)]
     while stack:
         level, u, v = stack.pop()
         if len(u) > 1 << 17:
             h = len(u) // 2
             stack += [(level, u[:h], v[:h]), (level, u[h:], v[h:])]
             continue
-        shared = ~(ands[level][u] ^ ors[level][u]) & ~(ands[level][v] ^ ors[level][v])
-        keep = _bits((ands[level][u] ^ ands[level][v]) & shared) <= (most[level][u] + most[level][v]) * allow + 1e-9
+        ands, ors, most, _, below = levels[level]
+        shared = ~(ands[u] ^ ors[u]) & ~(ands[v] ^ ors[v])
+        keep = _bits((ands[u] ^ ands[v]) & shared) <= (most[u] + most[v]) * allow + 1e-9
         u, v = u[keep], v[keep]
         if level == 0:
             small, large = np.minimum(m[u], m[v]), np.maximum(m[u], m[v])
-            ok = (u < v) & (small >= s * large - 1e-9) & ((b[u] != b[v]) | (not cross))
+            ok = (small >= s * large - 1e-9) & ((b[u] != b[v]) | ~x[u])
             found.append((order[u[ok]], order[v[ok]]))
         elif len(u):
-            size = len(ands[level - 1])
-            cu = np.concatenate([2 * u, 2 * u, 2 * u + 1, 2 * u + 1])
-            cv = np.concatenate([2 * v, 2 * v + 1, 2 * v, 2 * v + 1])
-            ok = (cu <= cv) & (cv < size)
+            (u0, u1), (v0, v1) = below[u].T, below[v].T
+            cu, cv = np.concatenate([u0, u0, u1, u1]), np.concatenate([v0, v1, v0, v1])
+            two_u, two_v, same = u0 != u1, v0 != v1, u == v
+            real = np.concatenate([np.ones(len(u), bool), two_v, two_u & ~same, two_u & two_v])  # children that are there, each pair once
+            ok = real & ((cu != cv) if level == 1 else True)
             stack.append((level - 1, cu[ok], cv[ok]))
-    return np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64), np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
-
-
-def _small(key: np.ndarray, codes: np.ndarray, n: np.ndarray, block: np.ndarray, cross: np.ndarray, s: float, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same for many buckets of at most `longest` rows at once: each is a single leaf."""
-    allow, out = (1 - s) / (1 + s), []
-    for d in range(1, longest):
-        i = np.flatnonzero(key[d:] == key[:-d])
-        if not len(i):
-            break
-        j = i + d
-        ok = (_bits(codes[i] ^ codes[j]) <= (n[i] + n[j]) * allow + 1e-9) & (np.minimum(n[i], n[j]) >= s * np.maximum(n[i], n[j]) - 1e-9) & (~cross[i] | (block[i] != block[j]))
-        out.append((i[ok], j[ok]))
-    return np.concatenate([x[0] for x in out]) if out else np.zeros(0, np.int64), np.concatenate([x[1] for x in out]) if out else np.zeros(0, np.int64)
+    return (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])) if found else (none, none)
 
 
 def _search(s: float):
@@ -112,23 +113,12 @@ def _search(s: float):
             codes = np.stack([p.hi.values.view(np.uint64), p.lo.values.view(np.uint64)], axis=1)
             n, block, sid = p.n.values.astype(np.int64), p.b.values, p.sid.values
             cross = (p.bi != p.bj).values
-            gid, size = np.repeat(np.arange(len(starts)), sizes), np.repeat(sizes, sizes)
-            ids = np.flatnonzero((size > 1) & (size <= LEAF))
-            got = []
-            if len(ids):
-                i, j = _small(gid[ids], codes[ids], n[ids], block[ids], cross[ids], s, LEAF)
-                got.append((ids[i], ids[j]))
-            for g in np.flatnonzero(sizes > LEAF):
-                a = starts[g]
-                part = slice(a, a + sizes[g])
-                i, j = near(codes[part], n[part], block[part], bool(cross[a]), s)
-                got.append((a + i, a + j))
-            for i, j in got:
-                if len(i):
-                    x, y = sid[i], sid[j]
-                    swap = x > y
-                    out = pd.DataFrame({"a": np.where(swap, y, x), "b": np.where(swap, x, y)})
-                    yield out[out.a != out.b].drop_duplicates()
+            i, j = near(np.repeat(np.arange(len(starts)), sizes), codes, n, block, cross, s)
+            if len(i):
+                x, y = sid[i], sid[j]
+                swap = x > y
+                out = pd.DataFrame({"a": np.where(swap, y, x), "b": np.where(swap, x, y)})
+                yield out[out.a != out.b].drop_duplicates()
 
         for p in batches:
             if not len(p):
@@ -174,11 +164,9 @@ def similar_sets(classes: DataFrame, s: float = 0.8) -> DataFrame:
     )
     short = F.transform(F.filter(first, lambda x: (x["df"] > COMMON) & (n < 2)), lambda x: x["h"])
     entries = stored(head.select("sid", "n", "hi", "lo", F.explode(F.array_distinct(F.concat(alone, both, short))).alias("k")))
-    total = entries.count()
-    most = max(BLOCK, -(-total // 4096))
-    sizes = entries.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    big = F.broadcast(sizes.filter(F.col("c") > most))  # at most 4,096 keys have more than a 4,096th of the entries
-    held = entries.join(big, "k", "left").withColumn("nb", F.coalesce(F.ceil(F.col("c") / most), F.lit(1)).cast("int"))
+    sizes = stored(entries.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
+    blocks = sizes.select("k", F.ceil(F.col("c") / BLOCK).cast("int").alias("nb"))
+    held = skew_join(entries, blocks, ["k"], sizes.filter(F.col("c") * HOT_SHARE >= sizes.agg(F.sum("c")).scalar()).select("k"))
     held = held.withColumn("b", F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int"))
     spread = held.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("k", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), "b", "sid", "n", "hi", "lo")
     found = spread.repartition(*_KEY).sortWithinPartitions(*_KEY).mapInPandas(_search(s), "a string, b string").distinct()
@@ -199,8 +187,19 @@ def near_duplicates(rows: DataFrame, row_id: str, text: str, s: float = 0.8) ->
 
 
 def pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """All pairs id_a < id_b of rows with alike or equal sets, distinct."""
-    a, b = members.toDF("id_a", "a"), members.toDF("id_b", "b")
-    linked = links.join(a, "a").join(b, "b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).filter("id_a < id_b")
-    same = a.join(b.withColumnRenamed("b", "a"), "a").filter("id_a < id_b").select("id_a", "id_b")
-    return linked.unionByName(same).distinct()
+    """All pairs id_a < id_b of rows with alike or equal sets, distinct.
+
+    Sets of many members are cut into blocks of about BLOCK, and pairs of blocks meet in tasks of their own, so that a set
+    that a third of all rows have is spread as well.
+    """
+    counts = members.groupBy("sid").agg(F.count(F.lit(1)).alias("c"))
+    blocks = stored(counts.select("sid", F.ceil(F.col("c") / BLOCK).cast("int").alias("nb"), "c"))
+    hot = blocks.filter((F.col("c") > BLOCK) & (F.col("c") * HOT_SHARE >= blocks.agg(F.sum("c")).scalar())).select("sid")
+    m = skew_join(members, blocks.select("sid", "nb"), ["sid"], hot).select("id", "sid", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int").alias("k"))
+    nb = blocks.select("sid", "nb")
+    met = links.join(nb.toDF("a", "na"), "a").join(nb.toDF("b", "nb"), "b").select("a", "b", "na", "nb")
+    own = blocks.filter("c > 1").select(F.col("sid").alias("a"), F.col("sid").alias("b"), F.col("nb").alias("na"), "nb")
+    cells = met.unionByName(own).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("na") - 1)))
+    cells = cells.withColumn("j", F.explode(F.sequence(F.when(F.col("a") == F.col("b"), F.col("i")).otherwise(0), F.col("nb") - 1))).select("a", "b", "i", "j")
+    both = cells.join(m.toDF("id_a", "a", "i"), ["a", "i"]).join(m.toDF("id_b", "b", "j"), ["b", "j"])
+    return both.filter(F.col("id_a") != F.col("id_b")).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()

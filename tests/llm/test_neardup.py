@@ -44,7 +44,6 @@ def test_equals_brute_force(spark, seed):
 def test_hot_words_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(N, "COMMON", 5)
     monkeypatch.setattr(N, "BLOCK", 20)
-    monkeypatch.setattr(N, "LEAF", 4)
     rows = texts(200, 7, 14)
     assert found(spark, rows) == brute(rows)
 
@@ -68,6 +67,24 @@ def test_index_loses_no_close_pair():
         for _ in range(r.integers(0, 4)):
             row[r.integers(2)] ^= np.uint64(1) << np.uint64(r.integers(64))
     n = np.full(300, 18)
-    i, j = N.near(codes, n, np.zeros(300, int), False, 0.8)
+    i, j = N.near(np.zeros(300, int), codes, n, np.zeros(300, int), np.zeros(300, bool), 0.8)
     want = {(a, b) for a, b in itertools.combinations(range(300), 2) if np.bitwise_count(codes[a] ^ codes[b]).sum() <= 4}
     assert {tuple(sorted(x)) for x in zip(i.tolist(), j.tolist())} == want
+
+
+def test_many_buckets_at_once():
+    r = np.random.default_rng(6)
+    key = np.repeat(np.arange(60), r.integers(1, 40, 60))
+    codes = r.integers(0, 2**63, (12, 2), dtype=np.uint64)[r.integers(0, 12, len(key))]
+    codes[:, 0] ^= np.uint64(1) << r.integers(0, 64, len(key)).astype(np.uint64)
+    n, block, cross = np.full(len(key), 18), r.integers(0, 2, len(key)), key % 3 == 0
+    i, j = N.near(key, codes, n, block, cross, 0.8)
+    got = [tuple(sorted(x)) for x in zip(i.tolist(), j.tolist())]
+    want = {(a, b) for a, b in itertools.combinations(range(len(key)), 2) if key[a] == key[b] and np.bitwise_count(codes[a] ^ codes[b]).sum() <= 4 and (not cross[a] or block[a] != block[b])}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_large_classes_and_buckets_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 7)
+    rows = texts(150, 9, 20) + [(f"c{i:03d}", "one question asked by many users again and again") for i in range(80)] + [(f"d{i:03d}", "one question asked by many users again and often again") for i in range(30)]
+    assert found(spark, rows) == brute(rows)
