@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,21 +28,44 @@ BOILERPLATE = (
 )
 PAGE_RANGE = r"\b(pp\.|pages?)\s*\d+\s*(?:--|-|–|—|to)\s*\d+\b|\b\d+\s*(?:--|-|–|—)\s*\d+\b|\b\d+\s*:\s*\d+\s*(?:--|-|–|—)\s*\d+\b"
 BIBLIOGRAPHY = r"\b(proceedings|workshop|conference|journal|transactions|university press|morgan kaufmann|springer|elsevier|wiley|mit press|acm|ieee|cambridge university press|technical report|tech\.?\s+report|dissertation|ph\.?\s*d\.?|\bthesis\b|isbn|doi|arxiv|vol\.|no\.)\b"
+REFERENCE_HEADING = r"^\s*(references|bibliography|works cited|further reading|index)\s*$"
+TASK_HEADING = r"^\s*(exercise|exercises|problem|problems|questions|review questions)(?:\s+\d+(?:\.\d+)*)?\s*$"
+TASK_PROMPT = r"^\s*(exercise|problem|question)\s+\d+(?:\.\d+)*\b|^\s*(show|prove|derive|calculate|compute)\b"
+CAPTION = r"^\s*(figure|fig\.|table|chapter|section|appendix)\s+\d+(?:\.\d+)*[\s:.-]+|^\s*\d{1,4}\s*(chapter|section|appendix)\s+\d+(?:\.\d+)*"
+URL_OR_EMAIL = r"\b(?:https?://|www\.|[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"
+FRONT_MATTER = r"\b(copyright|creative commons|cc[- ]?by|license(?:d)?|free\s+pdf|low\s+cost\s+print|printed\s+version|textbook equity|saylor\.org|open textbook challenge|about the authors?|foreword|with contributions from|translated from|translator|published by|publisher|isbn|table of contents|contents|preface|dear reader|study guide|examinations?--study guides?|library of congress|catalog(?:ue|ing)?|all rights reserved|springer(?:\s+vieweg)?)\b"
+ISO_CLAUSE = r"^\s*\d+(?:\.\d+)+\s+\S"
+ISO_BOILERPLATE = r"\b(attention is drawn to the possibility|subject of patent rights|shall not be held responsible for identifying|cen[-‑– ]?cenelec internal regulations|national standards (?:bodies|organi[sz]ations) of|cen members are the national standards|the secretariat of which is held by|this (?:european|international) standard shall be given the status)\b"
+COT_META = r"\b(we need to rewrite the passage|rewrite the passage so it can be understood|the passage (?:is|reads)\s*:\s*[\"'])"
+CITATION_PREFIX = r"^\s*(?:\[\d+\]|\(\d{4}[a-z]?\)|[A-Z][A-Za-z-]+,\s+[A-Z]\.)"
+NUMBERED_REFERENCE = r"^\s*\[\d{1,3}\]\s+\S"
+# The strict rules in the order in which they are tried: (reason, pattern), case ignored; no pattern: see `special`.
 STRICT = (
-    ("reference_heading", r"^\s*(references|bibliography|works cited|further reading|index)\s*$"),
-    ("source_task_heading", r"^\s*(exercise|exercises|problem|problems|questions|review questions)(?:\s+\d+(?:\.\d+)*)?\s*$"),
-    ("source_task_prompt", r"^\s*(exercise|problem|question)\s+\d+(?:\.\d+)*\b|^\s*(show|prove|derive|calculate|compute)\b"),
-    ("caption_or_heading", r"^\s*(figure|fig\.|table|chapter|section|appendix)\s+\d+(?:\.\d+)*[\s:.-]+|^\s*\d{1,4}\s*(chapter|section|appendix)\s+\d+(?:\.\d+)*"),
+    ("reference_heading", REFERENCE_HEADING),
+    ("source_task_heading", TASK_HEADING),
+    ("source_task_prompt", TASK_PROMPT),
+    ("caption_or_heading", CAPTION),
     ("embedded_caption_fragment", r"\b(?:figure|fig\.|table)\s+\d+(?:\.\d+)*\s*:"),
+    ("algorithm_listing_fragment", None),
     ("section_prefix_fragment", r"^\s*[*∗]?\s*\d+(?:\.\d+)+\s+[A-Z]"),
+    ("heading_prefix_fragment", None),
     ("source_wording", r"\b(the|this|that)\s+(above|following|preceding|given|provided)\s+(statement|text|passage|paragraph|description|example)\b"),
     ("source_figure_attribution", r"\breprinted\s+from\b|\b(?:results?|data)\s+in\s+(?:figure|table)\s+\d+(?:\.\d+)*\s+(?:are\s+)?(?:due\s+to|from)\b"),
-    ("unresolved_source_reference", r"^\s*(?:this|that)\s+(?:idea|example|diagram|relationship|case)\b|^\s*another\s+way\s+of\s+(?:saying|seeing)\s+this\b|^\s*(?:in\s+other\s+words|we\s+have\s+just\s+shown\s+that|this\s+means\s+that)\b"),
-    ("front_matter_artifact", r"\b(?:https?://|www\.|[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})|\b(copyright|creative commons|license(?:d)?|foreword|translated from|translator|published by|publisher|isbn|table of contents|contents|preface|dear reader|study guide|library of congress|all rights reserved)\b"),
-    ("author_bio", r"\b(holds a full professorship|received his ph\.?d|received her ph\.?d|co-?author of|peer-reviewed publications|chief consultant|founder and executive partner)\b"),
-    ("source_release_header", r"\bRelease\s+\d+(?:\.\d+)?\b"),
+    ("unresolved_source_reference", r"\b(?:algorithm|method|example|case)\s+(?:discussed|described|shown|introduced)\s+in\s+(?:the\s+)?(?:previous|preceding|following)\s+(?:section|figure|diagram)\b|^\s*(?:this|that)\s+(?:idea|example|diagram|relationship|case)\b|^\s*another\s+way\s+of\s+(?:saying|seeing)\s+this\b|^\s*(?:in\s+other\s+words|we\s+have\s+just\s+shown\s+that|this\s+means\s+that)\b|^\s*if\s+we\s+look\s+closely\s+at\s+(?:this|that|the)\s+example\b|\bas\s+in\s+the\s+(?:left|right)\s+(?:diagram|figure)\b"),
+    ("visual_only_fact", r"^\s*(?:for\s+example,\s+)?(?:the\s+)?backup\s+diagram\s+(?:for|corresponding\s+to|showing)\b"),
+    ("front_matter_artifact", URL_OR_EMAIL + "|" + FRONT_MATTER),
+    ("author_bio", r"\b(holds a full professorship|received his ph\.?d|received her ph\.?d|\bco-?author of\b|peer-reviewed publications|served as program and general chair|chief consultant|founder and executive partner|you can find (?:more|further) information)\b"),
+    ("source_release_header", r"\b(Computer Networking\s*:\s*Principles,\s*Protocols and Practice,\s*Release|Release\s+\d+(?:\.\d+)?)\b"),
+    ("caption_or_heading", r"^[A-Z][A-Za-z0-9 ,:;'/()&+-]{4,80}\s+\d{1,4}\s+[A-Z][A-Za-z0-9 ,:;'/()&+-]{4,}"),
     ("dangling_section_reference", r"\b(?:in|section)\s+\d+(?:\.\d+)+\.?$"),
+    ("named_citation_context", r"^\s*[A-Z][A-Za-z-]+(?:\s+(?:and|&)\s+[A-Z][A-Za-z-]+)?\s*\(\d{4}[a-z]?\)\s+(?:discussed|considered|introduced|proposed|studied|showed|reported)\b"),
+    ("bibliography_or_citation", None),
+    ("page_range_or_locator", None),
 )
+# Two of these in one text make a listing.
+LISTING = (r"\brepeat\s*\(for each", r"\binitialize\s+[A-Z]", r"\btake action\b", r"\bchoose\s+[A-Z].*\busing policy\b", r"\bargmax\b|(?:←|<-)")
+#: A fact scored below this for standing on its own is dropped by the relaxed rules.
+SELF_CONTAINED = 0.75
 TABLE_ARTIFACT_COLONS, GLUED = 4, r"[A-Za-z]{3,}\d"
 DOTTED = r"\.{4,}|…"
 STANDARD_ENTRY = r"(?i)\b(?:ISO|EN|DIN|IEC|ASTM|BS|AWS)(?:/TR|/TS)?\s*\d{2,5}(?:[-‑]\d+)?\s*,"
@@ -104,49 +129,107 @@ def bare_heading(text: Column) -> Column:
     return text.rlike(r"^\s*\d{1,2}\s+[A-Z][A-Za-z]") & ~text.rlike(r"[.?!]\s*$") & (F.size(extract_all(text, r"\S+")) <= 10)
 
 
-def strict_reason(text: Column) -> Column:
-    """The first of the strict rules a text breaks, or null. White space is collapsed first; accents are kept."""
-    t = squeeze(text)
-    words = F.size(extract_all(t, r"\S+"))
-    tail = F.when(t.rlike("(?i)" + BIBLIOGRAPHY) & t.rlike("(?i)" + PAGE_RANGE), "bibliography_or_citation").when(t.rlike("(?i)" + PAGE_RANGE) & (words <= 16), "page_range_or_locator")
-    return F.when(t.isNull() | (t == ""), "empty_text").otherwise(F.coalesce(first_match(t, STRICT, None), tail))
+def _ascii_letters() -> tuple[str, str]:
+    """Accented Latin letters and what they are without accents."""
+    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode()) for c in range(0xA0, 0x250)]
+    return "".join(a for a, b in pairs if len(b) == 1), "".join(b for _, b in pairs if len(b) == 1)
+
+
+ACCENTED, PLAIN = _ascii_letters()
+OTHER = r"[^\x00-\x7F]"
+
+
+def ascii_of(text: Column) -> Column:
+    """The text without accents and without what is no ASCII character."""
+    return F.regexp_replace(F.translate(text, ACCENTED, PLAIN), OTHER, "")
 
 
-def relaxed_reason(text: Column) -> Column:
-    """The first of the rules for standards and reports."""
+def heading_prefix(text: Column) -> Column:
+    """Whether a text of five words and more begins with three words in capitals, or two long ones."""
+    words = extract_all(text, "[A-Za-z][A-Za-z0-9-]*")
+    low = F.array_position(F.transform(F.slice(words, 1, 6), lambda w: (F.length(w) > 1) & (F.upper(w) == w)), F.lit(False)).cast("int")
+    run = F.when(low > 0, low - 1).otherwise(F.least(F.size(words), F.lit(6)))
+    long = F.forall(F.slice(words, F.lit(1), run), lambda w: F.length(w) > 3)
+    return (F.size(words) >= 5) & (run < F.size(words)) & ((run >= 3) | ((run >= 2) & long))
+
+
+def strict_reason(text: Column, excluded: Column | None = None) -> Column:
+    """The first of the strict rules a text breaks, or null. White space is collapsed and accents are dropped first.
+
+    excluded: whether the fact lies in a part of its document that is left out.
+    """
     t = squeeze(text)
+    plain = ascii_of(t)
+    has = lambda p: plain.rlike("(?i)" + p)
+    special = {
+        "algorithm_listing_fragment": sum((t.rlike("(?i)" + p).cast("int") for p in LISTING), F.lit(0)) >= 2,
+        "heading_prefix_fragment": heading_prefix(plain),
+        "bibliography_or_citation": has(BIBLIOGRAPHY) & (plain.rlike(CITATION_PREFIX) | has(PAGE_RANGE)),
+        "page_range_or_locator": has(PAGE_RANGE) & (F.size(extract_all(plain, r"\S+")) <= 16),
+    }
+    out = F.lit(None).cast("string")
+    for reason, pattern in reversed(STRICT):
+        out = F.when(has(pattern) if pattern else special[reason], reason).otherwise(out)
+    if excluded is not None:
+        out = F.when(excluded, "excluded_source_section").otherwise(out)
+    return F.when(t.isNull() | (t == ""), "empty_text").otherwise(out)
+
+
+def relaxed_reason(text: Column, raw: Column | None = None, self_containment: Column | None = None, front: Column | None = None) -> Column:
+    """The first of the rules for standards and reports that a text breaks, or null.
+
+    raw: the text before it was rewritten; self_containment: a score, null where unknown; front: whether the fact stands
+    on a page of front matter.
+    """
+    t = squeeze(text)
+    plain = ascii_of(t)
     n = F.size(extract_all(t, r"\S+"))
-    lower_start = t.rlike(r"^[a-z]+\b")
-    fragment = ~t.rlike(r"^\d+(\.\d+)+") & (t.rlike(r"^\s*(?:[—–•*]|--?)\s+") | (n < 5) | (lower_start & ((n < 8) | t.rlike(r"\b[a-z]\)\s"))))
-    return (
-        F.when(t.isNull() | (t == ""), "empty_text")
-        .when(t.rlike("(?i)" + STRICT[0][1]), "reference_heading")
-        .when(t.rlike("(?i)" + STRICT[1][1]), "source_task_heading")
-        .when(t.rlike("(?i)" + STRICT[2][1]), "source_task_prompt")
-        .when(t.rlike("(?i)" + STRICT[9][1]), "front_matter_artifact")
-        .when(t.rlike("(?i)" + BIBLIOGRAPHY), "bibliography")
-        .when(t.rlike(r"^\s*\[\d{1,3}\]\s+\S"), "numbered_reference")
-        .when(reference_dump(t), "reference_list_dump")
-        .when(table_artifact(t), "table_artifact")
-        .when(bare_heading(t), "bare_numbered_heading")
-        .when(t.rlike(DANGLING), "dangling_anaphora")
-        .when(t.rlike(PRINTOUT), "printout_metadata")
-        .when(fragment, "fragment")
+    clause = t.rlike(ISO_CLAUSE)
+    low = t.rlike(r"^\p{Ll}+(\s|$)")
+    fragment = ~clause & (t.rlike(r"^\s*(?:[—–•*]|--?)\s+") | (n < 5) | (low & ((n < 8) | t.rlike(r"\b[a-z]\)\s"))))
+    nothing = F.lit(False)
+    before = squeeze(raw) if raw is not None else F.lit(None).cast("string")
+    was = (before != "") & (before != t) if raw is not None else nothing
+    rules = (
+        ("table_artifact_raw", was & table_artifact(before)),
+        ("reference_list_dump_raw", was & reference_dump(before)),
+        ("reference_heading", plain.rlike("(?i)" + REFERENCE_HEADING)),
+        ("source_task_heading", plain.rlike("(?i)" + TASK_HEADING)),
+        ("source_task_prompt", plain.rlike("(?i)" + TASK_PROMPT)),
+        ("front_matter_artifact", plain.rlike("(?i)" + FRONT_MATTER)),
+        ("bibliography", plain.rlike("(?i)" + BIBLIOGRAPHY)),
+        ("iso_boilerplate", t.rlike("(?i)" + ISO_BOILERPLATE)),
+        ("numbered_reference", t.rlike(NUMBERED_REFERENCE)),
+        ("reference_list_dump", reference_dump(t)),
+        ("table_artifact", table_artifact(t)),
+        ("bare_numbered_heading", bare_heading(t)),
+        ("dangling_anaphora", t.rlike(DANGLING)),
+        ("printout_metadata", t.rlike(PRINTOUT)),
+        ("cot_meta_leak", t.rlike("(?i)" + COT_META)),
+        ("fragment", fragment),
+        ("weak_self_containment", nothing if self_containment is None else F.coalesce(self_containment < SELF_CONTAINED, nothing)),
+        ("front_matter_page", nothing if front is None else F.coalesce(front, nothing) & ~clause),
+        ("caption_or_heading", plain.rlike("(?i)" + CAPTION) & ~clause),
     )
+    out = F.lit(None).cast("string")
+    for reason, c in reversed(rules):
+        out = F.when(c, reason).otherwise(out)
+    return F.when(t.isNull() | (t == ""), "empty_text").otherwise(out)
 
 
 def minimal_reason(text: Column) -> Column:
     t = squeeze(text)
-    return F.when(t.isNull() | (t == ""), "empty_text").when(t.rlike("(?i)" + STRICT[0][1]), "reference_heading").when(t.rlike("(?i)" + BIBLIOGRAPHY), "bibliography").when(F.length(t) < 20, "too_short")
+    plain = ascii_of(t)
+    return F.when(t.isNull() | (t == ""), "empty_text").when(plain.rlike("(?i)" + REFERENCE_HEADING), "reference_heading").when(plain.rlike("(?i)" + BIBLIOGRAPHY), "bibliography").when(F.length(t) < 20, "too_short")
 
 
 def tier(doc_type: Column) -> Column:
     return F.when(doc_type.isin("TEXTBOOK", "NARRATIVE"), "strict").when(doc_type.isin("ISO_STANDARD", "REPORT"), "relaxed").otherwise("minimal")
 
 
-def adaptive_reason(text: Column, doc_type: Column) -> Column:
+def adaptive_reason(text: Column, doc_type: Column, front: Column | None = None) -> Column:
     t = tier(doc_type)
-    return F.when(t == "strict", strict_reason(text)).when(t == "relaxed", relaxed_reason(text)).otherwise(minimal_reason(text))
+    return F.when(t == "strict", strict_reason(text)).when(t == "relaxed", relaxed_reason(text, front=front)).otherwise(minimal_reason(text))
 
 
 def structure_reason(question: Column, answer: Column) -> Column:

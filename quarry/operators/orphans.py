@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.skew import HOT_SHARE, skew_join
+from quarry.operators.skew import HOT_SHARE, key_filter, skew_join
 from quarry.session import cut
 
+#: References of a key from which it may be hot.
+BUSY = 1000
+
 
 def chunk_key(c: Column) -> Column:
     """Chunk ids are one if they differ only in case, surrounding blanks or zeros after the last `_c`."""
@@ -46,7 +49,8 @@ def suspects(refs: DataFrame, known: DataFrame) -> DataFrame:
     """Tagged parent and child keys, in long form, grouped by table and key; the groups that lack a parent for some child.
 
     One row per (ref_field, key) with is_parent, known (by table or tombstone), since, until and n, the number of
-    references. A key's references are counted on the map side, so a hot key moves a few rows only.
+    references; and `lacking`, false for keys with more than BUSY references that lack nothing, which are kept as well so that
+    hot keys can be told. A key's references are counted on the map side, so a hot key moves a few rows only.
     """
     kids = refs.select("ref_field", "key", F.lit(1).alias("n"), "at", F.lit(False).alias("is_parent"), F.lit(False).alias("always"), F.lit(False).alias("dead"), F.lit(None).cast("timestamp_ntz").alias("since"), F.lit(None).cast("timestamp_ntz").alias("until"))
     old = known.select("ref_field", "key", F.lit(0).alias("n"), F.lit(None).cast("timestamp_ntz").alias("at"), "is_parent", F.col("always") | (F.col("is_parent") & F.col("since").isNull()), (~F.col("is_parent")).alias("dead"), "since", "until").toDF(*kids.columns)
@@ -56,7 +60,8 @@ def suspects(refs: DataFrame, known: DataFrame) -> DataFrame:
     lacking = ~F.col("is_parent") & ~F.col("dead")
     gone = F.col("until") <= F.col("last_at")
     early = F.col("is_parent") & ~F.col("always") & (F.col("since") > F.col("first_at"))
-    return groups.filter((F.col("n") > 0) & (lacking | F.coalesce(gone, F.lit(False)) | F.coalesce(early, F.lit(False))))
+    groups = groups.withColumn("lacking", lacking | F.coalesce(gone, F.lit(False)) | F.coalesce(early, F.lit(False)))
+    return groups.filter((F.col("n") > 0) & (F.col("lacking") | (F.col("n") > BUSY)))
 
 
 def orphans(refs: DataFrame, known: DataFrame) -> DataFrame:
@@ -65,13 +70,16 @@ def orphans(refs: DataFrame, known: DataFrame) -> DataFrame:
     ref_state is `deleted` (deleted not after `at`), else `late` (the target's earliest `since` is after `at`), else
     `missing` (neither a parent nor a deletion known). A key known only by a later deletion is no orphan. Where `at`
     is null only `missing` can be told. Repeated rows come out once; an empty table of references gives no rows, an
-    empty parent table makes its references missing. Of a hot key (a third of all references, say) the grouping moves
-    partial counts, and the join back broadcasts its one row.
+        empty parent table makes its references missing. References whose key lacks nothing are dropped before the shuffle, by
+    a filter of bits. Of a hot key (a third of all references, say) the grouping moves partial counts; if it lacks nothing its
+    references are dropped by name, else its one row is broadcast. The HOT_SHARE busiest keys of each kind count as hot:
+    any key with that share of all references is among them.
     """
-    found = cut(suspects(refs, known))
-    hot = found.filter((F.col("n") > 1000) & (F.col("n") * HOT_SHARE >= found.agg(F.sum("n")).scalar())).select("ref_field", "key")
-    facts = found.select("ref_field", "key", "is_parent", "always", "dead", "since", "until")
-    rows = skew_join(refs, facts, ["ref_field", "key"], hot)
+    keys, found = ["ref_field", "key"], cut(suspects(refs, known))
+    bad = found.filter("lacking")
+    busy = [x.filter(F.col("n") > BUSY).orderBy(F.desc("n"), *keys).limit(HOT_SHARE).select(*keys) for x in (bad, found.filter("not lacking"))]
+    some = key_filter(refs, bad.select(*keys), keys).join(F.broadcast(busy[1]), keys, "left_anti")
+    rows = skew_join(some, bad.select(*keys, "is_parent", "always", "dead", "since", "until"), keys, busy[0])
     state = (
         F.when(F.col("until") <= F.col("at"), "deleted")
         .when(F.col("is_parent") & ~F.col("always") & (F.col("since") > F.col("at")), "late")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,3 +32,28 @@ def skew_join(rows: DataFrame, facts: DataFrame, keys: list[str], hot: DataFrame
     few = F.broadcast(facts.join(hot, keys, "left_semi"))
     cold = rows.join(hot, keys, "left_anti").join(facts, keys)
     return cold.unionByName(rows.join(few, keys))
+
+
+#: Bits of a filter for each key, and of a filter at most: 64 MB when sent to every executor.
+BITS_A_KEY, MOST_BITS = 16, 1 << 29
+_PART = 32768  # bits of one bitmap
+
+
+def key_filter(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys may be among `wanted`; no row whose key is wanted is lost, and few others stay.
+
+    The hashes of the wanted keys are sent out as bits, never the keys: a filter of BITS_A_KEY bits a key and MOST_BITS in
+    all, so it is bounded however many keys there are (with more than MOST_BITS / BITS_A_KEY keys more rows stay). `wanted`
+    is read twice, so it should be a written table. Null keys are never kept.
+    """
+    n = wanted.count()
+    size = _PART
+    while size < min(MOST_BITS, n * BITS_A_KEY):
+        size *= 2
+    h = F.pmod(F.xxhash64(*keys), F.lit(size))
+    known = wanted.select(h.alias("__h"))
+    bits = known.groupBy(F.expr(f"__h div {_PART}").alias("__p")).agg(F.expr(f"bitmap_construct_agg(__h % {_PART})").alias("__m"))
+    there = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    held = rows.filter(there).withColumn("__h", h).withColumn("__p", F.expr(f"__h div {_PART}")).join(F.broadcast(bits), "__p")
+    byte = F.expr(f"cast(conv(hex(substring(__m, cast((__h % {_PART}) div 8 as int) + 1, 1)), 16, 10) as int)")
+    return held.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(__h % 8 as int))")) != 0).select(*rows.columns)

@@ -31,12 +31,32 @@ _SQ = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 _TABLE = lambda c: f"(length({c}) - length(replace({c}, ':', '')) >= 4 OR len(regexp_extract_all({c}, '{P.GLUED}')) >= 3 OR {_like(c, P.DOTTED, False)})"
 _DUMP = lambda c: f"len(regexp_extract_all({c}, '{P.STANDARD_ENTRY}')) >= 3"
 _BARE = lambda c: rf"(regexp_matches({c}, '^\s*\d{{1,2}}\s+[A-Z][A-Za-z]') AND NOT regexp_matches({c}, '[.?!]\s*$') AND {_words(c)} <= 10)"
-_STRICT = f"CASE WHEN t IS NULL OR t = '' THEN 'empty_text' ELSE coalesce({_case('t', P.STRICT)}, CASE WHEN {_like('t', P.BIBLIOGRAPHY)} AND {_like('t', P.PAGE_RANGE)} THEN 'bibliography_or_citation' WHEN {_like('t', P.PAGE_RANGE)} AND {_words('t')} <= 16 THEN 'page_range_or_locator' END) END"
-_RELAXED = rf"""CASE WHEN t IS NULL OR t = '' THEN 'empty_text' WHEN {_like('t', P.STRICT[0][1])} THEN 'reference_heading' WHEN {_like('t', P.STRICT[1][1])} THEN 'source_task_heading' WHEN {_like('t', P.STRICT[2][1])} THEN 'source_task_prompt'
-  WHEN {_like('t', P.STRICT[9][1])} THEN 'front_matter_artifact' WHEN {_like('t', P.BIBLIOGRAPHY)} THEN 'bibliography' WHEN regexp_matches(t, '^\s*\[\d{{1,3}}\]\s+\S') THEN 'numbered_reference' WHEN {_DUMP('t')} THEN 'reference_list_dump'
-  WHEN {_TABLE('t')} THEN 'table_artifact' WHEN {_BARE('t')} THEN 'bare_numbered_heading' WHEN {_like('t', P.DANGLING, False)} THEN 'dangling_anaphora' WHEN {_like('t', P.PRINTOUT, False)} THEN 'printout_metadata'
-  WHEN NOT regexp_matches(t, '^\d+(\.\d+)+') AND (regexp_matches(t, '^\s*(?:[—–•*]|--?)\s+') OR {_words('t')} < 5 OR (regexp_matches(t, '^[a-z]+\b') AND ({_words('t')} < 8 OR regexp_matches(t, '\b[a-z]\)\s')))) THEN 'fragment' END"""
-_MINIMAL = f"CASE WHEN t IS NULL OR t = '' THEN 'empty_text' WHEN {_like('t', P.STRICT[0][1])} THEN 'reference_heading' WHEN {_like('t', P.BIBLIOGRAPHY)} THEN 'bibliography' WHEN length(t) < 20 THEN 'too_short' END"
+_ASCII = lambda c: f"regexp_replace(translate({c}, '{P.ACCENTED}', '{P.PLAIN}'), '[^\\x00-\\x7F]', '', 'g')"
+_PREFIX = """(SELECT len(w) >= 5 AND r < len(w) AND (r >= 3 OR (r >= 2 AND len(list_filter(w[1:r], lambda x: length(x) <= 3)) = 0)) FROM (SELECT w, coalesce(nullif(list_position(list_transform(w[1:6], lambda x: length(x) > 1 AND upper(x) = x), false), 0), least(len(w), 6) + 1) - 1 AS r FROM (SELECT regexp_extract_all(ta, '[A-Za-z][A-Za-z0-9-]*') AS w)))"""
+_SPECIAL = {
+    "algorithm_listing_fragment": "(" + " + ".join(f"{_like('t', p)}::INT" for p in P.LISTING) + ") >= 2",
+    "heading_prefix_fragment": _PREFIX,
+    "bibliography_or_citation": f"{_like('ta', P.BIBLIOGRAPHY)} AND ({_like('ta', P.CITATION_PREFIX, False)} OR {_like('ta', P.PAGE_RANGE)})",
+    "page_range_or_locator": f"{_like('ta', P.PAGE_RANGE)} AND {_words('ta')} <= 16",
+}
+_STRICT = "CASE WHEN t IS NULL OR t = '' THEN 'empty_text' " + " ".join(f"WHEN {_like('ta', p) if p else _SPECIAL[r]} THEN '{r}'" for r, p in P.STRICT) + " END"
+_CLAUSE = _like("t", P.ISO_CLAUSE, False)
+
+
+def _relaxed(front: str = "false") -> str:
+    return rf"""CASE WHEN t IS NULL OR t = '' THEN 'empty_text' WHEN {_like('ta', P.REFERENCE_HEADING)} THEN 'reference_heading' WHEN {_like('ta', P.TASK_HEADING)} THEN 'source_task_heading' WHEN {_like('ta', P.TASK_PROMPT)} THEN 'source_task_prompt'
+  WHEN {_like('ta', P.FRONT_MATTER)} THEN 'front_matter_artifact' WHEN {_like('ta', P.BIBLIOGRAPHY)} THEN 'bibliography' WHEN {_like('t', P.ISO_BOILERPLATE)} THEN 'iso_boilerplate' WHEN {_like('t', P.NUMBERED_REFERENCE, False)} THEN 'numbered_reference' WHEN {_DUMP('t')} THEN 'reference_list_dump'
+  WHEN {_TABLE('t')} THEN 'table_artifact' WHEN {_BARE('t')} THEN 'bare_numbered_heading' WHEN {_like('t', P.DANGLING, False)} THEN 'dangling_anaphora' WHEN {_like('t', P.PRINTOUT, False)} THEN 'printout_metadata' WHEN {_like('t', P.COT_META)} THEN 'cot_meta_leak'
+  WHEN NOT {_CLAUSE} AND (regexp_matches(t, '^\s*(?:[—–•*]|--?)\s+') OR {_words('t')} < 5 OR (regexp_matches(t, '^\p{{Ll}}+(\s|$)') AND ({_words('t')} < 8 OR regexp_matches(t, '\b[a-z]\)\s')))) THEN 'fragment'
+  WHEN coalesce({front}, false) AND NOT {_CLAUSE} THEN 'front_matter_page' WHEN {_like('ta', P.CAPTION)} AND NOT {_CLAUSE} THEN 'caption_or_heading' END"""
+
+
+_MINIMAL = f"CASE WHEN t IS NULL OR t = '' THEN 'empty_text' WHEN {_like('ta', P.REFERENCE_HEADING)} THEN 'reference_heading' WHEN {_like('ta', P.BIBLIOGRAPHY)} THEN 'bibliography' WHEN length(t) < 20 THEN 'too_short' END"
+
+
+def _plain(rows: str, more: str = "") -> str:
+    """rows of `text` with t, the text squeezed, and ta, its ASCII form."""
+    return f"(SELECT *, {_ASCII('t')} AS ta FROM (SELECT {_SQ.format('text')} AS t{more} FROM {rows}))"
 
 
 @q("fi_roles", with_("fa", f"SELECT {_case('text', P.ROLES, chr(39) + 'definition' + chr(39))} AS role, count(*) AS n FROM fa GROUP BY 1"))
@@ -67,20 +87,33 @@ def fi_artifacts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@q("fi_strict_reasons", with_("fa", f"SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM (SELECT {_STRICT} AS reason FROM (SELECT {_SQ.format('text')} AS t FROM fa)) GROUP BY 1"))
+@q("fi_strict_reasons", with_("fa", f"SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM (SELECT {_STRICT} AS reason FROM {_plain('fa')}) GROUP BY 1"))
 def fi_strict_reasons(spark: SparkSession, d: str) -> DataFrame:
     return V.facts(table(spark, d, "chunks")).groupBy(F.coalesce(P.strict_reason(F.col("text")), F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@q("fi_adaptive_reasons", with_("fa", f"""SELECT tier, coalesce(reason, 'kept') AS reason, count(*) AS n FROM (SELECT tier, CASE tier WHEN 'strict' THEN {_STRICT} WHEN 'relaxed' THEN {_RELAXED} ELSE {_MINIMAL} END AS reason FROM (
-  SELECT {_SQ.format('fa.text')} AS t, CASE WHEN doc_type IN ('TEXTBOOK', 'NARRATIVE') THEN 'strict' WHEN doc_type IN ('ISO_STANDARD', 'REPORT') THEN 'relaxed' ELSE 'minimal' END AS tier FROM fa JOIN documents USING (doc_id))) GROUP BY 1, 2"""))
+_PARTS = """(SELECT text, 'unit' AS part FROM fa UNION ALL SELECT text, 'line' FROM li)"""
+
+
+@q("fi_reject_reasons", with_("fa li", f"SELECT part, coalesce(strict, 'kept') AS strict, coalesce(relaxed, 'kept') AS relaxed, count(*) AS n FROM (SELECT part, {_STRICT} AS strict, {_relaxed()} AS relaxed FROM {_plain(_PARTS, ', part')}) GROUP BY 1, 2, 3"))
+def fi_reject_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Both tiers over facts and over all lines of documents, headings, tables and lists included."""
+    rows = V.facts(table(spark, d, "chunks")).select("text", F.lit("unit").alias("part")).unionByName(V.lines(table(spark, d, "documents")).select("text", F.lit("line").alias("part")))
+    text = F.col("text")
+    return rows.groupBy("part", F.coalesce(P.strict_reason(text), F.lit("kept")).alias("strict"), F.coalesce(P.relaxed_reason(text), F.lit("kept")).alias("relaxed")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@q("fi_adaptive_reasons", with_("fa", f"""SELECT tier, coalesce(reason, 'kept') AS reason, count(*) AS n FROM (SELECT tier, CASE tier WHEN 'strict' THEN {_STRICT} WHEN 'relaxed' THEN {_relaxed('front')} ELSE {_MINIMAL} END AS reason FROM
+  {_plain('fa JOIN (SELECT doc_id, doc_type FROM documents) USING (doc_id)', ", page_start <= 1 AND doc_type = 'ISO_STANDARD' AS front, CASE WHEN doc_type IN ('TEXTBOOK', 'NARRATIVE') THEN 'strict' WHEN doc_type IN ('ISO_STANDARD', 'REPORT') THEN 'relaxed' ELSE 'minimal' END AS tier")}) GROUP BY 1, 2"""))
 def fi_adaptive_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """The first page of a standard is its front matter."""
     kind = F.coalesce("doc_type", F.lit("UNKNOWN"))
     f = V.facts(table(spark, d, "chunks")).join(table(spark, d, "documents").select("doc_id", "doc_type"), "doc_id")
-    return f.groupBy(P.tier(kind).alias("tier"), F.coalesce(P.adaptive_reason(F.col("text"), kind), F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    front = (F.col("page_start") <= 1) & (kind == "ISO_STANDARD")
+    return f.groupBy(P.tier(kind).alias("tier"), F.coalesce(P.adaptive_reason(F.col("text"), kind, front), F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@q("fi_kept_facts", with_("fa", f"SELECT fact_id, t AS text FROM (SELECT fact_id, {_SQ.format('text')} AS t FROM fa) WHERE {_RELAXED} IS NULL"))
+@q("fi_kept_facts", with_("fa", f"SELECT fact_id, t AS text FROM {_plain('fa', ', fact_id')} WHERE {_relaxed()} IS NULL"))
 def fi_kept_facts(spark: SparkSession, d: str) -> DataFrame:
     f = V.facts(table(spark, d, "chunks"))
     return f.filter(P.relaxed_reason(F.col("text")).isNull()).select("fact_id", T.squeeze(F.col("text")).alias("text"))

@@ -3,7 +3,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from quarry.operators import orphans as O
-from quarry.operators.skew import hot_keys, skew_join
+from quarry.operators.skew import hot_keys, key_filter, skew_join
 
 T = lambda m, d=1: datetime(2025, m, d)
 
@@ -55,3 +55,18 @@ def test_skew_join_equals_join(spark):
     hot = hot_keys(rows, ["k"])
     assert hot.count() <= 64
     assert sorted(map(tuple, skew_join(rows, facts, ["k"], hot).collect())) == sorted(map(tuple, rows.join(facts, "k").collect()))
+
+
+def test_hot_live_key_meets_no_orphan_and_is_dropped_before_the_shuffle(spark):
+    rows = [(i, "q1" if i % 3 else f"gone{i % 50}", ["1_c000003" if i % 2 else "1_c1"], T(5)) for i in range(6000)]
+    got = found(spark, rows)
+    assert sum(x[1] == "q_id" for x in got) == 2000 and sum(x[3] == "deleted" for x in got) == 3000
+
+
+def test_key_filter_loses_no_wanted_key(spark):
+    rows = spark.range(20000).select(F.when(F.col("id") % 7 > 0, F.col("id")).alias("k"), F.lit("x").alias("f"))
+    wanted = spark.range(0, 20000, 20).select(F.col("id").alias("k"), F.lit("x").alias("f"))
+    left = key_filter(rows, wanted, ["f", "k"])
+    assert left.columns == rows.columns
+    assert left.join(wanted, ["f", "k"]).count() == rows.join(wanted, ["f", "k"]).count() and left.count() < 4000
+    assert key_filter(rows, wanted.limit(0), ["f", "k"]).count() == 0 and key_filter(rows.limit(0), wanted, ["f", "k"]).count() == 0
