@@ -136,11 +136,14 @@ def _ascii_letters() -> tuple[str, str]:
 
 
 ACCENTED, PLAIN = _ascii_letters()
+LIGATURES = tuple((chr(c), unicodedata.normalize("NFKD", chr(c))) for c in range(0xFB00, 0xFB05))
 OTHER = r"[^\x00-\x7F]"
 
 
 def ascii_of(text: Column) -> Column:
-    """The text without accents and without what is no ASCII character."""
+    """The text without accents and without what is no ASCII character; ligatures become their letters."""
+    for a, b in LIGATURES:
+        text = F.replace(text, F.lit(a), F.lit(b))
     return F.regexp_replace(F.translate(text, ACCENTED, PLAIN), OTHER, "")
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.functions import pair_checks as C
 from quarry.functions import predicates as P
 from quarry.functions import text as T
 from quarry.functions import views as V
@@ -31,7 +34,8 @@ _SQ = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 _TABLE = lambda c: f"(length({c}) - length(replace({c}, ':', '')) >= 4 OR len(regexp_extract_all({c}, '{P.GLUED}')) >= 3 OR {_like(c, P.DOTTED, False)})"
 _DUMP = lambda c: f"len(regexp_extract_all({c}, '{P.STANDARD_ENTRY}')) >= 3"
 _BARE = lambda c: rf"(regexp_matches({c}, '^\s*\d{{1,2}}\s+[A-Z][A-Za-z]') AND NOT regexp_matches({c}, '[.?!]\s*$') AND {_words(c)} <= 10)"
-_ASCII = lambda c: f"regexp_replace(translate({c}, '{P.ACCENTED}', '{P.PLAIN}'), '[^\\x00-\\x7F]', '', 'g')"
+_LETTERS = lambda c: functools.reduce(lambda x, p: f"replace({x}, '{p[0]}', '{p[1]}')", P.LIGATURES, c)
+_ASCII = lambda c: f"regexp_replace(translate({_LETTERS(c)}, '{P.ACCENTED}', '{P.PLAIN}'), '[^\\x00-\\x7F]', '', 'g')"
 _PREFIX = """(SELECT len(w) >= 5 AND r < len(w) AND (r >= 3 OR (r >= 2 AND len(list_filter(w[1:r], lambda x: length(x) <= 3)) = 0)) FROM (SELECT w, coalesce(nullif(list_position(list_transform(w[1:6], lambda x: length(x) > 1 AND upper(x) = x), false), 0), least(len(w), 6) + 1) - 1 AS r FROM (SELECT regexp_extract_all(ta, '[A-Za-z][A-Za-z0-9-]*') AS w)))"""
 _SPECIAL = {
     "algorithm_listing_fragment": "(" + " + ".join(f"{_like('t', p)}::INT" for p in P.LISTING) + ") >= 2",
@@ -188,37 +192,75 @@ _FLAGS = {
     "abstains": f"coalesce({_like('answer', P.ABSTENTION, False)}, false)",
     "is_question": r"coalesce(regexp_matches(answer, '\?\s*$'), false)",
 }
-# Weight of each flag, and those that fail a pair outright.
-WEIGHTS = {"tautology": 0.85, "echo": 0.10, "compound": 0.25, "numbered": 0.85, "generic": 0.35, "short": 0.10, "abstains": 0.85, "is_question": 0.85}
-HARD = ("tautology", "numbered", "abstains", "is_question")
 
 
 def flags(rows: DataFrame) -> DataFrame:
-    """rows of question and answer with one boolean per check, the weighted quality and whether a hard check failed."""
+    """rows of question and answer with one boolean per gate of a pair."""
     a, u = F.col("answer"), F.col("question")
-    f = {
+    return rows.withColumns({
         "tautology": P.tautology(u, a), "echo": P.echo(u, a), "compound": P.compound(u), "numbered": P.numbered_words(u), "generic": F.coalesce(u.rlike(P.GENERIC), F.lit(False)),
         "short": F.coalesce(F.length(F.trim(a)) < 40, F.lit(False)), "abstains": P.abstains(a), "is_question": F.coalesce(a.rlike(r"\?\s*$"), F.lit(False)),
-    }
-    penalty = sum((F.when(c, WEIGHTS[k]).otherwise(0.0) for k, c in f.items()), F.lit(0.0))
-    hard = F.lit(False)
-    for k in HARD:
-        hard = hard | f[k]
-    return rows.withColumns({**f, "quality": F.when(hard, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), 1 - penalty / sum(WEIGHTS.values())), 3))})
+    })
+
+
+_FLAGGED = f"SELECT *, {', '.join(f'{s} AS {k}' for k, s in _FLAGS.items())} FROM ({_PAIR})"
+
 
+@q("fi_pair_flags", with_("qu", f"SELECT q_id, {', '.join(_FLAGS)} FROM ({_FLAGGED})"))
+def fi_pair_flags(spark: SparkSession, d: str) -> DataFrame:
+    """The gates that look at question and answer alone: tautology, compound and numbered questions, and more."""
+    return flags(V.questions(table(spark, d, "questions"))).select("q_id", *_FLAGS)
 
-_PENALTY = " + ".join(f"CASE WHEN {k} THEN {w}::DOUBLE ELSE 0 END" for k, w in WEIGHTS.items())
-_SCORED = f"SELECT *, CASE WHEN {' OR '.join(HARD)} THEN 0.0::DOUBLE ELSE round(greatest(0.0::DOUBLE, 1 - ({_PENALTY}) / {sum(WEIGHTS.values())}::DOUBLE), 3) END AS quality FROM (SELECT *, {', '.join(f'{s} AS {k}' for k, s in _FLAGS.items())} FROM ({_PAIR}))"
+
+def with_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Questions with `facts`, their evidence chunks, as many as the question names."""
+    t = table(spark, d, "questions")
+    held = V.gold(t).join(V.chunk_rows(table(spark, d, "chunks")), "chunk_id").groupBy("q_id").agg(F.collect_list(F.struct("text", "chunk_id", "doc_id")).alias("facts"))
+    return V.questions(t).join(held, "q_id", "left")
+
+
+_DEIXIS = lambda c: f"({_like(c, C.DEICTIC)} AND len(list_filter(regexp_extract_all(regexp_extract({c}, '(?is)^(.*?){C.DEICTIC}', 1), '{C.WORD}'), lambda w: NOT list_contains([{', '.join(repr(x) for x in C.STARTERS)}], lower(w)) AND (regexp_matches(w, '^[A-Z][a-z]+$') OR length(w) >= 5))) = 0)"
+_EACH = lambda c: f"len(list_filter(fx, lambda x: {c})) > 0"
+_SET = lambda c: f"list_distinct(regexp_extract_all(lower({c}), '{C.WORD}'))"
+_NAMELESS = f"regexp_replace(regexp_replace(q, '(?i){C.CONTRAST}{C.REFERENT}', ' ', 'g'), '(?i:{C.REFERENT})(?:{C.NAMED})', ' ', 'g')"
+_CHECKS = {
+    "q1_deictic": _DEIXIS("q"),
+    "q2_short": r"length(regexp_replace(a, '^\s+|\s+$', '', 'g')) < 40",
+    "q3_echo": f"CASE WHEN len({_SET('q')}) > 0 AND len({_SET('a')}) > 0 THEN len(list_intersect({_SET('q')}, {_SET('a')})) / len(list_distinct(list_concat({_SET('q')}, {_SET('a')}))) > 0.7 ELSE false END",
+    "q4_generic": f"{_like('q', C.SOURCE_REFERENT)} OR {_like(_NAMELESS, C.REFERENT)}",
+    "q5_scattered": "n_docs > 1 OR coalesce(list_max(fp) - list_min(fp) > 5, false)",
+    "q6_number": f"len(fx) > 0 AND len(list_filter(regexp_extract_all(a, '{C.NUMBER}'), lambda n: NOT list_contains(flatten(list_transform(fx, lambda x: regexp_extract_all(x, '{C.NUMBER}'))), n))) > 0",
+    "q7_fragment": _EACH(f"x = '' OR regexp_matches(x, '{C.BROKEN_END}') OR {_like('x', C.WEAK_END)} OR regexp_matches(x, '{C.PAGE_PREFIX}') OR len(regexp_extract_all(x, '\\w+')) < 5 OR {_DEIXIS('x')}"),
+    "q8_leak": _like("a", C.LEAK),
+    "q9_weak_evidence": _EACH(f"{_like('x', P.WEAK_START, False)} OR {_like('x', C.SOURCES)} OR {_like('x', C.FIGURE)}"),
+    "q10_question": _like("a", C.ASKING),
+    "q11_heading": f"{_like('a', C.HEADING_LEAK)} OR {_like('a', C.CAPITALS, False)}",
+    "q12_abstains": _like("a", C.ABSTAINS),
+    "q13_tautology": _like("a", C.TAUTOLOGY),
+    "q14_short_fragment": f"sa = '' OR (NOT ({_like('sq', C.SHORT_ENTITY)} AND NOT {_like('q', C.LONG_ANSWER)}) AND len(regexp_extract_all(sa, '{C.WORD}')) < 6)",
+    "q15_artifact": _like("q", C.ARTIFACT),
+    "q16_prompt": _like("q", C.PROMPT_LEAK),
+    "q17_two": rf"{_like('q', C.TWO)} AND NOT regexp_matches(sa, '(?i)\b(?:two|both)\b') AND len(list_filter(regexp_split_to_array(sa, '\s+(?:and|plus)\s+|[.;]'), lambda p: trim(p, ' ') <> '')) < 2",
+    "q18_count": f"{_like('q', C.HOW_MANY)} AND NOT (regexp_matches(a, '{C.NUMBER}') OR {_like('a', C.NUMBER_WORD)})",
+    "q19_placeholder": _like("concat_ws(' ', q, a, array_to_string(ft, ' '))", C.PLACEHOLDER),
+    "q20_phrase": _like("q", C.PHRASE),
+}
+_EVIDENCE = f"""SELECT u.q_id, u.hop_type, coalesce(u.question, '') AS q, coalesce(u.answer, '') AS a, coalesce(e.ft, []) AS ft, coalesce(e.fx, []) AS fx, coalesce(e.fp, []) AS fp, coalesce(e.n_docs, 0) AS n_docs FROM qu u LEFT JOIN
+  (SELECT q_id, list(text) AS ft, list({_SQ.format('text')}) AS fx, list(regexp_extract(chunk_id, '^.+_c0*([0-9]+)$', 1)::BIGINT) FILTER (regexp_matches(chunk_id, '^.+_c0*[0-9]+$')) AS fp, count(DISTINCT doc_id) AS n_docs FROM go JOIN ch USING (chunk_id) GROUP BY 1) e USING (q_id)"""
+_CHECKED = f"SELECT q_id, hop_type, {', '.join(f'({s}) AS {k}' for k, s in _CHECKS.items())} FROM (SELECT *, {_SQ.format('q')} AS sq, {_SQ.format('a')} AS sa FROM ({_EVIDENCE}))"
+_PENALTY = " + ".join(f"CASE WHEN {k} THEN {w}::DOUBLE ELSE 0 END" for k, w in C.WEIGHTS.items())
+_SCORED = f"SELECT *, CASE WHEN {' OR '.join(C.HARD)} THEN 0.0::DOUBLE ELSE round(greatest(0.0::DOUBLE, 1 - ({_PENALTY}) / {sum(C.WEIGHTS.values())}::DOUBLE), 3) END AS quality FROM ({_CHECKED})"
 
 
-@q("fi_pair_quality", with_("qu", f"SELECT q_id, {', '.join(_FLAGS)}, quality FROM ({_SCORED})"))
+@q("fi_pair_quality", with_("qu go ch", f"SELECT q_id, {', '.join(C.WEIGHTS)}, quality FROM ({_SCORED})"))
 def fi_pair_quality(spark: SparkSession, d: str) -> DataFrame:
-    return flags(V.questions(table(spark, d, "questions"))).select("q_id", *_FLAGS, "quality")
+    """All twenty weighted checks of every pair against its evidence."""
+    return C.checked(with_evidence(spark, d)).select("q_id", *C.WEIGHTS, "quality")
 
 
-@q("fi_worst_pairs", with_("qu", f"SELECT q_id, quality FROM ({_SCORED}) ORDER BY quality, q_id LIMIT 20"))
+@q("fi_worst_pairs", with_("qu go ch", f"SELECT q_id, quality FROM ({_SCORED}) ORDER BY quality, q_id LIMIT 20"))
 def fi_worst_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return flags(V.questions(table(spark, d, "questions"))).select("q_id", "quality").orderBy("quality", "q_id").limit(20)
+    return C.checked(with_evidence(spark, d)).select("q_id", "quality").orderBy("quality", "q_id").limit(20)
 
 
 @q("fi_unsupported_numbers", with_("qu go ch", r"""SELECT q_id, count(*) AS n FROM (SELECT DISTINCT q_id, unnest(regexp_extract_all(answer, '\b\d+(?:\.\d+)?\b')) AS x FROM qu) a

@@ -10,7 +10,8 @@ from quarry.functions import text as T
 from quarry.functions import views as V
 from quarry.operators import dedup as D
 from quarry.operators import verify as Y
-from quarry.plans.filter_queries import _SCORED, _case, flags
+from quarry.functions import pair_checks as C
+from quarry.plans.filter_queries import _SCORED, _case, with_evidence
 from quarry.plans.named import register
 from quarry.plans.oracle import tok, with_
 from quarry.plans.retrieval_queries import _rel, _rel_sql
@@ -107,10 +108,15 @@ def ag_cost_ratios(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(F.round(s / F.nullif(F.count_distinct("user_id"), F.lit(0)), 4).alias("per_run"), F.round(s / F.nullif(F.count_if(F.col("value") < 0), F.lit(0)), 4).alias("per_negative"))
 
 
-@q("ag_quality_histogram", with_("qu", f"SELECT floor(quality * 10)::INT AS bin, count(*) AS n, count_if(tautology) AS n_tautology, count_if(compound) AS n_compound FROM ({_SCORED}) GROUP BY 1"))
+_MEANS = [f"round(avg({k}::INT), 6) AS {k}" for k in C.WEIGHTS]
+
+
+@q("ag_quality_histogram", with_("qu go ch", f"SELECT floor(quality * 10)::INT AS bin, count(*) AS n, count_if({' OR '.join(C.HARD)}) AS n_hard, {', '.join(_MEANS)} FROM ({_SCORED}) GROUP BY 1"))
 def ag_quality_histogram(spark: SparkSession, d: str) -> DataFrame:
-    f = flags(V.questions(table(spark, d, "questions")))
-    return f.groupBy(F.floor(F.col("quality") * 10).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.count_if("tautology").alias("n_tautology"), F.count_if("compound").alias("n_compound"))
+    """Pairs by quality, and in each bin the share that each check fired on."""
+    f = C.checked(with_evidence(spark, d))
+    hard = F.greatest(*(F.col(k) for k in C.HARD))
+    return f.groupBy(F.floor(F.col("quality") * 10).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.count_if(hard).alias("n_hard"), *(F.round(F.avg(F.col(k).cast("int")), 6).alias(k) for k in C.WEIGHTS))
 
 
 @q("ag_deltas", with_("rk", "SELECT coalesce(a.q_id, b.q_id) AS q_id, coalesce(a.n, 0) AS n_bm25, coalesce(b.n, 0) AS n_dense, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta FROM (SELECT q_id, count(*) AS n FROM rk WHERE mode = 'bm25' GROUP BY 1) a FULL JOIN (SELECT q_id, count(*) AS n FROM rk WHERE mode = 'dense' GROUP BY 1) b ON a.q_id = b.q_id"))
@@ -141,10 +147,10 @@ def ag_funnel(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.length("text") >= 60).alias("n_long"), F.count_if((F.length("text") >= 60) & typed).alias("n_typed"))
 
 
-@q("ag_drop_pivot", with_("qu", f"SELECT hop_type, count_if(tautology) AS tautology, count_if(abstains) AS abstains, count_if(is_question) AS is_question, count_if(quality > 0) AS kept FROM ({_SCORED}) GROUP BY 1"))
+@q("ag_drop_pivot", with_("qu go ch", f"SELECT hop_type, {', '.join(f'count_if({k}) AS {k}' for k in C.WEIGHTS)}, count_if(quality > 0) AS kept FROM ({_SCORED}) GROUP BY 1"))
 def ag_drop_pivot(spark: SparkSession, d: str) -> DataFrame:
-    f = flags(V.questions(table(spark, d, "questions")))
-    return f.groupBy("hop_type").agg(*(F.count_if(c).alias(c) for c in ("tautology", "abstains", "is_question")), F.count_if(F.col("quality") > 0).alias("kept"))
+    f = C.checked(with_evidence(spark, d))
+    return f.groupBy("hop_type").agg(*(F.count_if(k).alias(k) for k in C.WEIGHTS), F.count_if(F.col("quality") > 0).alias("kept"))
 
 
 @q("ag_tpch_pricing", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY 1, 2")
