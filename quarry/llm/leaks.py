@@ -4,8 +4,9 @@ Every document is cut into overlapping windows, each a query against the index o
 the least BM25 score of any run of RUN words of its own passage, so a window that holds such a run always scores at
 least that much; impacts are stored divided by their item's threshold, and the search keeps what reaches 1. As in
 block-max WAND a window is dropped by the maxima of its terms, then each block of items by the terms' maxima in the
-block, and only what is left is scored; the bounds are taken for many windows at once, in arrays, instead of cursor by
-cursor. The runs of the items kept are then verified word by word.
+block, and only what is left is scored. The bounds are taken for many windows at once, in arrays, instead of cursor by
+cursor: terms that many blocks have as rows over all blocks, the others as lists of their blocks. The runs of the items
+kept are then verified word by word.
 """
 
 from __future__ import annotations
@@ -27,9 +28,12 @@ WINDOW = 16
 K1, B = 1.2, 0.75
 #: Items of a block, which share the maximum of each term.
 BLOCK = 8
-#: Test items of one index; further items make further indexes, each searched by all documents.
-ITEMS = 512
-_CHUNK = 8192
+#: Test items of one index, of about 4 KB each when sent to every executor; the documents are read once for each index.
+ITEMS = 50_000
+#: A term in at least one of so many blocks has a row over all blocks.
+DENSE = 8
+#: Windows, and bounds of windows and blocks, that are held at once.
+_CHUNK, _CELLS = 8192, 1 << 21
 
 _WORD = re.compile(r"[^\W_]+")
 _HIDDEN = re.compile("[\u00ad\u200b]")
@@ -51,17 +55,30 @@ def vocabulary(items: list[tuple]) -> dict[str, int]:
 
 @dataclass
 class Index:
-    """impact: (terms + 1, blocks, BLOCK), of which block and top are maxima; runs: hashes of all runs, sorted."""
+    """Impacts by term and item as sorted keys term * items + number, and their maxima by term and block.
+
+    rows[row[term]] has a common term's maxima over all blocks, row 0 none; those of the others are in near_blocks and
+    near_values from starts[term] to starts[term + 1].
+    """
 
     terms: dict[str, int]
     items: list[int]
-    impact: np.ndarray
-    block: np.ndarray
     top: np.ndarray
+    row: np.ndarray
+    rows: np.ndarray
+    near_blocks: np.ndarray
+    near_values: np.ndarray
+    starts: np.ndarray
+    item_keys: np.ndarray
+    item_values: np.ndarray
     codes: np.ndarray
     hashes: np.ndarray
-    runs: list[set[tuple[int, ...]]]
-    pairs: list[tuple[frozenset, frozenset]]
+    words: list[np.ndarray]
+    pairs: list[tuple[str, str]]
+
+    @property
+    def blocks(self) -> int:
+        return -(-len(self.items) // BLOCK)
 
 
 def _hash(ids: np.ndarray, codes: np.ndarray, run: int) -> np.ndarray:
@@ -73,6 +90,12 @@ def _hash(ids: np.ndarray, codes: np.ndarray, run: int) -> np.ndarray:
     return h
 
 
+def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The values of the wanted keys, 0 where there is none."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], np.float32(0))
+
+
 def build(items: list[tuple], df: np.ndarray | None = None, n_docs: int = 0, run: int = RUN) -> Index:
     """Index of (item_id, passage, question, answer). Items with fewer than `run` words can't be found and are left out.
 
@@ -80,27 +103,50 @@ def build(items: list[tuple], df: np.ndarray | None = None, n_docs: int = 0, run
     """
     terms = vocabulary(items)
     kept = [(i, w, q, a) for i, p, q, a in items if len(w := words(p or "")) >= run]
-    docs = [[terms[x] for x in w] for _, w, _, _ in kept]
+    docs = [np.array([terms[x] for x in w], dtype=np.int32) for _, w, _, _ in kept]
+    distinct = [np.unique(d, return_counts=True) for d in docs]
     if df is None:
-        df, n_docs = np.zeros(len(terms)), len(docs)
-        for d in docs:
-            df[list(set(d))] += 1
+        n_docs = len(docs)
+        df = np.bincount(np.concatenate([t for t, _ in distinct]), minlength=len(terms)) if docs else np.zeros(len(terms))
     mean = sum(map(len, docs)) / max(1, len(docs))
     idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
-    blocks = max(1, -(-len(docs) // BLOCK))
-    impact = np.zeros((len(terms) + 1, blocks * BLOCK), np.float32)
     rng = np.random.default_rng(7)
     codes = rng.integers(1, 2**63, len(terms) + 1, dtype=np.uint64)
-    runs, hashes = [], []
-    for k, d in enumerate(docs):
-        x = {t: idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(d) / mean)) for t, n in Counter(d).items()}
-        least = min(sum(x[t] for t in set(d[i : i + run])) for i in range(len(d) - run + 1)) * (1 - 1e-4)
-        for t, v in x.items():
-            impact[t, k] = v / least
-        runs.append({tuple(d[i : i + run]) for i in range(len(d) - run + 1)})
-        hashes.append(_hash(np.array(d), codes, run))
-    impact = impact.reshape(len(terms) + 1, blocks, BLOCK)
-    return Index(terms, [i for i, *_ in kept], impact, impact.max(axis=2), impact.max(axis=(1, 2)), codes, np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64), runs, [(frozenset(words(q or "")), frozenset(words(a or ""))) for _, _, q, a in kept])
+    hashes, item_terms, item_values = [], [], []
+    gain = np.zeros(len(terms))
+    for d, (t, n) in zip(docs, distinct):
+        x = idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(d) / mean))
+        gain[t] = x
+        runs = np.sort(np.lib.stride_tricks.sliding_window_view(d, run), axis=1)
+        once = np.ones(runs.shape, bool)
+        once[:, 1:] = runs[:, 1:] != runs[:, :-1]
+        least = (gain[runs] * once).sum(axis=1).min() * (1 - 1e-4)
+        item_terms.append(t)
+        item_values.append(x / least)
+        hashes.append(_hash(d, codes, run))
+    blocks = max(1, -(-len(docs) // BLOCK))
+    t = np.concatenate(item_terms).astype(np.int64) if docs else np.zeros(0, np.int64)
+    v = np.concatenate(item_values).astype(np.float32) if docs else np.zeros(0, np.float32)
+    k = np.repeat(np.arange(len(docs)), [len(x) for x in item_terms])
+    order = np.lexsort((k, t))
+    t, v, k = t[order], v[order], k[order]
+    keys = t * blocks + k // BLOCK
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    maxima = np.maximum.reduceat(v, first) if len(keys) else v
+    keys = keys[first]
+    top = np.zeros(len(terms) + 1, np.float32)
+    np.maximum.at(top, t, v)
+    of, block = keys // blocks, keys % blocks
+    common = np.flatnonzero(np.bincount(of, minlength=len(terms) + 1) * DENSE >= blocks) if len(of) else np.zeros(0, np.int64)
+    row = np.zeros(len(terms) + 1, np.int64)
+    row[common] = np.arange(1, len(common) + 1)
+    rows = np.zeros((len(common) + 1, blocks), np.float32)
+    rows[row[of], block] = np.where(row[of] > 0, maxima, 0)
+    rare = row[of] == 0
+    starts = np.searchsorted(of[rare], np.arange(len(terms) + 2))
+    return Index(
+        terms, [i for i, *_ in kept], top, row, rows, block[rare], maxima[rare], starts, t * max(1, len(docs)) + k, v, codes, np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64), docs, [(q or "", a or "") for _, _, q, a in kept]
+    )
 
 
 def numbers(terms: dict[str, int], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,23 +161,31 @@ def numbers(terms: dict[str, int], texts: list[str | None]) -> tuple[np.ndarray,
 
 def candidates(index: Index, ids: np.ndarray, first: np.ndarray, last: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(window, item, score) of every item that reaches its threshold in the windows [first, last) of ids."""
-    none = len(index.terms)
+    none, blocks, n = len(index.terms), index.blocks, len(index.items)
     reach = np.r_[0.0, np.cumsum(index.top[ids], dtype=np.float64)]
     alive = np.flatnonzero(reach[last] - reach[first] >= 1 - 1e-6)
     out = []
-    for part in np.array_split(alive, max(1, -(-len(alive) // _CHUNK))):
+    for part in np.array_split(alive, max(1, -(-len(alive) // max(1, min(_CHUNK, _CELLS // max(1, blocks)))))):
         at = first[part, None] + np.arange(window)
         w = np.sort(np.where(at < last[part, None], ids[np.minimum(at, len(ids) - 1)], none), axis=1)
         w[:, 1:][w[:, 1:] == w[:, :-1]] = none
-        bound = np.zeros((len(part), index.block.shape[1]), np.float32)
+        bound = np.zeros((len(part), blocks), np.float32)
         for o in range(window):
-            bound += index.block[w[:, o]]
+            bound += index.rows[index.row[w[:, o]]]
+        flat = w.ravel()
+        sizes = index.starts[flat + 1] - index.starts[flat]
+        of = np.repeat(np.arange(len(flat)), sizes)
+        place = index.starts[flat[of]] + np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        np.add.at(bound.ravel(), (of // window) * blocks + index.near_blocks[place], index.near_values[place])
         i, b = np.nonzero(bound >= 1)
-        score = np.zeros((len(i), BLOCK), np.float32)
+        k = (b[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        i = np.repeat(i, BLOCK)[k < n]
+        k = k[k < n]
+        score = np.zeros(len(i), np.float32)
         for o in range(window):
-            score += index.impact[w[i, o], b]
-        j, k = np.nonzero(score >= 1)
-        out.append((part[i[j]], b[j] * BLOCK + k, score[j, k]))
+            score += _look(index.item_keys, index.item_values, w[i, o].astype(np.int64) * n + k)
+        hit = score >= 1
+        out.append((part[i[hit]], k[hit], score[hit]))
     return tuple(np.concatenate([x[c] for x in out]) for c in range(3)) if out else (np.zeros(0, np.int64),) * 3
 
 
@@ -156,20 +210,20 @@ def scan(index: Index, texts: list[str | None], run: int = RUN, window: int = WI
         ok = np.flatnonzero((place + run <= last[win]) & known[np.minimum(place, len(known) - 1)])
         for c in ok:
             p, k = int(place[c]), int(item[c])
-            if tuple(ids[p : p + run].tolist()) in index.runs[k]:
+            if (np.lib.stride_tricks.sliding_window_view(index.words[k], run) == ids[p : p + run]).all(axis=1).any():
                 t = int(text[win[c]])
                 if t not in held:
                     held[t] = set(words(texts[t]))
                 have = held[t]
-                q, a = index.pairs[k]
+                q, a = (set(words(x)) for x in index.pairs[k])
                 yield t, k, p - int(starts[t]), float(score[c]), len(q & have) / max(1, len(q)), len(a & have) / max(1, len(a))
 
 
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, item_id, word_at, score, question_overlap, answer_overlap: one row per document and item it holds a run of.
 
-    items: item_id, passage, question, answer: the fixed set of test items, read to the driver in blocks of ITEMS and sent to
-    every task. Null or short texts and passages are never found; repeated documents come out once; an empty table of
+    items: item_id, passage, question, answer: the stated set of test items, read to the driver in blocks of ITEMS, each of
+    which is an index sent to every executor. All items up to ITEMS are searched in one pass over the documents. Null or short texts and passages are never found; repeated documents come out once; an empty table of
     either side gives no rows. Every document is searched whole.
     """
     rows = items.select("item_id", "passage", "question", "answer").filter("item_id is not null").distinct().orderBy("item_id", "passage")

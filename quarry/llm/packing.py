@@ -225,10 +225,10 @@ def configurations(histogram: dict[int, int], capacity: int, rounds: int = ROUND
 PLAN = "capacity int, len long, lo long, hi long, per long, base long, times long, stage string, bound double"
 
 
-def plan(histograms: DataFrame) -> DataFrame:
+def plan(histograms: DataFrame, tasks: int) -> DataFrame:
     """PLAN: where the items of each rank in their length go, for each capacity; histograms: capacity, len, n.
 
-    Each capacity's program is solved in a task of its own; its histogram has at most `capacity` rows.
+    Each capacity's program is solved in one of `tasks` tasks; its histogram has at most `capacity` rows.
     """
 
     def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
@@ -243,7 +243,7 @@ def plan(histograms: DataFrame) -> DataFrame:
             base += times
         return pd.DataFrame(out, columns=["capacity", "len", "lo", "hi", "per", "base", "times", "stage", "bound"])
 
-    return histograms.groupBy("capacity").applyInPandas(run, PLAN)
+    return histograms.repartition(tasks, "capacity").groupBy("capacity").applyInPandas(run, PLAN)
 
 
 def items(counts: DataFrame, capacities: list[int]) -> DataFrame:
@@ -274,7 +274,7 @@ def ranked(rows: DataFrame) -> DataFrame:
 def planned(counts: DataFrame, capacities: list[int]) -> tuple[DataFrame, DataFrame]:
     """items() of the capacities, and their plan as a written table."""
     rows = items(counts, capacities)
-    return rows, stored(plan(rows.groupBy("capacity", "len").agg(F.count(F.lit(1)).alias("n"))))
+    return rows, stored(plan(rows.groupBy("capacity", "len").agg(F.count(F.lit(1)).alias("n")), min(1000, 8 * len(capacities) + 1)))
 
 
 def placed(rows: DataFrame, plan: DataFrame) -> DataFrame:

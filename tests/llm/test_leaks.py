@@ -62,3 +62,18 @@ def test_batches_are_cut_by_characters():
     p = pd.DataFrame({"i": range(6), "t": ["aa", None, "bbbb", "c" * 99, "", "dd"]})
     got = list(parts(iter([p, p.iloc[:0]]), chars=5))
     assert [g.i.tolist() for g in got] == [[0, 1], [2], [3], [4, 5], []]
+
+
+def test_five_thousand_items_are_one_index_and_equal_brute_force(spark):
+    r = random.Random(11)
+    v = [f"w{i}" for i in range(4000)] + ["the", "of", "and", "to"] * 400
+    items = [(i, " ".join(r.choices(v, k=r.randint(10, 40))), "", "") for i in range(5000)]
+    texts = []
+    for _ in range(60):
+        t = r.choices(v, k=60)
+        if r.random() < 0.7:
+            x = r.choice(items)[1].split()
+            a = r.randrange(len(x))
+            t[20:20] = x[a : a + r.randint(10, 15)]
+        texts.append(" ".join(t))
+    assert L.ITEMS >= 5000 and found(items, texts) == brute(items, texts)
