@@ -42,9 +42,10 @@ def ob_budget_breach(spark: SparkSession, d: str) -> DataFrame:
     return E.breach(_log(spark, d), 500)
 
 
-@q("ob_chain_ids", with_("fa", "SELECT sha1(string_agg(fact_id, '|' ORDER BY order_idx)) AS chain_id, count(*) AS depth FROM fa WHERE order_idx <= 3 GROUP BY doc_id"))
+@q("ob_chain_ids", with_("fa", "SELECT sha1(string_agg(fact_id, '|' ORDER BY order_idx)) AS chain_id, count(*) AS depth FROM fa GROUP BY doc_id, (order_idx - 1) // 3"))
 def ob_chain_ids(spark: SparkSession, d: str) -> DataFrame:
-    f = V.facts(table(spark, d, "chunks")).filter("order_idx <= 3").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("order_idx", "fact_id"))).alias("s"))
+    """Ids of the chains of three facts that follow each other in a document; the last may be shorter."""
+    f = V.facts(table(spark, d, "chunks")).groupBy("doc_id", F.expr("(order_idx - 1) div 3").alias("k")).agg(F.array_sort(F.collect_list(F.struct("order_idx", "fact_id"))).alias("s"))
     return f.select(F.sha1(F.array_join("s.fact_id", "|")).alias("chain_id"), F.size("s").alias("depth"))
 
 

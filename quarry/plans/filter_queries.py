@@ -302,10 +302,10 @@ def fi_hop_class(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("q_id", F.size("s").alias("depth"), P.hop_class(F.col("s.page_start"), order).alias("hop_class"))
 
 
-@q("fi_hop_label", with_("fa", f"SELECT label, count(*) AS n FROM (SELECT array_to_string(list({_case('text', P.ROLES, chr(39) + 'definition' + chr(39))} ORDER BY order_idx)[1:3], '->') AS label FROM fa WHERE order_idx <= 3 GROUP BY doc_id) GROUP BY 1"))
+@q("fi_hop_label", with_("fa", f"SELECT label, count(*) AS n FROM (SELECT array_to_string(list({_case('text', P.ROLES, chr(39) + 'definition' + chr(39))} ORDER BY order_idx), '->') AS label FROM fa GROUP BY doc_id, (order_idx - 1) // 3) GROUP BY 1"))
 def fi_hop_label(spark: SparkSession, d: str) -> DataFrame:
-    """Chains of a document's first three facts, named by their roles."""
-    f = V.facts(table(spark, d, "chunks")).filter("order_idx <= 3").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("order_idx", P.role(F.col("text")).alias("role")))).alias("s"))
+    """Chains of three facts that follow each other in a document, named by their roles."""
+    f = V.facts(table(spark, d, "chunks")).groupBy("doc_id", F.expr("(order_idx - 1) div 3").alias("k")).agg(F.array_sort(F.collect_list(F.struct("order_idx", P.role(F.col("text")).alias("role")))).alias("s"))
     return f.groupBy(F.array_join("s.role", "->").alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 

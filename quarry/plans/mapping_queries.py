@@ -110,11 +110,11 @@ def ag_label_audit(spark: SparkSession, d: str) -> DataFrame:
     return l.groupBy(F.coalesce("annotator", F.lit("none")).alias("annotator")).agg(F.count(F.lit(1)).alias("n"), F.count("subject").alias("n_filled"), F.count("known").alias("n_known"), F.round(F.count("known") / F.nullif(F.count("subject"), F.lit(0)), 6).alias("rate"))
 
 
-@q("gr_chain_edges", f"{_FA},\n{_PAIRS},\n{_SCHED}\nSELECT a.fact_id AS fact_a, b.fact_id AS fact_b, coalesce(s2.score, 0.0) AS score FROM fa a JOIN fa b ON a.doc_id = b.doc_id AND b.order_idx = a.order_idx + 1 LEFT JOIN s2 ON s2.fact_a = a.fact_id AND s2.fact_b = b.fact_id WHERE a.order_idx <= 4")
+@q("gr_chain_edges", f"{_FA},\n{_PAIRS},\n{_SCHED}\nSELECT a.fact_id AS fact_a, b.fact_id AS fact_b, coalesce(s2.score, 0.0) AS score FROM fa a JOIN fa b ON a.doc_id = b.doc_id AND b.order_idx = a.order_idx + 1 LEFT JOIN s2 ON s2.fact_a = a.fact_id AND s2.fact_b = b.fact_id")
 def gr_chain_edges(spark: SparkSession, d: str) -> DataFrame:
-    """The edges of each document's first chain of five facts; a missing edge scores 0."""
+    """The edges of the chain of each document's facts in reading order; a missing edge scores 0."""
     f = V.facts(table(spark, d, "chunks"))
-    chain = f.withColumn("fact_b", F.lead("fact_id").over(Window.partitionBy("doc_id").orderBy("order_idx"))).filter("fact_b is not null and order_idx <= 4").select(F.col("fact_id").alias("fact_a"), "fact_b")
+    chain = f.withColumn("fact_b", F.lead("fact_id").over(Window.partitionBy("doc_id").orderBy("order_idx"))).filter("fact_b is not null").select(F.col("fact_id").alias("fact_a"), "fact_b")
     return chain.join(G.schedule(G.neighbour_pairs(f)).select("fact_a", "fact_b", "score"), ["fact_a", "fact_b"], "left").fillna(0.0, ["score"])
 
 
@@ -230,10 +230,10 @@ def mx_last_numbers(spark: SparkSession, d: str) -> DataFrame:
     return a.select("ans_id", F.try_element_at("n", F.lit(-1)).alias("last_number"))
 
 
-@q("mx_support_anchors", with_("fa", f"SELECT fact_id, list_sort({_CONTENT.format('text')})[1:4] AS anchors FROM fa WHERE order_idx <= 5"))
+@q("mx_support_anchors", with_("fa", f"SELECT fact_id, list_sort({_CONTENT.format('text')})[1:4] AS anchors FROM fa"))
 def mx_support_anchors(spark: SparkSession, d: str) -> DataFrame:
     """Up to four distinctive words of each fact, in alphabetical order."""
-    return V.facts(table(spark, d, "chunks")).filter("order_idx <= 5").select("fact_id", F.slice(F.array_sort(T.content_tokens(F.col("text"))), 1, 4).alias("anchors"))
+    return V.facts(table(spark, d, "chunks")).select("fact_id", F.slice(F.array_sort(T.content_tokens(F.col("text"))), 1, 4).alias("anchors"))
 
 
 @q("mx_cache_keys", with_("qu", "SELECT q_id, sha256('model-a' || '|' || coalesce(question, '') || '|' || array_to_string(list_sort(list_distinct(coalesce(gold_chunk_ids, []))), ',')) AS key FROM qu"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,13 +35,32 @@ def ag_spread(spark: SparkSession, d: str) -> DataFrame:
     return _rp(spark, d).groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(r), 6).alias("mean"), F.round(F.percentile(r, F.lit(0.5)), 6).alias("median"), F.round(F.stddev_pop(r), 6).alias("sd_pop"), F.round(F.stddev_samp(r), 6).alias("sd_samp"), F.count_if(r == 0).alias("n_zero"), F.count_if(r == 1).alias("n_full"))
 
 
-@q("ag_bootstrap", _rel_sql("").rstrip() + f""",\n{_RP}, mq AS (SELECT mode, q_id, avg(r) AS v FROM rp GROUP BY 1, 2), bs AS (SELECT mode, b, sum(v * w) / sum(w) AS m FROM (SELECT mode, v, b, (('0x' || md5(q_id || ':' || b)[1:8])::BIGINT % 3) AS w FROM mq, range(100) t(b)) GROUP BY 1, 2 HAVING sum(w) > 0)
+#: Resamples, and groups of questions that are drawn together once there are more questions than groups.
+RESAMPLES, CELLS = 1000, 4096
+# The Poisson distribution of mean 1, times 2^32.
+POISSON = tuple(int(x * 2**32) for x in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975))
+_MIX = "({0} * 73244475) % 4294967296"
+_U = _MIX.format("xor({0}, {0} >> 16)")
+
+
+@q("ag_bootstrap", _rel_sql("").rstrip() + f""",\n{_RP}, mq AS (SELECT mode, q_id, avg(r) AS v FROM rp GROUP BY 1, 2), ce AS (SELECT mode, ('0x' || md5(q_id)[1:8])::BIGINT % {CELLS} AS cell, sum(v) AS s, count(*) AS n FROM mq GROUP BY 1, 2),
+hx AS (SELECT *, {_U.format('x1')} AS x2 FROM (SELECT *, {_U.format('x0')} AS x1 FROM (SELECT mode, s, n, b, cell * 1000003 + b * 7919 + 12345 AS x0 FROM ce, range({RESAMPLES}) t(b)))),
+wt AS (SELECT mode, s, n, b, {' + '.join(f'(xor(x2, x2 >> 16) >= {x})::INT' for x in POISSON)} AS w FROM hx), bs AS (SELECT mode, b, sum(s * w) / sum(n * w) AS m FROM wt GROUP BY 1, 2 HAVING sum(n * w) > 0)
 SELECT mode, round(quantile_cont(m, 0.025), 5) AS lo, round(quantile_cont(m, 0.975), 5) AS hi FROM bs GROUP BY 1""")
 def ag_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    """Percentile interval of the mean over 100 resamples; each draws every question 0, 1 or 2 times by a hash, so runs agree."""
-    m = _rp(spark, d).groupBy("mode", "q_id").agg(F.avg("r").alias("v")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(99))))
-    w = F.conv(F.substring(F.md5(F.concat_ws(":", "q_id", F.col("b").cast("string"))), 1, 8), 16, 10).cast("long") % 3
-    bs = m.groupBy("mode", "b").agg(F.sum(F.col("v") * w).alias("s"), F.sum(w).alias("n")).filter("n > 0").withColumn("m", F.col("s") / F.col("n"))
+    """Percentile interval of the mean over RESAMPLES resamples, which draw every question a Poisson number of times (mean 1).
+
+    The draws come from a hash, so runs agree. Questions are drawn in CELLS groups by a hash of their id, so the work has a
+    bound however many there are; with fewer questions than groups most are drawn alone.
+    """
+    cell = F.conv(F.substring(F.md5("q_id"), 1, 8), 16, 10).cast("long") % CELLS
+    m = _rp(spark, d).groupBy("mode", "q_id").agg(F.avg("r").alias("v")).groupBy("mode", cell.alias("cell")).agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"))
+    x = m.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(RESAMPLES - 1)))).withColumn("x", F.col("cell") * 1000003 + F.col("b") * 7919 + 12345)
+    for _ in range(2):
+        x = x.withColumn("x", (F.col("x").bitwiseXOR(F.shiftright("x", 16)) * 73244475) % 4294967296)
+    u = F.col("x").bitwiseXOR(F.shiftright("x", 16))
+    w = sum(((u >= t).cast("int") for t in POISSON), F.lit(0))
+    bs = x.withColumn("w", w).groupBy("mode", "b").agg(F.sum(F.col("s") * F.col("w")).alias("s"), F.sum(F.col("n") * F.col("w")).alias("n")).filter("n > 0").withColumn("m", F.col("s") / F.col("n"))
     return bs.groupBy("mode").agg(F.round(F.percentile("m", F.lit(0.025)), 5).alias("lo"), F.round(F.percentile("m", F.lit(0.975)), 5).alias("hi"))
 
 
@@ -76,13 +97,38 @@ def ag_spearman(spark: SparkSession, d: str) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("n"), pearson("rank_r", "rank_p").alias("rho"))
 
 
-@q("ag_kendall", _rel_sql("").rstrip() + f",\n{_RP}, dm AS (SELECT substr(q_id, 1, 1) AS d, round(avg(r), 9) AS r, round(avg(p), 9) AS p FROM rp GROUP BY 1)\nSELECT count(*) AS n_pairs, round(sum(sign((a.r - b.r) * (a.p - b.p))) / count(*), 6) AS tau FROM dm a JOIN dm b ON a.d < b.d")
+@q("ag_kendall", _rel_sql("").rstrip() + f""",\n{_RP}, dm AS (SELECT q_id, round(round(avg(r), 9) * 1000, 0)::INT AS r, round(round(avg(p), 9) * 1000, 0)::INT AS p FROM rp GROUP BY 1), pa AS (SELECT sign(a.r - b.r) AS x, sign(a.p - b.p) AS y FROM dm a JOIN dm b ON a.q_id < b.q_id)
+SELECT (SELECT count(*) FROM dm) AS n, CASE WHEN sum(abs(x)) > 0 AND sum(abs(y)) > 0 THEN round(sum(x * y) / sqrt(sum(abs(x))::DOUBLE * sum(abs(y))::DOUBLE), 6) END AS tau FROM pa""")
 def ag_kendall(spark: SparkSession, d: str) -> DataFrame:
-    """Tau of the means by first character of the question id, a few groups whatever the data."""
-    m = _rp(spark, d).groupBy(F.substring("q_id", 1, 1).alias("d")).agg(F.round(F.avg("r"), 9).alias("r"), F.round(F.avg("p"), 9).alias("p"))
-    g = m.agg(F.collect_list(F.struct("d", "r", "p")).alias("g"))
-    pairs = g.select(F.explode("g").alias("a"), "g").select("a", F.explode("g").alias("b")).filter("a.d < b.d")
-    return pairs.agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.sum(F.signum((F.col("a.r") - F.col("b.r")) * (F.col("a.p") - F.col("b.p")))) / F.count(F.lit(1)), 6).alias("tau"))
+    """Tau (b, ties counted out) of the questions' mean recall and precision, to three places; null where one doesn't vary.
+
+    Exact over all questions: they are counted by value, of which there are at most 1,001 x 1,001, and pairs of values are
+    counted by sums over that grid, never pair by pair.
+    """
+
+    @F.pandas_udf("struct<n:bigint,tau:double>")
+    def tau(cells: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([kendall([(c["r"], c["p"], c["c"]) for c in x]) for x in cells], columns=["n", "tau"])
+
+    m = _rp(spark, d).groupBy("q_id").agg(F.round(F.round(F.avg("r"), 9) * 1000, 0).cast("int").alias("r"), F.round(F.round(F.avg("p"), 9) * 1000, 0).cast("int").alias("p"))
+    cells = m.groupBy("r", "p").agg(F.count(F.lit(1)).alias("c")).agg(F.collect_list(F.struct("r", "p", "c")).alias("cells"))
+    return cells.select(tau("cells").alias("t")).select("t.n", "t.tau")
+
+
+def kendall(cells: list[tuple[int, int, int]]) -> tuple[int, float | None]:
+    """The number of rows and tau b of rows counted by their two values, (x, y, rows)."""
+    if not cells:
+        return 0, None
+    x, y, c = (np.array(v) for v in zip(*cells))
+    (_, i), (_, j) = np.unique(x, return_inverse=True), np.unique(y, return_inverse=True)
+    grid = np.zeros((i.max() + 1, j.max() + 1))
+    np.add.at(grid, (i, j), c)
+    n, below = grid.sum(), np.cumsum(grid, axis=0) - grid  # rows of smaller x with each y
+    left = np.cumsum(below, axis=1) - below
+    agree, against = (grid * left).sum(), (grid * (below.sum(axis=1, keepdims=True) - left - below)).sum()
+    pairs = lambda k: (k * (k - 1) / 2).sum()
+    a, b = pairs(n) - pairs(grid.sum(axis=1)), pairs(n) - pairs(grid.sum(axis=0))
+    return int(n), round(float((agree - against) / np.sqrt(a * b)), 6) if a and b else None
 
 
 @q("ag_difficulty_matrix", _rel_sql("").rstrip() + f",\n{_RP}\nSELECT coalesce(hop_type, 'all') AS hop_type, coalesce(depth, -1) AS depth, count(*) AS n, round(avg(r), 6) AS recall FROM (SELECT r, hop_type, least(len(gold_chunk_ids), 3)::INT AS depth FROM rp JOIN qu USING (q_id)) GROUP BY CUBE (hop_type, depth)")
@@ -282,12 +328,12 @@ def nl_leave_one_out(spark: SparkSession, d: str) -> DataFrame:
     return Y.necessity(rows.withColumn("score", Y.support(F.col("premise"), F.col("answer"))), "q_id")
 
 
-@q("nl_distinct_pairs", with_("rk qu ch", "SELECT count(*) AS n, count(DISTINCT (substr(text, 1, 1200), substr(answer, 1, 400))) AS n_distinct FROM rk JOIN qu USING (q_id) JOIN ch USING (chunk_id) WHERE answer IS NOT NULL"))
+@q("nl_distinct_pairs", with_("rk qu ch", "SELECT count(*) AS n, count(DISTINCT (text, answer)) AS n_distinct FROM rk JOIN qu USING (q_id) JOIN ch USING (chunk_id) WHERE answer IS NOT NULL"))
 def nl_distinct_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """How many pairs a model would be asked about, and how many of them differ; the cuts are the model's window."""
+    """How many pairs a model would be asked about, and how many of them differ."""
     t = table(spark, d, "questions")
     p = V.ranked(table(spark, d, "retrievals")).join(V.questions(t).filter("answer is not null").select("q_id", "answer"), "q_id").join(V.chunk_rows(table(spark, d, "chunks")).select("chunk_id", "text"), "chunk_id")
-    per = p.groupBy(F.sha2(F.concat_ws("\u0001", F.substring("text", 1, 1200), F.substring("answer", 1, 400)), 256).alias("h")).agg(F.count(F.lit(1)).alias("c"))
+    per = p.groupBy(F.sha2(F.concat_ws("\u0001", "text", "answer"), 256).alias("h")).agg(F.count(F.lit(1)).alias("c"))
     return per.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_distinct"))
 
 

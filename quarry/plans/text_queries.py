@@ -54,10 +54,11 @@ def io_pairs_by_document(spark: SparkSession, d: str) -> DataFrame:
 
 
 @q("io_fact_store_merge", with_("fa", r"""SELECT coalesce(b.fact_id, a.fact_id) AS fact_id, coalesce(b.text, a.text) AS text, b.fact_id IS NOT NULL AS overridden FROM
-  (SELECT fact_id, text FROM fa WHERE order_idx <= 3) a FULL JOIN (SELECT fact_id, '* ' || text AS text FROM fa WHERE order_idx BETWEEN 3 AND 4) b ON a.fact_id = b.fact_id"""))
+  (SELECT fact_id, text FROM fa WHERE length(text) < 90) a FULL JOIN (SELECT fact_id, '* ' || text AS text FROM fa WHERE length(text) >= 60) b ON a.fact_id = b.fact_id"""))
 def io_fact_store_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Two stores merged: one of the facts under 90 characters, and one of those from 60 on, whose text wins."""
     f = V.facts(table(spark, d, "chunks"))
-    a, b = f.filter("order_idx <= 3").select("fact_id", "text"), f.filter("order_idx between 3 and 4").select(F.col("fact_id").alias("b"), F.concat(F.lit("* "), "text").alias("bt"))
+    a, b = f.filter(F.length("text") < 90).select("fact_id", "text"), f.filter(F.length("text") >= 60).select(F.col("fact_id").alias("b"), F.concat(F.lit("* "), "text").alias("bt"))
     return a.join(b, F.col("fact_id") == F.col("b"), "full").select(F.coalesce("b", "fact_id").alias("fact_id"), F.coalesce("bt", "text").alias("text"), F.col("b").isNotNull().alias("overridden"))
 
 
