@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from quarry.functions import predicates as P
 from quarry.functions import text as T
 from quarry.functions import views as V
+from quarry.operators import chains as C
 from quarry.operators import graph as G
-from quarry.plans.filter_queries import _CONTENT, _case
+from quarry.plans.filter_queries import _CONTENT, _STRICT, _case, _plain
 from quarry.plans.named import register
 from quarry.plans.oracle import with_
 from quarry.session import table
@@ -98,24 +99,99 @@ def gr_paths(spark: SparkSession, d: str) -> DataFrame:
     return G.paths(G.schedule(G.neighbour_pairs(_facts(spark, d))))
 
 
-_CHAINS = "ch2 AS (SELECT fact_a, fact_b, round((shared + score * 5 + CASE WHEN page_a <> page_b THEN 1.0::DOUBLE ELSE 0.0 END + CASE WHEN role_a <> role_b THEN 1.0::DOUBLE ELSE 0.0 END) / 4, 8) AS s FROM s2)"
-
-
-def _chain_scores(spark: SparkSession, d: str) -> DataFrame:
+_SW = "[" + ", ".join(f"'{w}'" for w in C.STOPWORDS) + "]"
+_CLEAN = rf"1 - CASE WHEN t = '' THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, CASE WHEN regexp_matches(t, '{C.EQUATION}') THEN 0.65::DOUBLE ELSE 0 END + least(0.5::DOUBLE, len(regexp_extract_all(t, '{C.MATH}')) * 0.12::DOUBLE) + least(0.45::DOUBLE, len(regexp_extract_all(t, '{C.SYMBOLS}'))::DOUBLE / greatest(length(t), 1) * 10)) END"
+_FEATURES = f"""ff AS (SELECT doc_id, order_idx, fact_id, chunk_id, page_start, char_start, {_ROLE} AS role, length(trim(text, ' ')) AS n, lower(t) AS norm, ({_STRICT}) IS NOT NULL AS fragment, {_CLEAN} AS clean, least(1.0::DOUBLE, len(regexp_extract_all(text, '{C.ACTION}')) / 2.0::DOUBLE) AS action,
+  list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9_]{{2,}}')), lambda w: NOT list_contains({_SW}, w)) AS words, {_CONTENT.format('text')} AS content, regexp_matches(text, '{C.UNRESOLVED}') AS unresolved, regexp_matches(text, '{C.CONDITION_CUE}') AS cond, regexp_matches(text, '{C.SETUP_CUE}') AS setup,
+  regexp_matches(t, '{P.DEICTIC_OPENER}') AS deictic, regexp_matches(t, '{C.WEAK_START}') AS weak FROM {_plain('(SELECT fa.*, ch.char_start FROM fa JOIN ch USING (chunk_id))', ', *')})"""
+_MED = "me AS (SELECT doc_id, greatest(1.0::DOUBLE, median(n)) AS med FROM ff GROUP BY 1)"
+_PICK = lambda key, values, other: "CASE " + " ".join(f"WHEN {key} = '{k if isinstance(k, str) else '|'.join(k)}' THEN {v}::DOUBLE" for k, v in reversed(list(values.items()))) + f" ELSE {other} END"
+_01 = lambda c: f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, {c}))"
+_SIGNALS = {
+    "length": _01("(a.n + b.n) / 2.0::DOUBLE / med"),
+    "fragment": "1 - (a.fragment::INT + b.fragment::INT) / 2.0::DOUBLE",
+    "page_compactness": f"1 - {_01(f'coalesce(abs(a.page_start - b.page_start), 0) / {C.MAX_PAGE_GAP}::DOUBLE')}",
+    "role_variety": "CASE WHEN a.role = b.role THEN 0.5 ELSE 1.0 END",
+    "lexical_bridge": "CASE WHEN len(a.words) > 0 AND len(b.words) > 0 THEN len(list_intersect(a.words, b.words))::DOUBLE / least(len(a.words), len(b.words)) ELSE 0.0 END",
+    "typed_edge_confidence": "CASE WHEN a.role <> b.role THEN shared ELSE 0.0 END",
+    "edge_joint_only_margin": _01("score"),
+    "answer_contribution_score": "1.0::DOUBLE / distance",
+    "relation_type_strength": _PICK("ty", C.STRENGTH, C.UNKNOWN_RELATION),
+    "source_text_quality": "ql",
+    "compositional_actionability": _01(f"(0.28::DOUBLE * {_PICK('ty', C.ACTIONABLE, C.UNKNOWN_RELATION)} + 0.18::DOUBLE * {_PICK('rp', C.ACTIONABLE_ROLES, 'CASE WHEN a.role <> b.role THEN 0.58::DOUBLE ELSE 0.42::DOUBLE END')} + 0.2::DOUBLE * {_01('score')} + 0.18::DOUBLE * (a.action + b.action) / 2) * (0.7::DOUBLE + 0.3::DOUBLE * ql) - 0.14::DOUBLE * (ty = 'definition' AND a.role = 'definition' AND b.role = 'definition')::INT - {_01('0.18::DOUBLE * (a.unresolved::INT + b.unresolved::INT)')}"),
+    "multi_hop_questionability": _01(
+        f"""{_01(f"{_PICK('rp', C.QUESTIONABLE_ROLES, 'CASE WHEN a.role <> b.role THEN 0.5::DOUBLE ELSE 0.34::DOUBLE END')} + CASE WHEN b.role = 'condition' AND b.cond THEN 0.16::DOUBLE ELSE 0 END + CASE WHEN a.role = 'condition' AND a.cond THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN a.role = 'definition' AND a.setup THEN 0.08::DOUBLE ELSE 0 END + {_PICK('ty', C.RELATION_BONUS, C.OTHER_BONUS)} - CASE WHEN ty IN ('definition', 'descriptive') AND a.role = 'definition' AND b.role = 'definition' THEN 0.18::DOUBLE ELSE 0 END")} * (0.75::DOUBLE + 0.25::DOUBLE * ql)"""
+    ),
+}
+_PASS1 = " + ".join(f"{k} * {w}::DOUBLE" for k, w in C.WEIGHTS.items())
+_SCORED = f"""{_FEATURES},\n{_MED},
+sg AS (SELECT doc_id, fact_a, fact_b, shared, ta, {', '.join(f'round({x} + 1e-9, 6) AS {k}' for k, x in _SIGNALS.items())}, CASE WHEN a_role <> b_role THEN 'typed_mh' ELSE 'untyped_mh' END AS category FROM
+  (SELECT s2.*, a, b, med, a.role AS a_role, b.role AS b_role, '' AS ta, CASE WHEN a.role <> b.role THEN b.role ELSE 'descriptive' END AS ty, a.role || '|' || b.role AS rp, {_01('(a.clean + b.clean) / 2')} AS ql FROM s2 JOIN ff a ON a.fact_id = s2.fact_a JOIN ff b ON b.fact_id = s2.fact_b JOIN me ON me.doc_id = s2.doc_id)),
+sc AS (SELECT *, round({_01(f'({_PASS1}) / {sum(C.WEIGHTS.values())}::DOUBLE')} + 1e-9, 6) AS pass1 FROM sg),
+fi AS (SELECT *, CASE WHEN reranked THEN round({_01(f'pass1 * {1 - C.SECOND_SHARE}::DOUBLE + shared * {C.SECOND_SHARE}::DOUBLE')} + 1e-9, 6) ELSE pass1 END AS final FROM (SELECT *, pass1 >= {C.MIN_PASS1}::DOUBLE AND row_number() OVER (PARTITION BY doc_id ORDER BY pass1 DESC, fact_a, fact_b) <= 12 AS reranked FROM sc))"""
+_FACH = with_("fa ch", "").rstrip()
+
+
+def _features(spark: SparkSession, d: str) -> DataFrame:
+    at = V.chunk_rows(table(spark, d, "chunks")).select("chunk_id", "char_start")
+    return C.fact_features(_facts(spark, d).join(at, "chunk_id"))
+
+
+def pair_chains(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, fact_a, fact_b, shared, facts, edges, median: the scheduled pairs as chains of two facts.
+
+    An edge between facts of different roles is typed by the second role; what the pair shares stands for the confidence in
+    it, its score for the margin, and the closer the facts the more either adds.
+    """
+    f = _features(spark, d)
+    median = f.groupBy("f.doc_id").agg(F.median("f.n").alias("median"))
     p = G.schedule(G.neighbour_pairs(_facts(spark, d)))
-    s = (F.col("shared") + F.col("score") * 5 + F.when(F.col("page_a") != F.col("page_b"), 1.0).otherwise(0.0) + F.when(F.col("role_a") != F.col("role_b"), 1.0).otherwise(0.0)) / 4
-    return p.select("fact_a", "fact_b", F.round(s, 8).alias("s"))
+    differ = F.col("role_a") != F.col("role_b")
+    edge = F.struct(F.when(differ, F.col("role_b")).otherwise("descriptive").alias("type"), differ.alias("typed"), F.col("shared").alias("confidence"), F.col("score").alias("margin"), (1 / F.col("distance")).alias("contribution"), F.lit(0.0).alias("action"))
+    p = p.select("doc_id", "fact_a", "fact_b", "shared", F.array(edge).alias("edges")).join(median, "doc_id")
+    both = p.join(f.toDF("fact_a", "a"), "fact_a").join(f.toDF("fact_b", "b"), "fact_b")
+    return both.select("doc_id", "fact_a", "fact_b", "shared", F.array("a", "b").alias("facts"), "edges", "median")
 
 
-@q("gr_chain_scores", f"{_FA},\n{_PAIRS},\n{_SCHED},\n{_CHAINS}\nSELECT fact_a, fact_b, least(1.0::DOUBLE, s) AS chain_score FROM ch2")
+@q("gr_chain_scores", f"{_FACH},\n{_PAIRS},\n{_SCHED},\n{_SCORED}\nSELECT fact_a, fact_b, {', '.join(C.WEIGHTS)}, pass1, category FROM fi")
 def gr_chain_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Chains of two facts scored by the mean of four signals."""
-    return _chain_scores(spark, d).select("fact_a", "fact_b", F.least(F.lit(1.0), "s").alias("chain_score"))
+    """Chains of two facts with all twelve signals, their weighted mean and their category."""
+    return C.score(pair_chains(spark, d)).select("fact_a", "fact_b", *C.WEIGHTS, "pass1", "category")
+
+
+def _reranked(spark: SparkSession, d: str) -> DataFrame:
+    return C.second_pass(C.score(pair_chains(spark, d)), F.col("shared"), ["doc_id"], ["fact_a", "fact_b"], 8)
+
+
+@q("gr_chain_rerank", f"{_FACH},\n{_PAIRS},\n{_SCHED},\n{_SCORED}\nSELECT fact_a, fact_b, reranked, final, final >= {C.MIN_FINAL}::DOUBLE AS kept FROM fi")
+def gr_chain_rerank(spark: SparkSession, d: str) -> DataFrame:
+    """The best twelve chains of each document scored a second time, by what their facts share."""
+    return _reranked(spark, d).select("fact_a", "fact_b", "reranked", "final", "kept")
 
 
-@q("gr_score_histogram", f"{_FA},\n{_PAIRS},\n{_SCHED},\n{_CHAINS}\nSELECT least(9, floor(s * 10))::INT AS bin, count(*) AS n, count_if(s >= 0.45::DOUBLE) AS n_kept FROM ch2 GROUP BY 1")
+@q("gr_score_histogram", f"{_FACH},\n{_PAIRS},\n{_SCHED},\n{_SCORED}\nSELECT least(9, floor(final * 10))::INT AS bin, category, count(*) AS n, count_if(reranked) AS n_reranked, count_if(final >= {C.MIN_FINAL}::DOUBLE) AS n_kept FROM fi GROUP BY 1, 2")
 def gr_score_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return _chain_scores(spark, d).groupBy(F.least(F.lit(9), F.floor(F.col("s") * 10)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("s") >= 0.45).alias("n_kept"))
+    return _reranked(spark, d).groupBy(F.least(F.lit(9), F.floor(F.col("final") * 10)).cast("int").alias("bin"), "category").agg(F.count(F.lit(1)).alias("n"), F.count_if("reranked").alias("n_reranked"), F.count_if("kept").alias("n_kept"))
+
+
+_REASON = f"""CASE WHEN a.norm = b.norm THEN 'duplicate_fact_text' WHEN a.chunk_id = b.chunk_id THEN 'insufficient_distinct_chunks' WHEN a.role = b.role THEN 'insufficient_distinct_roles' WHEN (a.page_start IS NOT NULL OR b.page_start IS NOT NULL) AND coalesce(a.page_start = b.page_start, true) THEN 'insufficient_distinct_pages'
+  WHEN coalesce(abs(a.char_start - b.char_start), 0) < 200 THEN 'insufficient_char_gap' WHEN a.weak OR b.weak THEN 'chain_quality:weak_context_fragment' WHEN abs(a.page_start - b.page_start) > {C.MAX_PAGE_GAP} THEN 'chain_quality:source_gap_too_large' WHEN len(a.content) = 0 OR len(b.content) = 0 THEN 'chain_quality:empty_fact_terms'
+  WHEN len(list_intersect(a.content, b.content)) < 1 THEN 'chain_quality:unconnected_fact' WHEN a.deictic OR b.deictic THEN 'deictic_opener_unresolved' ELSE 'kept' END"""
+
+
+@q("gr_chain_filter", f"{_FACH},\n{_PAIRS},\n{_SCHED},\n{_FEATURES}\nSELECT {_REASON} AS reason, count(*) AS n FROM s2 JOIN ff a ON a.fact_id = fact_a JOIN ff b ON b.fact_id = fact_b GROUP BY 1")
+def gr_chain_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Chains by the first rule they break: two chunks, roles and pages, 200 characters apart."""
+    reason = C.filter_reason(F.col("facts"), chunks=2, roles=2, pages=2, char_gap=200)
+    return pair_chains(spark, d).groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@q("dd_yield")
+def dd_yield(spark: SparkSession, d: str) -> DataFrame:
+    """Per document what its chains yield when tried in order of their score, up to a target of 5 and 20 attempts; a kept chain is a good one."""
+    r = _reranked(spark, d).select("doc_id", "category", F.col("kept").alias("good"), (-F.col("final")).alias("rank"), "fact_a", "fact_b")
+    tried = C.yields(r, "doc_id", 5, 20, ["rank", "fact_a", "fact_b"])
+    return tried.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_attempts"), F.count_if("accepted").alias("n_accepted"), F.count_if(F.col("accepted") & (F.col("category") == "typed_mh")).alias("n_typed"))
 
 
 @q("gr_greedy_chains", f"{_FA},\n{_PAIRS}\nSELECT fact_a, max_by(fact_b, (score, -distance)) AS fact_b FROM ns GROUP BY 1")
