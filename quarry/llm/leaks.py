@@ -30,8 +30,9 @@ K1, B = 1.2, 0.75
 BLOCK = 8
 #: Test items of one index, of about 4 KB each when sent to every executor; the documents are read once for each index.
 ITEMS = 50_000
-#: A term in at least one of so many blocks has a row over all blocks.
-DENSE = 8
+#: A term in at least one of so many blocks has a row over all blocks, and over all items; every term has while the rows need
+#: no more than so many bytes. Terms without a row have lists, with the same result.
+DENSE, ROWS = 8, 1 << 26
 #: Windows, and bounds of windows and blocks, that are held at once.
 _CHUNK, _CELLS = 8192, 1 << 21
 
@@ -55,10 +56,11 @@ def vocabulary(items: list[tuple]) -> dict[str, int]:
 
 @dataclass
 class Index:
-    """Impacts by term and item as sorted keys term * items + number, and their maxima by term and block.
+    """Impacts by term and item, and their maxima by term and block.
 
     rows[row[term]] has a common term's maxima over all blocks, row 0 none; those of the others are in near_blocks and
-    near_values from starts[term] to starts[term + 1].
+    near_values from starts[term] to starts[term + 1]. In the same way item_rows[item_row[term]] has a common term's impacts
+    over all items; all impacts are item_values by their sorted keys term * items + number.
     """
 
     terms: dict[str, int]
@@ -69,11 +71,14 @@ class Index:
     near_blocks: np.ndarray
     near_values: np.ndarray
     starts: np.ndarray
+    item_row: np.ndarray
+    item_rows: np.ndarray
     item_keys: np.ndarray
     item_values: np.ndarray
     codes: np.ndarray
     hashes: np.ndarray
     words: list[np.ndarray]
+    word_hashes: list[np.ndarray]
     pairs: list[tuple[str, str]]
 
     @property
@@ -137,15 +142,22 @@ def build(items: list[tuple], df: np.ndarray | None = None, n_docs: int = 0, run
     top = np.zeros(len(terms) + 1, np.float32)
     np.maximum.at(top, t, v)
     of, block = keys // blocks, keys % blocks
-    common = np.flatnonzero(np.bincount(of, minlength=len(terms) + 1) * DENSE >= blocks) if len(of) else np.zeros(0, np.int64)
+    every = (len(terms) + 1) * blocks * BLOCK * 4 <= ROWS
+    least = 1 if every else max(1, -(-blocks // DENSE))
+    common = np.flatnonzero(np.bincount(of, minlength=len(terms) + 1) >= least)
     row = np.zeros(len(terms) + 1, np.int64)
     row[common] = np.arange(1, len(common) + 1)
     rows = np.zeros((len(common) + 1, blocks), np.float32)
     rows[row[of], block] = np.where(row[of] > 0, maxima, 0)
+    many = np.flatnonzero(np.bincount(t, minlength=len(terms) + 1) >= (1 if every else max(1, -(-len(docs) // DENSE))))
+    item_row = np.zeros(len(terms) + 1, np.int64)
+    item_row[many] = np.arange(1, len(many) + 1)
+    item_rows = np.zeros((len(many) + 1, blocks, BLOCK), np.float32)
+    item_rows[item_row[t], k // BLOCK, k % BLOCK] = np.where(item_row[t] > 0, v, 0)
     rare = row[of] == 0
     starts = np.searchsorted(of[rare], np.arange(len(terms) + 2))
     return Index(
-        terms, [i for i, *_ in kept], top, row, rows, block[rare], maxima[rare], starts, t * max(1, len(docs)) + k, v, codes, np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64), docs, [(q or "", a or "") for _, _, q, a in kept]
+        terms, [i for i, *_ in kept], top, row, rows, block[rare], maxima[rare], starts, item_row, item_rows, t * max(1, len(docs)) + k, v, codes, np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64), docs, hashes, [(q or "", a or "") for _, _, q, a in kept]
     )
 
 
@@ -178,14 +190,17 @@ def candidates(index: Index, ids: np.ndarray, first: np.ndarray, last: np.ndarra
         place = index.starts[flat[of]] + np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         np.add.at(bound.ravel(), (of // window) * blocks + index.near_blocks[place], index.near_values[place])
         i, b = np.nonzero(bound >= 1)
-        k = (b[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        i = np.repeat(i, BLOCK)[k < n]
-        k = k[k < n]
-        score = np.zeros(len(i), np.float32)
+        score = np.zeros((len(i), BLOCK), np.float32)
         for o in range(window):
-            score += _look(index.item_keys, index.item_values, w[i, o].astype(np.int64) * n + k)
-        hit = score >= 1
-        out.append((part[i[hit]], k[hit], score[hit]))
+            t = w[i, o].astype(np.int64)
+            r = index.item_row[t]
+            score += index.item_rows[r, b]
+            few = np.flatnonzero((r == 0) & (t < none))
+            if len(few):
+                k = b[few, None] * BLOCK + np.arange(BLOCK)
+                score[few] += np.where(k < n, _look(index.item_keys, index.item_values, t[few, None] * n + np.minimum(k, n - 1)), 0)
+        j, k = np.nonzero(score >= 1)
+        out.append((part[i[j]], b[j] * BLOCK + k, score[j, k]))
     return tuple(np.concatenate([x[c] for x in out]) for c in range(3)) if out else (np.zeros(0, np.int64),) * 3
 
 
@@ -203,14 +218,15 @@ def scan(index: Index, texts: list[str | None], run: int = RUN, window: int = WI
     first = starts[text] + (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * step
     last = np.minimum(first + window, starts[text + 1])
     win, item, score = candidates(index, ids, first, last, window)
-    known = np.isin(_hash(ids, index.codes, run), index.hashes)
+    hashed = _hash(ids, index.codes, run)
+    known = np.isin(hashed, index.hashes)
     held: dict[int, set] = {}
     for o in range(step):
         place = first[win] + o
         ok = np.flatnonzero((place + run <= last[win]) & known[np.minimum(place, len(known) - 1)])
         for c in ok:
             p, k = int(place[c]), int(item[c])
-            if (np.lib.stride_tricks.sliding_window_view(index.words[k], run) == ids[p : p + run]).all(axis=1).any():
+            if any((index.words[k][x : x + run] == ids[p : p + run]).all() for x in np.flatnonzero(index.word_hashes[k] == hashed[p]).tolist()):
                 t = int(text[win[c]])
                 if t not in held:
                     held[t] = set(words(texts[t]))

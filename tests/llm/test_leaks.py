@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from quarry.llm import leaks as L
 
 ITEMS = [(1, "The quick brown fox jumps over the lazy dog near the old river bank today", "Who jumps?", "The fox"), (2, "too short to find", "", ""), (3, None, None, None), (4, "A B C D E F G H I J K L", "q", "a")]
@@ -22,7 +24,9 @@ def found(items, texts, window=L.WINDOW):
     return {(t, ix.items[k]) for t, k, *_ in L.scan(ix, texts, window=window)}
 
 
-def test_equals_brute_force_on_random_texts():
+@pytest.mark.parametrize("rows", [0, L.ROWS])
+def test_equals_brute_force_on_random_texts(monkeypatch, rows):
+    monkeypatch.setattr(L, "ROWS", rows)
     r = random.Random(3)
     v = [f"w{i}" for i in range(25)]
     items = [(i, " ".join(r.choices(v, k=r.randint(8, 40))), "", "") for i in range(30)]
