@@ -14,7 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +37,7 @@ SPAN = 50
 HYPHENS = "-‐¬­"
 
 _SPLIT = re.compile(r"[^\w@!]+|_+")
-_JOIN = re.compile(rf"(?<=[^\W\d_])[{HYPHENS}][ \t]*\n\s*")
+_JOIN = re.compile(rf"[{HYPHENS}](?<=[^\W\d_].)[ \t]*\n\s*")
 _LEFT = re.compile(rf"([^\W_][^\W_]*(?:-[^\W_]+)*)([{HYPHENS}])[ \t]*$")
 _RIGHT = re.compile(r"\s*([^\W_]+(?:[!@][^\W_]+)*)")
 _PAGE = re.compile(r"^\s*(?:(?P<bare>\d{1,4})|(?P<square>\[\d{1,4}\])|(?P<dash>[-–—]\s?\d{1,4}\s?[-–—])|(?P<tilde>~\s?\d{1,4}\s?~)|(?P<word>(?:page|seite|página|p\.|s\.|pág\.)\s?\d{1,4}(?:\s(?:of|von|de|sur|/)\s\d{1,4})?)|(?P<part>\d{1,4}/\d{1,4}))\s*$", re.I)
@@ -51,12 +51,15 @@ _DIGIT_IN = re.compile(r"(?<=[^\W\d_])[0156!@]|[0156!@](?=[^\W\d_])")
 _FIX = {"0": "o", "1": "l", "5": "s", "6": "b", "!": "i", "@": "a"}
 
 EVIDENCE = "chunk_id string, doc_id long, kind string, a string, b string, x int, y int, lo int, hi int, h long"
+NAMES = [c.split()[0] for c in EVIDENCE.split(", ")]
+ARROW = [{"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[c.split()[1]] for c in EVIDENCE.split(", ")]
 
 
 def tokens(text: Column) -> Column:
     """Distinct lower-cased words of a text with broken ones joined; marks that are misread letters count as letters."""
-    joined = F.regexp_replace(F.lower(text), rf"(?<=\p{{L}})[{HYPHENS}][ \t]*\n\s*", "")
-    return F.array_distinct(F.filter(F.split(joined, r"!*[^\p{L}\p{N}@!\-]+|-{2,}"), lambda t: t != ""))
+    joined = F.regexp_replace(F.lower(text), rf"[{HYPHENS}](?<=\p{{L}}.)[ \t]*\n\s*", "")
+    other = r"[^a-z0-9\p{L}\p{N}@!\-]+"
+    return F.array_remove(F.array_distinct(F.split(joined, rf"{other}|!+{other}|-{{2,}}")), "")
 
 
 def anagram(word: Column) -> Column:
@@ -183,18 +186,19 @@ def gather(chunks: DataFrame, common: DataFrame) -> DataFrame:
     """All evidence of all chunks, as written rows; h tells the texts of broken words apart. `common` (at most SHARE rows) are words that are surely none."""
     held = chunks.sparkSession.sparkContext.broadcast(frozenset(r.w for r in common.select("w").toLocalIterator()))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in batches:
-            out = []
-            for c, d, t, s, lo, hi, h in zip(p.chunk_id, p.doc_id, p.text, p.source_path, p.page_start, p.page_end, p.h):
-                lo = None if lo != lo or lo is None else int(lo)
-                hi = lo if hi != hi or hi is None else int(hi)
+            out: list[list] = [[] for _ in range(10)]
+            for c, d, t, s, lo, hi, h in zip(*(x.to_pylist() for x in p.columns)):
+                hi = lo if hi is None else hi
+                lo = hi if lo is None else lo
                 for e in evidence(t, s, held.value):
-                    out.append((c, d, *e, lo if lo is not None else hi, hi, h if e[0] == "hyphen" else None))
-            yield pd.DataFrame(out, columns=["chunk_id", "doc_id", "kind", "a", "b", "x", "y", "lo", "hi", "h"]).astype({"x": "Int32", "y": "Int32", "lo": "Int32", "hi": "Int32", "h": "Int64"})
+                    for column, v in zip(out, (c, d, *e, lo, hi, h if e[0] == "hyphen" else None)):
+                        column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(out, ARROW)], names=NAMES)
 
     use = chunks.filter("text is not null and chunk_id is not null").select("chunk_id", "doc_id", "text", "source_path", "page_start", "page_end", F.xxhash64("text").alias("h"))
-    return stored(use.mapInPandas(run, EVIDENCE), by=("kind",))
+    return stored(use.mapInArrow(run, EVIDENCE), by=("kind",))
 
 
 def running_heads(found: DataFrame) -> DataFrame:
