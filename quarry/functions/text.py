@@ -71,8 +71,8 @@ def chunk_key(chunk_id: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Runs up to and with their end marks, trimmed; a rest without an end mark is none."""
-    return F.transform(extract_all(text, "[^.!?]+[.!?]+"), strip)
+    """Runs up to and with their end marks, trimmed; a rest without an end mark is the last."""
+    return F.transform(extract_all(text, "[^.!?]+(?:[.!?]+|$)"), strip)
 
 
 def paragraphs(text: Column) -> Column:

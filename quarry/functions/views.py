@@ -9,10 +9,16 @@ from quarry.functions.text import chunk_key, extract_all, strip
 
 
 def chunk_rows(chunks: DataFrame) -> DataFrame:
-    """One row per chunk id (in canonical form) with a text; repeated rows count once, ranges are the widest seen."""
-    return chunks.filter("text is not null").groupBy(chunk_key(F.trim(F.lower("chunk_id"))).alias("chunk_id")).agg(
-        F.min("doc_id").alias("doc_id"), F.min("text").alias("text"), F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"), F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end")
-    )
+    """One row per chunk id (in canonical form) with a text: the whole row cached last, the greatest on ties.
+
+    Repeated rows count once; a corrected row replaces the earlier one as a whole. Tables without cached_at have no order
+    but the row's own values.
+    """
+    at = F.coalesce("cached_at", F.lit("1970-01-01").cast("timestamp_ntz")) if "cached_at" in chunks.columns else F.lit(0)
+    kept = ("doc_id", "text", "char_start", "char_end", "page_start", "page_end")
+    known = [F.coalesce(c, F.lit(-1).cast(chunks.schema[c].dataType)).alias(c) if c != "text" else F.col(c) for c in kept]
+    last = chunks.filter("text is not null").groupBy(chunk_key(F.trim(F.lower("chunk_id"))).alias("chunk_id")).agg(F.max(F.struct(at.alias("at"), *known)).alias("r"))
+    return last.select("chunk_id", *(F.nullif(f"r.{c}", F.lit(-1).cast(chunks.schema[c].dataType)).alias(c) if c != "text" else F.col("r.text") for c in kept))
 
 
 def lines(documents: DataFrame) -> DataFrame:
@@ -27,7 +33,7 @@ def lines(documents: DataFrame) -> DataFrame:
 
 def facts(chunks: DataFrame, least: int = 30) -> DataFrame:
     """Sentences of chunks as facts: fact_id `{doc}_F%06d` by order in the document, chunk_id, doc_id, text, page_start, order_idx."""
-    s = chunk_rows(chunks).select("chunk_id", "doc_id", "page_start", F.posexplode(F.transform(extract_all(F.col("text"), "[^.!?]+[.!?]+"), strip)).alias("i", "text")).filter(F.length("text") >= least)
+    s = chunk_rows(chunks).select("chunk_id", "doc_id", "page_start", F.posexplode(F.transform(extract_all(F.col("text"), "[^.!?]+(?:[.!?]+|$)"), strip)).alias("i", "text")).filter(F.length("text") >= least)
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("chunk_id"), "chunk_id", "i"))
     return s.withColumn("order_idx", order).select(F.format_string("%d_F%06d", "doc_id", "order_idx").alias("fact_id"), "chunk_id", "doc_id", "text", "page_start", "order_idx")
 

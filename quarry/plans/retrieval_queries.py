@@ -303,10 +303,10 @@ def ev_by_hop_type(spark: SparkSession, d: str) -> DataFrame:
 
 @q("ev_clause_scores", with_("rk qu ch", f"""SELECT ret_id, q_id, count(*) AS n_units, round(avg(CASE WHEN held >= 0.6::DOUBLE THEN 1.0 ELSE 0.0 END), 6) AS recall, bool_and(held >= 0.6::DOUBLE) AS hit FROM (
   SELECT ret_id, q_id, unit_id, max(len(list_filter(ut, lambda x: list_contains(ct, x)))::DOUBLE / len(ut)) AS held FROM (SELECT rk.ret_id, rk.q_id, list_distinct({tok('ch.text')}) AS ct FROM rk JOIN ch USING (chunk_id)) l
-  JOIN (SELECT q_id, unit_id, {tok('unit')} AS ut FROM (SELECT q_id, unnest(l) AS unit, unnest(range(len(l))) AS unit_id FROM (SELECT q_id, regexp_extract_all(answer, '[^.!?]+[.!?]+') AS l FROM qu))) u USING (q_id) WHERE len(ut) > 0 GROUP BY 1, 2, 3) GROUP BY 1, 2"""))
+  JOIN (SELECT q_id, unit_id, {tok('unit')} AS ut FROM (SELECT q_id, unnest(l) AS unit, unnest(range(len(l))) AS unit_id FROM (SELECT q_id, regexp_extract_all(answer, '[^.!?]+(?:[.!?]+|$)') AS l FROM qu))) u USING (q_id) WHERE len(ut) > 0 GROUP BY 1, 2, 3) GROUP BY 1, 2"""))
 def ev_clause_scores(spark: SparkSession, d: str) -> DataFrame:
     """Clauses of the gold answer found in one retrieved chunk each, by token containment."""
-    units = V.questions(table(spark, d, "questions")).select("q_id", F.posexplode(T.extract_all(F.col("answer"), "[^.!?]+[.!?]+")).alias("unit_id", "unit")).filter(F.size(T.tokens(F.col("unit"))) > 0)
+    units = V.questions(table(spark, d, "questions")).select("q_id", F.posexplode(T.extract_all(F.col("answer"), "[^.!?]+(?:[.!?]+|$)")).alias("unit_id", "unit")).filter(F.size(T.tokens(F.col("unit"))) > 0)
     lists = V.ranked(table(spark, d, "retrievals")).join(_chunks(spark, d).select("chunk_id", F.array_distinct(T.tokens(F.col("text"))).alias("ct")), "chunk_id")
     h = M.unit_hits(units, lists)
     return h.groupBy("ret_id", "q_id").agg(F.count(F.lit(1)).alias("n_units"), F.round(F.avg(F.col("hit").cast("double")), 6).alias("recall"), F.bool_and("hit").alias("hit"))

@@ -285,14 +285,14 @@ def dd_abstention_twins(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("q_id").agg(F.min_by("chunk_id", F.struct(s.alias("s"), F.col("chunk_id").alias("c"))).alias("removed"), (F.count(F.lit(1)) - 1).alias("n_left")).filter("n_left >= 1")
 
 
-_CL = f"""cl AS (SELECT q_id, i, c, {tok('c')} AS ct FROM (SELECT q_id, unnest(l) AS c, unnest(range(len(l)))::INT AS i FROM (SELECT q_id, regexp_extract_all(answer, '[^.!?]+[.!?]+') AS l FROM qu))),
+_CL = f"""cl AS (SELECT q_id, i, c, {tok('c')} AS ct FROM (SELECT q_id, unnest(l) AS c, unnest(range(len(l)))::INT AS i FROM (SELECT q_id, regexp_extract_all(answer, '[^.!?]+(?:[.!?]+|$)') AS l FROM qu))),
 gs AS (SELECT cl.q_id, cl.i, go.chunk_id, CASE WHEN len(ct) > 0 THEN round(len(list_intersect(list_distinct(ct), list_distinct({tok('ch.text')})))::DOUBLE / len(list_distinct(ct)), 6) ELSE 0.0 END AS s FROM cl JOIN go USING (q_id) JOIN ch USING (chunk_id))"""
 
 
 def _clauses(spark: SparkSession, d: str) -> DataFrame:
     """q_id, i, chunk_id, s: support of each clause of the gold answer by each evidence chunk."""
     t = table(spark, d, "questions")
-    c = V.questions(t).select("q_id", F.posexplode(T.extract_all(F.col("answer"), "[^.!?]+[.!?]+")).alias("i", "c"))
+    c = V.questions(t).select("q_id", F.posexplode(T.extract_all(F.col("answer"), "[^.!?]+(?:[.!?]+|$)")).alias("i", "c"))
     r = c.join(V.gold(t), "q_id").join(V.chunk_rows(table(spark, d, "chunks")).select("chunk_id", "text"), "chunk_id")
     return r.select("q_id", "i", "chunk_id", F.round(Y.support(F.col("text"), F.col("c")), 6).alias("s"))
 

@@ -163,7 +163,7 @@ def tx_pack_units(spark: SparkSession, d: str) -> DataFrame:
 
 
 @q("tx_rechunk_sentences", with_("ch", r"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY length(chunk_id), chunk_id, i)::INT - 1 AS idx, text FROM (SELECT doc_id, chunk_id, unnest(k) AS text, unnest(range(len(k))) AS i FROM (
-  SELECT doc_id, chunk_id, CASE WHEN len(k) > 0 THEN k ELSE [text] END AS k FROM (SELECT doc_id, chunk_id, text, list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) >= 30) AS k FROM ch)))"""))
+  SELECT doc_id, chunk_id, CASE WHEN len(k) > 0 THEN k ELSE [text] END AS k FROM (SELECT doc_id, chunk_id, text, list_filter(list_transform(regexp_extract_all(text, '[^.!?]+(?:[.!?]+|$)'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) >= 30) AS k FROM ch)))"""))
 def tx_rechunk_sentences(spark: SparkSession, d: str) -> DataFrame:
     return C.rechunk(V.chunk_rows(table(spark, d, "chunks")), "sentence")
 
