@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ from quarry.functions.text import tokens
 K1, B, RRF_K = 1.5, 0.75, 60
 #: Queries whose tokens are broadcast, at most.
 QUERIES = 2000
+#: Units that a task scores against all queries at once.
+UNITS = 512
 #: Query vectors that a task holds at once; more of them are searched block by block.
 QUERY_BLOCK = 4096
 #: Vectors of a block that meets every other block in one task.
@@ -59,6 +62,82 @@ def top_k(scored: DataFrame, k: int, query: tuple[str, ...] = ("q_id",), unit: s
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+class _Best:
+    """The k best units of each query seen so far, and the score that a unit needs to become one of them."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k, self.need, self.held = k, np.zeros(queries), []
+
+    def add(self, q: np.ndarray, score: np.ndarray, units: np.ndarray) -> None:
+        self.held.append((q, score, units))
+        if sum(len(x[0]) for x in self.held) > 4 * self.k * len(self.need) + 10_000:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keeps the best; ties go to the smaller unit."""
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
+        q, score, units = (np.concatenate([x[i] for x in self.held]) for i in range(3))
+        by_unit = np.argsort(units, kind="stable")
+        order = by_unit[np.lexsort((-score[by_unit], q[by_unit]))]
+        q, score, units = q[order], score[order], units[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = place < self.k
+        full = q[place == self.k - 1]
+        self.need[full] = score[place == self.k - 1]
+        self.held = [(q[keep], score[keep], units[keep])]
+        return self.held[0]
+
+
+_TOKEN = re.compile("[a-z0-9]+")
+
+
+def bm25_top(queries: DataFrame, units: DataFrame, k: int, query: tuple[str, ...] = ("q_id",), unit: str = "chunk_id", k1: float = K1, b: float = B) -> DataFrame:
+    """The k best units of each query by `bm25`, with score and rank: the same rows as top_k(bm25(...), k).
+
+    Up to QUERIES queries, the case of a stated query set, are sent to every task as a matrix of their weighted tokens; a
+    task scores a batch of units against all of them by one product, drops what can't be among a query's best any more, and
+    gives k rows a query. So nothing is exploded to pairs of query and unit, and texts don't leave their place. More queries
+    take the way of `bm25`.
+    """
+    asked = queries.select(*query, "text").filter("text is not null").limit(QUERIES + 1).collect()
+    if len(asked) > QUERIES:
+        return top_k(bm25(queries, units, query=query, unit=unit, k1=k1, b=b), k, query, unit)
+    words = [set(_TOKEN.findall(r[-1].lower())) for r in asked]
+    terms = {w: i for i, w in enumerate(sorted(set().union(*words)))}
+    spark = units.sparkSession
+    known = F.broadcast(spark.createDataFrame([(w,) for w in terms], "token string"))
+    df = dict(units.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).join(known, "token", "left_semi").groupBy("token").count().collect()) if terms else {}
+    total = units.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(tokens(F.col("text")))).alias("dl")).first()
+    n, mean = total.n, (total.dl or 0) / max(1, total.n)
+    weight = np.zeros((len(terms), len(asked)))
+    for j, w in enumerate(words):
+        for x in w:
+            weight[terms[x], j] = np.log((n - df.get(x, 0) + 0.5) / (df.get(x, 0) + 0.5) + 1)
+    held = spark.sparkContext.broadcast((terms, weight, [tuple(r[:-1]) for r in asked]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        terms, weight, keys = held.value
+        best, of = _Best(len(keys), k), terms.get
+        for p in batches:
+            for at in range(0, len(p), UNITS):
+                part = p.iloc[at : at + UNITS]
+                found = [_TOKEN.findall(t.lower()) if isinstance(t, str) else [] for t in part.iloc[:, 1]]
+                ids = [[i for w in t if (i := of(w)) is not None] for t in found]
+                tf = np.zeros((len(part), len(terms)))
+                np.add.at(tf, (np.repeat(np.arange(len(ids)), [len(x) for x in ids]), np.array([i for x in ids for i in x], dtype=np.int64)), 1)
+                long = np.array([len(t) for t in found], dtype=float)[:, None]
+                s = np.round((tf * (k1 + 1) / (tf + k1 * (1 - b + b * long / max(mean, 1e-9)))) @ weight, 6)
+                u, q = np.nonzero((s > 0) & (s >= best.need[None, :]))
+                best.add(q, s[u, q], part.iloc[:, 0].to_numpy(dtype=object)[u])
+        q, score, got = best.settle()
+        yield pd.DataFrame({**{c: np.array([keys[i][j] for i in q], dtype=object) for j, c in enumerate(query)}, unit: got, "score": score})
+
+    kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema, *units.schema]}
+    found = units.select(unit, "text").mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in (*query, unit)) + ", score double")
+    return top_k(found, k, query, unit)
+
+
 def fuse(lists: DataFrame, query: tuple[str, ...] = ("q_id",), unit: str = "chunk_id", k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion: query, unit, score of ranked lists put together (query, unit, rank)."""
     return lists.groupBy(*query, unit).agg(F.round(F.sum(1 / (k + F.col("rank"))), 6).alias("score"))

@@ -61,7 +61,7 @@ def rt_index_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @q("rt_bm25_topk", with_("ch", "").rstrip() + f",\n{_EV},\n{_bm25('ev', 'ch')}\n" + _TOP.format("q_id", "chunk_id", "bm", 10))
 def rt_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return R.top_k(R.bm25(_asked(spark, d), _chunks(spark, d)), 10)
+    return R.bm25_top(_asked(spark, d), _chunks(spark, d), 10)
 
 
 _OWN = "ow AS (SELECT q_id, doc_id, question AS text FROM qu WHERE question IS NOT NULL)"
@@ -97,7 +97,7 @@ def rt_decomposed(spark: SparkSession, d: str) -> DataFrame:
     a = _asked(spark, d)
     parts = a.select("q_id", F.explode(F.split("text", r"[,:;]\s+|\s+(?:and|und|et|y)\s+")).alias("sub")).filter(F.length("sub") >= 15)
     subs = a.select("q_id", F.col("text").alias("sub")).unionByName(parts).distinct().withColumn("text", F.col("sub"))
-    return R.top_k(R.fuse(R.top_k(R.bm25(subs, _chunks(spark, d), query=("q_id", "sub")), 10, ("q_id", "sub"))), 5)
+    return R.top_k(R.fuse(R.bm25_top(subs, _chunks(spark, d), 10, ("q_id", "sub"))), 5)
 
 
 _CAND = f"""ca AS (SELECT rk.ret_id, rk.rank, rk.chunk_id, ch.page_start, len(list_intersect(list_distinct(qt), list_distinct({tok('ch.text')})))::DOUBLE / greatest(1, len(list_distinct(qt))) AS overlap FROM rk JOIN (SELECT q_id, {tok('question')} AS qt FROM qu WHERE question IS NOT NULL) USING (q_id) JOIN ch USING (chunk_id))"""
@@ -145,7 +145,7 @@ _FB = "fb AS (SELECT fact_id, text FROM fa)"
 def rt_fact_indexed(spark: SparkSession, d: str) -> DataFrame:
     """Facts are ranked, then each chunk by its best fact."""
     f = V.facts(table(spark, d, "chunks"))
-    best = R.top_k(R.bm25(_asked(spark, d), f.select("fact_id", "text"), unit="fact_id"), 30, unit="fact_id").join(f.select("fact_id", "chunk_id"), "fact_id").groupBy("q_id", "chunk_id").agg(F.min("rank").alias("best"))
+    best = R.bm25_top(_asked(spark, d), f.select("fact_id", "text"), 30, unit="fact_id").join(f.select("fact_id", "chunk_id"), "fact_id").groupBy("q_id", "chunk_id").agg(F.min("rank").alias("best"))
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy("best", "chunk_id"))).filter("rank <= 5").select("q_id", "chunk_id", "rank")
 
 

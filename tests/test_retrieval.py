@@ -37,6 +37,22 @@ def test_bm25_equals_brute_force(spark):
     assert [r.rank for r in top] == [1, 2]
 
 
+def test_best_units_equal_the_ranked_scores(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(40)]
+    units = spark.createDataFrame([(f"c{i:03d}", " ".join(rng.choice(words, rng.integers(0, 30)))) for i in range(300)] + [("x", None), ("y", "")], "chunk_id string, text string").repartition(5)
+    asked = spark.createDataFrame([(f"q{i}", " ".join(rng.choice(words, 4))) for i in range(20)] + [("none", "unknown"), ("null", None), ("q0", "W1 w2")], "q_id string, text string")
+    asked = asked.filter("q_id <> 'q0' or text <> 'W1 w2'")
+    want = sorted(map(tuple, R.top_k(R.bm25(asked, units), 7).select("q_id", "chunk_id", "score", "rank").collect()))
+    monkeypatch.setattr(R, "UNITS", 16)
+    got = sorted(map(tuple, R.bm25_top(asked, units, 7).select("q_id", "chunk_id", "score", "rank").collect()))
+    assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want], atol=2e-6)
+    monkeypatch.setattr(R, "QUERIES", 3)
+    assert sorted(map(tuple, R.bm25_top(asked, units, 7).select("q_id", "chunk_id", "score", "rank").collect())) == want
+    monkeypatch.setattr(R, "QUERIES", 2000)
+    assert R.bm25_top(asked.limit(0), units, 7).count() == 0 and R.bm25_top(asked, units.limit(0), 7).count() == 0
+
+
 def test_bm25_within_groups(spark):
     units = spark.createDataFrame([("a", 1, "dry weld"), ("b", 1, "gas"), ("c", 2, "dry weld"), ("d", 2, "dry dry")], "chunk_id string, doc_id long, text string")
     asked = spark.createDataFrame([("q", 1, "dry")], "q_id string, doc_id long, text string")
