@@ -75,6 +75,8 @@ DEICTIC_OPENER = r"(?i)^\s*(?:this|it|these|those|that|they)\s+(?:can|is|are|was
 YES_NO = r"(?i)^(is|are|am|does|do|did|was|were|has|have|had|can|could|should|will|would|shall|may|might|must)\b"
 ABSTENTION = r"(?i)\b(insufficient information|not enough information|cannot be answered|cannot answer|no information is provided|unable to answer|does not contain (?:enough|sufficient) information)\b"
 GENERIC = r"(?i)\b(?:the|this|that)\s+(?:[a-z]+\s+){0,2}(description|result|figure|table|example|equation|method|approach|algorithm|theorem|chapter|section|paragraph|case|paper|study|distribution|formula|expression|graph|plot|diagram|model|process|procedure|operation|operator|function)\b"
+SOURCE_META = r"\b(copyright|license|creative commons|free pdf|low[- ]cost print|website|url|textbook equity|saylor|author|authors|translated|translator|publisher|isbn|study guide|examination study guides?|catalog|about the authors|foreword|preface|table of contents)\b"
+SOURCE_FRAME = r"\baccording to the statement\b|\bprovided facts\b"
 WEAK_START = r"(?i)^(before we are done|in other words|moreover|however|of course|as a hint|these methods|this method|this problem|this number|this is|such methods|we consider|we use this problem)\b"
 LABELS = ("CAUSES", "REQUIRES", "DEFINES", "CONDITION", "EXCEPTION", "CONSTRAINS", "EXAMPLE", "CONSEQUENCE")
 
@@ -247,6 +249,12 @@ def structure_reason(question: Column, answer: Column) -> Column:
     )
 
 
+def question_reject_reason(question: Column, answer: Column) -> Column:
+    """Why a question is about its source instead of its subject, or null; nulls count as empty."""
+    both = F.concat_ws(" ", F.coalesce(question, F.lit("")), F.coalesce(answer, F.lit("")))
+    return F.when(both.rlike("(?i)" + SOURCE_META), "source_meta_question").when(F.coalesce(question, F.lit("")).rlike("(?i)" + SOURCE_FRAME), "source_framed_question")
+
+
 def tautology(question: Column, answer: Column) -> Column:
     """Less than a quarter of the answer's content words are new."""
     a, q = content_tokens(answer), content_tokens(question)

@@ -97,3 +97,17 @@ def paths(edges: DataFrame, depth: int = 3, per_start: int = 2) -> DataFrame:
         p = p.select(F.concat("path", F.array("fact_b")).alias("path"), F.round(F.col("weight") * F.col("score"), 6).alias("weight"))
         p = p.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_start).drop("r")
     return p
+
+
+def greedy_chains(pairs: DataFrame, depth: int = 4) -> DataFrame:
+    """start, path: from every fact that has a next one, the chain of best next facts, up to `depth` facts.
+
+    pairs: fact_a, fact_b (later in the document), score, distance. Of equal scores the nearer is taken. Every fact has one
+    best next fact, so each hop is one equi-join and a chain never branches or turns back.
+    """
+    best = pairs.groupBy("fact_a").agg(F.max_by("fact_b", F.struct("score", -F.col("distance"))).alias("fact_b"))
+    chains = best.select(F.col("fact_a").alias("start"), F.array("fact_a", "fact_b").alias("path"), F.col("fact_b").alias("fact_a"))
+    for _ in range(depth - 2):
+        longer = chains.join(best, "fact_a", "left")
+        chains = longer.select("start", F.when(F.col("fact_b").isNull(), F.col("path")).otherwise(F.concat("path", F.array("fact_b"))).alias("path"), F.col("fact_b").alias("fact_a"))
+    return chains.select("start", "path")

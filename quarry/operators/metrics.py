@@ -102,3 +102,46 @@ def unit_hits(units: DataFrame, lists: DataFrame) -> DataFrame:
     u = units.select("q_id", "unit_id", tokens(F.col("unit")).alias("ut"))
     met = lists.select("ret_id", "q_id", "rank", "ct").join(u, "q_id").withColumn("share", share_held(F.col("ut"), F.col("ct")))
     return met.groupBy("ret_id", "q_id", "unit_id").agg(F.max("share").alias("held"), F.min(F.when(F.col("share") >= HELD, F.col("rank"))).alias("rank")).withColumn("hit", F.col("rank").isNotNull())
+
+
+#: Shares from which a required text counts as present in words, and as present by its vector.
+IN_WORDS, BY_VECTOR = 0.8, 0.75
+
+
+def layers(ranked: DataFrame, required: DataFrame, texts: DataFrame) -> DataFrame:
+    """ret_id, q_id, chunk_id, retrieved, in_words, by_vector: each required chunk of a retrieval on three layers.
+
+    It is retrieved if its id is in the list; present in words if one retrieved chunk holds IN_WORDS of its distinct tokens;
+    present by vector if the cosine with one retrieved chunk, of counts of tokens, reaches BY_VECTOR. ranked: ret_id, q_id,
+    chunk_id; required: q_id, chunk_id; texts: chunk_id, text. Each pair of chunks is scored once, however many lists hold it;
+    a list without chunks or with unknown ones has nothing present.
+    """
+    lists = ranked.select("ret_id", "q_id", "chunk_id").distinct()
+    counted = texts.select("chunk_id", tokens(F.col("text")).alias("t")).select("chunk_id", F.array_distinct("t").alias("u"), F.transform(F.array_sort(F.array_distinct("t")), lambda w: F.size(F.filter("t", lambda x: x == w))).alias("n"), F.array_sort(F.array_distinct("t")).alias("w"))
+    wanted = lists.select("ret_id", "q_id").distinct().join(required, "q_id")
+    met = wanted.join(lists.select("ret_id", F.col("chunk_id").alias("other")), "ret_id")
+    pairs = met.select("chunk_id", "other").distinct().join(counted.select("chunk_id", "u", "n", "w"), "chunk_id").join(counted.select(F.col("chunk_id").alias("other"), F.col("u").alias("ou"), F.col("n").alias("on"), F.col("w").alias("ow")), "other")
+    norm = lambda n: F.sqrt(F.aggregate(n, F.lit(0.0), lambda s, x: s + x * x))
+    both = F.map_from_arrays("ow", "on")
+    dot = F.aggregate(F.zip_with("w", "n", lambda w, n: n * F.coalesce(F.try_element_at(both, w), F.lit(0))), F.lit(0.0), lambda s, x: s + x)
+    scored = pairs.select("chunk_id", "other", F.round(ratio(F.size(F.array_intersect("u", "ou")), F.size("u")), 6).alias("held"), F.round(ratio(dot, norm(F.col("n")) * norm(F.col("on"))), 6).alias("cosine"))
+    best = met.join(scored, ["chunk_id", "other"]).groupBy("ret_id", "chunk_id").agg(F.max("held").alias("held"), F.max("cosine").alias("cosine"))
+    hit = lists.select("ret_id", "chunk_id", F.lit(True).alias("retrieved"))
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    rows = wanted.join(hit, ["ret_id", "chunk_id"], "left").join(best, ["ret_id", "chunk_id"], "left")
+    return rows.select("ret_id", "q_id", "chunk_id", flag(F.col("retrieved")).alias("retrieved"), flag(F.col("held") >= IN_WORDS).alias("in_words"), flag(F.col("cosine") >= BY_VECTOR).alias("by_vector"))
+
+
+def layered(rows: DataFrame) -> DataFrame:
+    """Recall of each retrieval by layer: by id, by words, by vector, by id and each of these, and by any."""
+    share = lambda c: F.round(F.avg(c.cast("int")), 6)
+    a, b, c = F.col("retrieved"), F.col("in_words"), F.col("by_vector")
+    return rows.groupBy("ret_id", "q_id").agg(F.count(F.lit(1)).alias("n"), share(a).alias("recall"), share(b).alias("text_recall"), share(a & b).alias("strict_recall"), share(c).alias("text_recall_l3"), share(a & c).alias("strict_recall_l13"), share(a | b | c).alias("text_recall_any"))
+
+
+def group_recall(ranked: DataFrame, required: DataFrame) -> DataFrame:
+    """ret_id, n_groups, group_recall, joint: required is q_id, chunk_id, grp; a group is met if all its chunks are retrieved."""
+    lists = ranked.select("ret_id", "q_id", "chunk_id").distinct()
+    rows = lists.select("ret_id", "q_id").distinct().join(required, "q_id").join(lists.select("ret_id", "chunk_id", F.lit(1).alias("hit")), ["ret_id", "chunk_id"], "left")
+    groups = rows.groupBy("ret_id", "grp").agg(F.min(F.coalesce("hit", F.lit(0))).alias("met"))
+    return groups.groupBy("ret_id").agg(F.count(F.lit(1)).alias("n_groups"), F.round(F.avg("met"), 6).alias("group_recall"), (F.min("met") == 1).alias("joint"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import views as V
@@ -49,6 +49,16 @@ def ob_chain_ids(spark: SparkSession, d: str) -> DataFrame:
     return f.select(F.sha1(F.array_join("s.fact_id", "|")).alias("chain_id"), F.size("s").alias("depth"))
 
 
+@q("st_progress", f"{_LOG} SELECT run, seq, stage, round(cum_done::DOUBLE / total, 6) AS progress, CASE WHEN stage = 'error' THEN 'log' WHEN value IS NULL THEN 'progress' ELSE 'metric' END AS kind FROM (SELECT run, seq, stage, value, row_number() OVER (PARTITION BY run ORDER BY seq) AS cum_done, count(*) OVER (PARTITION BY run) AS total FROM lo)")
+def st_progress(spark: SparkSession, d: str) -> DataFrame:
+    """Each event of a run as progress, log or metric event, with the share of the run's events up to it."""
+    log = _log(spark, d)
+    done = F.row_number().over(Window.partitionBy("run").orderBy("seq"))
+    kind = F.when(F.col("stage") == "error", "log").when(F.col("value").isNull(), "progress").otherwise("metric")
+    total = log.groupBy("run").agg(F.count(F.lit(1)).alias("total"))
+    return log.withColumn("done", done).join(total, "run").select("run", "seq", "stage", F.round(F.col("done") / F.col("total"), 6).alias("progress"), kind.alias("kind"))
+
+
 @q("st_latest_state", f"{_LOG} SELECT run, stage, max(seq) AS seq, arg_max(value, seq) AS value, arg_max(k, seq) AS k FROM lo GROUP BY 1, 2")
 def st_latest_state(spark: SparkSession, d: str) -> DataFrame:
     return E.latest(_log(spark, d))

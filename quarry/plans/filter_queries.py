@@ -177,6 +177,15 @@ def fi_pair_structure(spark: SparkSession, d: str) -> DataFrame:
     return V.questions(table(spark, d, "questions")).groupBy(F.coalesce(P.structure_reason(F.col("question"), F.col("answer")), F.lit("ok")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@q("fi_question_domain", f"""SELECT coalesce(CASE WHEN {_like("concat_ws(' ', coalesce(question, ''), coalesce(answer, ''))", P.SOURCE_META)} THEN 'source_meta_question' WHEN {_like("coalesce(question, '')", P.SOURCE_FRAME)} THEN 'source_framed_question' END, 'kept') AS reason, 'pair' AS part, count(*) AS n FROM questions GROUP BY 1
+  UNION ALL SELECT coalesce(CASE WHEN {_like("concat_ws(' ', coalesce(title, ''), coalesce(text, ''))", P.SOURCE_META)} THEN 'source_meta_question' WHEN {_like("coalesce(title, '')", P.SOURCE_FRAME)} THEN 'source_framed_question' END, 'kept'), 'document', count(*) FROM documents GROUP BY 1""")
+def fi_question_domain(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs, and documents with their titles, that are about their source."""
+    parts = ((table(spark, d, "questions"), "question", "answer", "pair"), (table(spark, d, "documents"), "title", "text", "document"))
+    a, b = (t.groupBy(F.coalesce(P.question_reject_reason(F.col(x), F.col(y)), F.lit("kept")).alias("reason")).agg(F.lit(part).alias("part"), F.count(F.lit(1)).alias("n")) for t, x, y, part in parts)
+    return a.unionByName(b)
+
+
 _CONTENT = "list_filter(list_distinct(list_transform(regexp_extract_all({0}, '[A-Za-z][A-Za-z0-9_]{{3,}}'), lambda x: lower(x))), lambda x: NOT list_contains([" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "], x))"
 _TAUT = "coalesce(question IS NOT NULL AND len(ac) > 0 AND len(list_filter(ac, lambda x: NOT list_contains(qc, x))) / len(ac) < 0.25, false)"
 _ECHO = r"coalesce(CASE WHEN len(qw) > 0 AND len(aw) > 0 THEN len(list_intersect(qw, aw)) / len(list_distinct(list_concat(qw, aw))) ELSE 0.0 END > 0.7, false)"

@@ -194,10 +194,10 @@ def dd_yield(spark: SparkSession, d: str) -> DataFrame:
     return tried.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_attempts"), F.count_if("accepted").alias("n_accepted"), F.count_if(F.col("accepted") & (F.col("category") == "typed_mh")).alias("n_typed"))
 
 
-@q("gr_greedy_chains", f"{_FA},\n{_PAIRS}\nSELECT fact_a, max_by(fact_b, (score, -distance)) AS fact_b FROM ns GROUP BY 1")
+@q("gr_greedy_chains", f"{_FA},\n{_PAIRS},\nbn AS (SELECT fact_a, max_by(fact_b, (score, -distance)) AS fact_b FROM ns GROUP BY 1)\nSELECT a.fact_a AS start, list_filter([a.fact_a, a.fact_b, b.fact_b, c.fact_b], lambda x: x IS NOT NULL) AS path FROM bn a LEFT JOIN bn b ON b.fact_a = a.fact_b LEFT JOIN bn c ON c.fact_a = b.fact_b")
 def gr_greedy_chains(spark: SparkSession, d: str) -> DataFrame:
-    """The best next fact of every fact, the nearer on ties."""
-    return G.neighbour_pairs(_facts(spark, d)).groupBy("fact_a").agg(F.max_by("fact_b", F.struct("score", -F.col("distance"))).alias("fact_b"))
+    """Chains of up to four facts, each the best next of the one before."""
+    return G.greedy_chains(G.neighbour_pairs(_facts(spark, d)))
 
 
 @q("gr_single_chains", with_("fa", "SELECT doc_id, fact_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_start ORDER BY length(text) DESC, fact_id) AS r FROM fa) WHERE r = 1"))

@@ -156,6 +156,25 @@ def rt_anchored_text(spark: SparkSession, d: str) -> DataFrame:
     return _chunks(spark, d).join(f, "chunk_id", "left").select("chunk_id", F.md5(F.concat("text", F.coalesce(F.concat(F.lit(" FACTS: "), "f"), F.lit("")))).alias("h"))
 
 
+def retriever(strategy: str):
+    """(queries, units, k) -> ranked units, by strategy: bm25, dense or hybrid (both, fused).
+
+    bm25 takes texts, dense vectors (vec_id, embedding), hybrid a pair of each. Other names raise ValueError.
+    """
+    def dense(queries: DataFrame, units: DataFrame, k: int) -> DataFrame:
+        return R.nearest(units, queries, k)
+
+    def hybrid(queries: tuple[DataFrame, DataFrame], units: tuple[DataFrame, DataFrame], k: int) -> DataFrame:
+        words = R.bm25_top(queries[0], units[0], 2 * k).select("q_id", "chunk_id", "rank")
+        near = R.nearest(units[1], queries[1], 2 * k).select(F.col("query_id").cast("string").alias("q_id"), F.col("vec_id").cast("string").alias("chunk_id"), "rank")
+        return R.top_k(R.fuse(words.select(F.col("q_id").cast("string").alias("q_id"), F.col("chunk_id").cast("string").alias("chunk_id"), "rank").unionByName(near)), k)
+
+    known = {"bm25": R.bm25_top, "dense": dense, "hybrid": hybrid}
+    if strategy not in known:
+        raise ValueError(f"unknown strategy {strategy!r}, known are {', '.join(known)}")
+    return known[strategy]
+
+
 @q("jo_logs_matched", "SELECT count(*) AS n_questions, count_if(r) AS n_retrieved, count_if(a) AS n_answered, count_if(r AND a) AS n_both FROM (SELECT q_id, q_id IN (SELECT q_id FROM retrievals) AS r, q_id IN (SELECT q_id FROM answers) AS a FROM (SELECT DISTINCT q_id FROM questions))".replace("(SELECT q_id FROM retrievals)", "(SELECT q_id FROM retrievals WHERE q_id IS NOT NULL)"))
 def jo_logs_matched(spark: SparkSession, d: str) -> DataFrame:
     ids = lambda t: table(spark, d, t).select("q_id").filter("q_id is not null").distinct()
@@ -275,6 +294,29 @@ def ev_list_metrics(spark: SparkSession, d: str) -> DataFrame:
     return r.select("ret_id", F.round(rec, 6).alias("fact_recall"), F.round(pre, 6).alias("fact_precision"), F.round(M.f1(pre, rec), 6).alias("fact_f1"), F.round(1 - pre, 6).alias("over_retrieval"), (F.size("rel") == F.col("n_gold")).alias("joint"), (F.size("rel") > 0).alias("any_hit"), F.round(M.mean_reciprocal(F.col("rel")), 6).alias("mrr_all"))
 
 
+_TF = "(SELECT chunk_id, list_distinct(t) AS u, map_from_entries(list_transform(list_distinct(t), lambda w: (w, len(list_filter(t, lambda x: x = w))))) AS m FROM (SELECT chunk_id, " + tok("text") + " AS t FROM ch))"
+_LAYERS = f"""rq AS (SELECT DISTINCT ret_id, q_id FROM rk), wa AS (SELECT ret_id, q_id, go.chunk_id FROM rq JOIN go USING (q_id)), me AS (SELECT DISTINCT wa.ret_id, wa.chunk_id, rk.chunk_id AS other FROM wa JOIN rk USING (ret_id)), tf AS MATERIALIZED {_TF},
+sc AS (SELECT chunk_id, other, round(CASE WHEN len(u) > 0 THEN len(list_intersect(u, ou))::DOUBLE / len(u) ELSE 0 END, 6) AS held, round(CASE WHEN len(u) > 0 AND len(ou) > 0 THEN list_sum(list_transform(u, lambda w: m[w] * coalesce(om[w], 0)))::DOUBLE / (sqrt(list_sum(list_transform(map_values(m), lambda x: x * x))) * sqrt(list_sum(list_transform(map_values(om), lambda x: x * x)))) ELSE 0 END, 6) AS cosine
+  FROM (SELECT p.chunk_id, p.other, a.u, a.m, b.u AS ou, b.m AS om FROM (SELECT DISTINCT chunk_id, other FROM me) p JOIN tf a ON a.chunk_id = p.chunk_id JOIN tf b ON b.chunk_id = p.other)),
+bs AS (SELECT ret_id, chunk_id, max(held) AS held, max(cosine) AS cosine FROM me JOIN sc USING (chunk_id, other) GROUP BY 1, 2),
+ly AS (SELECT wa.ret_id, wa.q_id, EXISTS (SELECT 1 FROM rk WHERE rk.ret_id = wa.ret_id AND rk.chunk_id = wa.chunk_id) AS a, coalesce(held >= {M.IN_WORDS}::DOUBLE, false) AS b, coalesce(cosine >= {M.BY_VECTOR}::DOUBLE, false) AS c FROM wa LEFT JOIN bs ON bs.ret_id = wa.ret_id AND bs.chunk_id = wa.chunk_id)"""
+
+
+@q("ev_layers", with_("rk go ch", "").rstrip() + f",\n{_LAYERS}\nSELECT ret_id, q_id, count(*) AS n, round(avg(a::INT), 6) AS recall, round(avg(b::INT), 6) AS text_recall, round(avg((a AND b)::INT), 6) AS strict_recall, round(avg(c::INT), 6) AS text_recall_l3, round(avg((a AND c)::INT), 6) AS strict_recall_l13, round(avg((a OR b OR c)::INT), 6) AS text_recall_any FROM ly GROUP BY 1, 2")
+def ev_layers(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence found by its id, in words, by vector, and by combinations of them."""
+    t = table(spark, d, "questions")
+    return M.layered(M.layers(V.ranked(table(spark, d, "retrievals")), V.gold(t), _chunks(spark, d).select("chunk_id", "text")))
+
+
+@q("ev_group_recall", with_("rk go ch", "").rstrip() + """,\nrg AS (SELECT q_id, chunk_id, coalesce(page_start, -1) AS grp FROM go JOIN ch USING (chunk_id)), rq AS (SELECT DISTINCT ret_id, q_id FROM rk), gr AS (SELECT ret_id, grp, min(EXISTS (SELECT 1 FROM rk WHERE rk.ret_id = rq.ret_id AND rk.chunk_id = rg.chunk_id)::INT) AS met FROM rq JOIN rg USING (q_id) GROUP BY 1, 2)
+SELECT ret_id, count(*) AS n_groups, round(avg(met), 6) AS group_recall, min(met) = 1 AS joint FROM gr GROUP BY 1""")
+def ev_group_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence in groups, the chunks of one page: the share of groups found whole, and whether all are."""
+    required = V.gold(table(spark, d, "questions")).join(_chunks(spark, d).select("chunk_id", F.coalesce("page_start", F.lit(-1)).alias("grp")), "chunk_id")
+    return M.group_recall(V.ranked(table(spark, d, "retrievals")), required)
+
+
 _SWEEP = """sw AS (SELECT mode, k, count(*) AS n, round(avg(recall), 9) AS r, round(avg(precision), 9) AS p, round(avg(precision_rw), 9) AS w, round(avg(hit), 9) AS h FROM am GROUP BY 1, 2),
 sr AS (SELECT mode, k, n, round(r, 4) AS recall, round(p, 4) AS precision, round(w, 4) AS precision_rw, round(CASE WHEN r + p > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 4) AS f1, round(CASE WHEN r + w > 0 THEN 2 * w * r / (w + r) ELSE 0 END, 4) AS f1_rw, round(h, 4) AS hit_rate FROM sw)"""
 

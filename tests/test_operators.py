@@ -139,3 +139,25 @@ def test_breach_and_sessions(spark):
     b = E.breach(l, 100).collect()
     assert len(b) == 3 and all(r.spent > 100 for r in b)
     assert E.breach(l, 1e9).count() == 0 and E.sessions(l, "1 day").count() == 3
+
+
+def test_sampled_pairs(spark, data):
+    from quarry.functions import views as V
+    from quarry.operators import graph as G
+    from quarry.plans import registry
+
+    pairs = G.neighbour_pairs(V.facts(spark.read.parquet(f"{data}/chunks.parquet"))).filter("shared >= 0.2").collect()
+    used, want = set(), set()
+    for r in sorted(pairs, key=lambda r: (r.doc_id, r.fact_a, r.distance)):
+        if r.fact_a not in used and r.fact_b not in used:
+            used |= {r.fact_a, r.fact_b}
+            want.add((r.doc_id, r.fact_a, r.fact_b))
+    assert {tuple(r) for r in registry.queries()["gr_sampled_pairs"](spark, data).collect()} == want
+
+
+def test_greedy_chains_follow_the_best_next_fact(spark):
+    from quarry.operators import graph as G
+
+    p = spark.createDataFrame([("a", "b", 0.1, 1), ("a", "c", 0.3, 2), ("c", "d", 0.2, 1), ("c", "e", 0.2, 2), ("d", "e", 0.1, 1), ("e", "f", 0.1, 1)], "fact_a string, fact_b string, score double, distance int")
+    got = {r.start: r.path for r in G.greedy_chains(p).collect()}
+    assert got == {"a": ["a", "c", "d", "e"], "c": ["c", "d", "e", "f"], "d": ["d", "e", "f"], "e": ["e", "f"]}

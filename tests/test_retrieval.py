@@ -116,3 +116,47 @@ def test_vector_groups_equal_brute_force(spark, tmp_path, monkeypatch, block):
     monkeypatch.setattr(R.alike, "__defaults__", ("vec_id", "embedding", block))
     got = {r.group: r.n for r in registry.queries()["gr_vector_groups"](spark, str(tmp_path)).collect()}
     assert got == {int(g): int((group == g).sum()) for g in np.unique(group)} and len(got) > 1
+
+
+def test_layers_equal_brute_force(spark):
+    texts = {"a": "the weld is dry and clean", "b": "a dry clean weld is the best and so on", "c": "turbine blades turn", "d": "the weld is dry", "e": None}
+    ranked = spark.createDataFrame([(1, "q", "b"), (1, "q", "c"), (1, "q", "b"), (2, "q", "a"), (3, "q", "zz"), (4, "other", "a")], "ret_id long, q_id string, chunk_id string")
+    required = spark.createDataFrame([("q", "a"), ("q", "c"), ("q", "zz")], "q_id string, chunk_id string")
+    t = spark.createDataFrame(list(texts.items()), "chunk_id string, text string")
+    got = {(r.ret_id, r.chunk_id): (r.retrieved, r.in_words, r.by_vector) for r in M.layers(ranked, required, t).collect()}
+
+    def present(x, held):
+        a, b = Counter(texts[x].split()), Counter(texts[held].split())
+        cosine = sum(a[w] * b[w] for w in a) / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+        return len(set(a) & set(b)) / len(a) >= M.IN_WORDS, cosine >= M.BY_VECTOR
+
+    lists = {1: ["b", "c"], 2: ["a"], 3: ["zz"]}
+    for ret, held in lists.items():
+        for x in ("a", "c", "zz"):
+            found = [present(x, h) for h in held if texts.get(x) and texts.get(h)]
+            assert got[ret, x] == (x in held, any(f[0] for f in found), any(f[1] for f in found))
+    assert len(got) == 9
+    sums = {r.ret_id: r for r in M.layered(M.layers(ranked, required, t)).collect()}
+    assert sums[2].recall == round(1 / 3, 6) and sums[1].text_recall_any >= sums[1].strict_recall
+    assert M.layers(ranked.limit(0), required, t).count() == 0
+
+
+def test_groups_are_met_whole(spark):
+    ranked = spark.createDataFrame([(1, "q", "f0"), (2, "q", "f0"), (2, "q", "f1"), (2, "q", "f2")], "ret_id long, q_id string, chunk_id string")
+    groups = spark.createDataFrame([("q", "f0", 0), ("q", "f1", 1), ("q", "f2", 1)], "q_id string, chunk_id string, grp int")
+    got = {r.ret_id: (r.n_groups, r.group_recall, r.joint) for r in M.group_recall(ranked, groups).collect()}
+    assert got == {1: (2, 0.5, False), 2: (2, 1.0, True)}
+
+
+def test_retriever_by_name(spark):
+    from quarry.plans.retrieval_queries import retriever
+
+    t = spark.createDataFrame([(1, "dry weld"), (2, "dry gas"), (3, "blades")], "chunk_id long, text string")
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    asked = t.filter("chunk_id = 1").withColumnRenamed("chunk_id", "q_id")
+    assert [r.chunk_id for r in retriever("bm25")(asked, t, 1).collect()] == [1]
+    assert [r.vec_id for r in retriever("dense")(v.filter("vec_id = 1"), v, 1).collect()] == [2]
+    got = retriever("hybrid")((asked, v.filter("vec_id = 1")), (t, v), 2).collect()
+    assert {(r.chunk_id, r["rank"]) for r in got} == {("2", 1), ("1", 2)}
+    with pytest.raises(ValueError):
+        retriever("none")
