@@ -26,12 +26,18 @@ timed out after|connection to the database|connection refused|connection reset|c
 model is overloaded|was dropped from the queue|back-end fetch failed|backend fetch failed|<title>#</title>|maximum number of free views|you have reached the maximum
 seite nicht gefunden|bitte prüfen sie die adresse|kehren sie zur startseite zurück|interner serverfehler|versuchen sie es später|zugriff verweigert|ihre sitzung ist abgelaufen|es ist ein fehler aufgetreten|dienst nicht verfügbar|zeitüberschreitung der anfrage
 page introuvable|vérifiez l'adresse|revenez à l'accueil|erreur interne du serveur|réessayez plus tard|veuillez réessayer|accès refusé|votre session a expiré|une erreur est survenue|service indisponible
+gateway time-out|upstream server did not|http status #|fatal error:|uncaught exception|unhandled exception|err_connection|err_name_not_resolved|dns_probe|core dumped|out of memory error|cuda out of memory|the requested url|could not be resolved on this server|this page isn't working|this site can't be reached|an internal error|server error in
+connection was interrupted|page you are looking for|no longer exists on this server|request could not be processed|request timed out|maintenance mode|down for maintenance|we'll be back soon|your request was blocked|incident id:|ray id:|error code:|invalid api key|unauthorized (#)|# unauthorized|# forbidden|# bad request|exit code #|npm err!|undefined is not a function|cannot read properties of
+wurde nicht gefunden.|konnte nicht verarbeitet werden|ein interner fehler|etwas ist schiefgelaufen|wartungsarbeiten|bitte versuchen sie es erneut|le serveur a rencontré|n'a pas pu être traitée|une erreur interne|page demandée n'existe pas|en cours de maintenance|un problème est survenu|temps d'attente dépassé|el servidor ha encontrado|no se pudo procesar|error inesperado|la página solicitada no existe|en mantenimiento|tiempo de espera agotado|algo salió mal
+econnrefused|etimedout|is currently unavailable|session timed out|session has timed out|please log in again|fehler ist aufgetreten|laden sie die seite neu|erreur s'est produite|rechargez la page|ha ocurrido un error|recargue la página|vuelva a cargar la página
 página no encontrada|compruebe la dirección|vuelva al inicio|error interno del servidor|inténtelo más tarde|inténtelo de nuevo|acceso denegado|su sesión ha caducado|se ha producido un error|servicio no disponible
 """
 SCRIPT_NOTICE = """
 please enable javascript|enable javascript to|enable javascript in your browser|javascript is disabled|javascript is required to|requires javascript to|you need to enable javascript|works best with javascript enabled|please turn on javascript
 turn on scripts|scripts are required|scripts and cookies are required|scripts are switched off|scripts are disabled|activate them and reload|your browser does not support|browser does not support scripting|so this content cannot be shown
 your browser blocked scripts|we're checking your browser|checking your browser before|enable cookies|<noscript>|</noscript>|in your browser to continue|please enable scripts
+this site requires javascript|this page requires javascript|this application requires javascript|this website requires javascript|only with scripts enabled|javascript must be enabled to|javascript has been disabled|javascript needs to be enabled to|turn javascript on|allow scripts|enable js and|without javascript|javascript not detected|switch on javascript|cookies and javascript
+javascript einschalten|schalten sie javascript ein|javascript wird benötigt|diese seite benötigt javascript|ohne javascript|ce site nécessite javascript|javascript est requis|javascript doit être activé|sans javascript|este sitio requiere javascript|javascript es necesario|debe habilitar javascript|sin javascript
 aktivieren sie javascript|aktivieren sie bitte javascript|javascript ist deaktiviert|javascript muss aktiviert sein, um|um diese seite anzuzeigen|ihr browser unterstützt kein|skripte sind erforderlich
 activer javascript|activez javascript|javascript est désactivé|pour afficher cette page|votre navigateur ne prend pas en charge|les scripts sont nécessaires
 active javascript|activar javascript|habilite javascript|javascript está desactivado|en su navegador para ver|su navegador no admite|se necesitan scripts
@@ -43,14 +49,20 @@ sample question about|replace me|to be written later|question text goes here|ins
 blindtext|mustertext|platzhaltertext|hier steht später|der eigentliche inhalt|er zeigt nur, wie die seite|beispieltext
 texte de remplissage|texte factice|à remplacer avant la publication|votre contenu ici|votre texte ici|faux texte
 texto de relleno|texto de ejemplo|se debe sustituir antes de publicar|aquí va el contenido|su texto aquí|contenido de ejemplo
-asdf|jkl|qwerty|qwertz|xxxx|blah|bla bla|test test|foo bar
+text will follow|content will follow|to be announced soon|this space intentionally left blank|this page intentionally left blank|nothing here yet|more text here|some text here|add your text|write something here|type your text here|test content|example text|exemple de texte|texte d'exemple|texte à venir|contenu à venir|texto provisional|próximamente|contenido próximamente|text folgt|inhalt folgt|fülltext|demnächst hier
+the quick brown fox jumps over the lazy dog|hello world|asdf|jkl|qwerty|qwertz|xxxx|blah|bla bla|test test|foo bar
 """
-SLOT_OPENINGS = ("{{", "{%", "${", "{", "<%", "<", "%(", "%s", "%d", "__", "[", "«", "xx,x", "xx.x")
+PLACEHOLDER = """
+todo:|fixme:|tbd:|xxx to be|to be completed by|insert your answer|enter your answer here|answer goes here|question goes here|antwort hier eintragen|hier die antwort|réponse à compléter|votre réponse ici|respuesta por completar|escriba aquí su respuesta
+"""
+SLOT_OPENINGS = ("%%", "#[", "{{", "{%", "${", "{", "<%", "<", "%(", "%s", "%d", "__", "[", "«", "xx,x", "xx.x")
 SLOT = re.compile(
     r"""\{\{.{0,80}?\}\}|\{%.{0,80}?%\}|\$\{[^{}]{1,60}\}|\{(?:\d{1,2}|[^\W\d][\w.]{0,40})\}|<%.{0,80}?%>
     |<(?!/?(?:html|head|title|body|noscript|p|br|div|span|a|b|i|em|strong|ul|ol|li|h\d|table|tr|td|th|img|sub|sup|code|pre)\b)[^\W\d][^<>\n]{1,40}>
     |%\(\w+\)[sd]|(?<![\w%])%[sd](?!\w)|__[^\W\d_][^\W_]*(?:_[^\W_]+)*__|«[a-z]+(?:_[a-z]+)*»|(?<!\w)[Xx]{2,}[.,][Xx]+(?!\w)
-    |\[(?:[^\W\d_a-zß-öø-ÿ]{3,}(?:[ _-][^\W\d_a-zß-öø-ÿ]+)*)\]""",
+    |\[(?:[^\W\d_a-zß-öø-ÿ]{3,}(?:[ _-][^\W\d_a-zß-öø-ÿ]+)*)\]
+    |%%[^\W\d_][\w .-]{0,40}%%|\[\[[^\[\]\n]{1,60}\]\]|\#\[[^\[\]\n]{1,40}\]|_{2,}[^\W\d_][^\W_]*(?:[ _][^\W_]+){0,4}_{2,}
+    |\[[^\[\]\n]{0,40}\b(?:insert|enter|your|add|fill|type|einfügen|eintragen|eingeben|ausfüllen|ihr|ihre|ihren|insérer|saisir|compléter|votre|indiquer|insertar|introducir|rellenar|completar|su|escriba)\b[^\[\]\n]{0,40}\]""",
     re.X | re.S,
 )
 #: Words that name a slot instead of leaving it unfilled ("the field {serial}").
@@ -66,7 +78,7 @@ _WORDISH = re.compile(r"[^\W_]+")
 @lru_cache(maxsize=1)
 def automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for kind, lines in (("filler", FILLER), ("error_page", ERROR_PAGE), ("script_notice", SCRIPT_NOTICE)):
+    for kind, lines in (("placeholder", PLACEHOLDER), ("filler", FILLER), ("error_page", ERROR_PAGE), ("script_notice", SCRIPT_NOTICE)):
         for p in lines.replace("\n", "|").split("|"):
             if p.strip():
                 a.add_word(p.strip(), (kind, len(p.strip())))
