@@ -31,8 +31,14 @@ def _slices(n: int) -> Column:
 
 
 def bridge_groups(facts: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
-    """doc_id, norm, fact_ids: phrases of two facts at least on two to `max_pages` pages; of equal sets of facts the longest phrase stays."""
-    g = phrases(facts).groupBy("doc_id", "norm").agg(F.array_sort(F.collect_set("fact_id")).alias("fact_ids"), F.countDistinct("page").alias("n_pages")).filter((F.size("fact_ids") >= 2) & F.col("n_pages").between(2, max_pages))
+    """doc_id, norm, fact_ids: phrases of two facts at least on two to `max_pages` pages; of equal sets of facts the longest phrase stays.
+
+    A phrase's facts are gathered by page, and of the pages only as many as tell that there are too many.
+    """
+    page = phrases(facts).groupBy("doc_id", "norm", "page").agg(F.collect_set("fact_id").alias("ids"))
+    some = F.row_number().over(Window.partitionBy("doc_id", "norm").orderBy(F.asc_nulls_first("page")))
+    few = page.withColumn("r", some).filter(F.col("r") <= max_pages + 2)  # enough to see that there are too many
+    g = few.groupBy("doc_id", "norm").agg(F.array_sort(F.flatten(F.collect_list("ids"))).alias("fact_ids"), F.count("page").alias("n_pages")).filter((F.size("fact_ids") >= 2) & F.col("n_pages").between(2, max_pages))
     return g.groupBy("doc_id", "fact_ids").agg(F.max_by("norm", F.struct(F.length("norm"), "norm")).alias("norm"))
 
 

@@ -84,8 +84,9 @@ def stream_fold(stream: DataFrame) -> DataFrame:
 def upsert_latest(stream: DataFrame, path: str, checkpoint: str):
     """Keeps the latest state of each run and stage as a table at `path`, by foreachBatch; a replayed batch changes nothing.
 
-    Each batch merges with the last version and is written beside it under its own number before the pointer moves, so a
-    lost executor or a restart finds a whole table.
+    Batch n merges with the table v{n - 1} and writes v{n}, whole, so the greatest complete version is the state and a lost
+    executor or a restart finds one. Only the last two versions stay, the one before for a batch that is run again. A batch
+    rewrites all states, a row per run and stage, which suits logs far larger than their states.
     """
     spark = stream.sparkSession
 
@@ -94,6 +95,8 @@ def upsert_latest(stream: DataFrame, path: str, checkpoint: str):
         if number:
             new = new.unionByName(spark.read.parquet(f"{path}/v{number - 1}")).groupBy("run", "stage").agg(F.max(F.struct("seq", "value", "k")).alias("x")).select("run", "stage", "x.*")
         new.write.mode("overwrite").parquet(f"{path}/v{number}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{number - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
