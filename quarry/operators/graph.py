@@ -117,3 +117,48 @@ def greedy_chains(pairs: DataFrame, depth: int = 4) -> DataFrame:
         longer = chains.join(best, "fact_a", "left")
         chains = longer.select("start", F.when(F.col("fact_b").isNull(), F.col("path")).otherwise(F.concat("path", F.array("fact_b"))).alias("path"), F.col("fact_b").alias("fact_a"))
     return chains.select("start", "path")
+
+
+def nearest_in_band(pairs: DataFrame, least: float = 0.1, most: float = 0.8) -> DataFrame:
+    """fact, near: the facts of a fact's page around it, nearest first, the earlier on ties, that share enough but not too much.
+
+    pairs: neighbour_pairs, so a fact has at most twice their window of such neighbours.
+    """
+    kept = pairs.filter((F.col("page_a") == F.col("page_b")) & (F.col("shared") >= least) & (F.col("shared") < most))
+    both = kept.select(F.col("fact_a").alias("fact"), F.col("fact_b").alias("other"), "distance", F.lit(1).alias("later")).unionByName(kept.select(F.col("fact_b").alias("fact"), F.col("fact_a").alias("other"), "distance", F.lit(0).alias("later")))
+    return both.groupBy("fact").agg(F.array_sort(F.collect_list(F.struct("distance", "later", "other"))).alias("n")).select("fact", F.transform("n", lambda x: x["other"]).alias("near"))
+
+
+def clusters(bridges: DataFrame, near: DataFrame) -> DataFrame:
+    """fact_a, fact_a2, fact_b, fact_b2, kind: bridge pairs with the nearest fact in band of either side.
+
+    The second lookup leaves out what the first has taken. A pair that lacks a neighbour on a side stays a `pair` of two
+    facts; others are a `cluster_2plus2`.
+    """
+    rows = bridges.select("fact_a", "fact_b").join(near.toDF("fact_a", "na"), "fact_a", "left").join(near.toDF("fact_b", "nb"), "fact_b", "left")
+    rows = rows.withColumn("a2", F.try_element_at(F.filter("na", lambda x: (x != F.col("fact_a")) & (x != F.col("fact_b"))), F.lit(1)))
+    rows = rows.withColumn("b2", F.try_element_at(F.filter("nb", lambda x: (x != F.col("fact_a")) & (x != F.col("fact_b")) & (x != F.coalesce("a2", F.lit("")))), F.lit(1)))
+    whole = F.col("a2").isNotNull() & F.col("b2").isNotNull()
+    return rows.select("fact_a", F.when(whole, F.col("a2")).alias("fact_a2"), "fact_b", F.when(whole, F.col("b2")).alias("fact_b2"), F.when(whole, "cluster_2plus2").otherwise("pair").alias("kind"))
+
+
+# Which roles are taken first for single facts; examples are never taken.
+ROLE_RANK = {"definition": 0, "rule": 1, "condition": 2, "constraint": 3, "consequence": 4, "exception": 5}
+
+
+def single_chains(facts: DataFrame, score: Column, limit: int = 12, words: tuple[int, int] = (6, 60)) -> DataFrame:
+    """doc_id, fact_id, place: at most `limit` facts of each document, for questions of one hop.
+
+    First the best fact of each page, then the next best of all; by score, page, role and length. facts: doc_id, fact_id,
+    text, page_start.
+    """
+    text, kind = F.col("text"), role(F.col("text"))
+    rank = F.lit(6)
+    for name, place in ROLE_RANK.items():
+        rank = F.when(kind == name, place).otherwise(rank)
+    n = F.size(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    use = facts.filter(n.between(*words) & (kind != "example")).select("doc_id", "fact_id", (-score).alias("s"), F.coalesce("page_start", F.lit(0)).alias("page"), rank.alias("role"), F.length(text).alias("l"))
+    order = ["s", "page", "role", "l", "fact_id"]
+    first = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy(*order)) > 1
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("again", *order))
+    return use.withColumn("again", first).withColumn("place", place).filter(F.col("place") <= limit).select("doc_id", "fact_id", "place")

@@ -281,3 +281,31 @@ def rerank_complementary(candidates: DataFrame, k: int) -> DataFrame:
             yield pd.DataFrame(out, columns=["ret_id", "chunk_id", "rank", "objective"])
 
     return lists.mapInPandas(run, "ret_id long, chunk_id string, rank int, objective double")
+
+
+def distractors(near: DataFrame, group: DataFrame, least: float, per: int = 2) -> DataFrame:
+    """query_id, vec_id, score: up to `per` vectors of another group near each query vector, none for two of them.
+
+    near: query_id, vec_id, score (see nearest); group: vec_id, group, the page or chain of a vector. A vector near to several
+    queries goes to the nearest one, the smaller id on ties, before the best of each query are taken.
+    """
+    g = group.select("vec_id", "group")
+    off = near.filter(F.col("score") >= least).join(g.toDF("query_id", "own"), "query_id").join(g, "vec_id").filter(~F.col("own").eqNullSafe(F.col("group")))
+    once = off.groupBy("vec_id").agg(F.min_by(F.struct("query_id", "score"), F.struct(-F.col("score"), "query_id")).alias("x")).select("x.query_id", "vec_id", "x.score")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return once.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per).drop("r")
+
+
+def vector_clusters(vectors: DataFrame, k: int, seed: int = 42, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """vec_id, cluster: k-means over the vectors at unit length. Null vectors are left out; fewer vectors than k give as many clusters; none give none."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    use = vectors.filter(F.col(vector).isNotNull()).select(vec_id, F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    use = use.select(vec_id, array_to_vector(F.transform("v", lambda x: F.when(norm > 0, x / norm).otherwise(0.0))).alias("features"))
+    n = use.limit(k + 1).count()
+    if n == 0:
+        return use.select(vec_id, F.lit(0).alias("cluster"))
+    model = KMeans(k=max(1, min(k, n)), seed=seed, initMode="k-means||").fit(use) if n > 1 else None
+    return model.transform(use).select(vec_id, F.col("prediction").alias("cluster")) if model else use.select(vec_id, F.lit(0).alias("cluster"))

@@ -44,11 +44,14 @@ def gr_bridge_groups(spark: SparkSession, d: str) -> DataFrame:
 _OWN = "list_filter({0}, lambda x: NOT list_contains(string_split(norm, ' '), x))"
 
 
-@q("gr_bridge_pairs", f"""{_FA},\n{_PHRASES},
+_BRIDGES = f"""{_FA},\n{_PHRASES},
 cf AS (SELECT fact_id, page_start AS page, {_CONTENT.format('text')} AS c FROM fa), ex AS (SELECT norm, unnest(fact_ids) AS fact_a, fact_ids FROM bg), pr AS (SELECT norm, fact_a, unnest(fact_ids) AS fact_b FROM ex),
 sc AS (SELECT norm, fact_a, fact_b, {_OWN.format('a.c')} AS x, {_OWN.format('b.c')} AS y FROM pr JOIN cf a ON a.fact_id = fact_a JOIN cf b ON b.fact_id = fact_b WHERE fact_a < fact_b AND a.page <> b.page),
 jo AS (SELECT *, round(CASE WHEN len(x) > 0 AND len(y) > 0 THEN len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) ELSE 0.0 END, 6) AS overlap FROM sc)
-SELECT fact_a, fact_b, max_by(norm, (length(norm), norm)) AS norm, max_by(overlap, (length(norm), norm)) AS overlap FROM jo WHERE overlap < 0.6::DOUBLE GROUP BY 1, 2""")
+SELECT fact_a, fact_b, max_by(norm, (length(norm), norm)) AS norm, max_by(overlap, (length(norm), norm)) AS overlap FROM jo WHERE overlap < 0.6::DOUBLE GROUP BY 1, 2"""
+
+
+@q("gr_bridge_pairs", _BRIDGES)
 def gr_bridge_pairs(spark: SparkSession, d: str) -> DataFrame:
     return G.bridge_pairs(_facts(spark, d))
 
@@ -67,6 +70,18 @@ def gr_neighbour_pairs(spark: SparkSession, d: str) -> DataFrame:
     return G.neighbour_pairs(_facts(spark, d))
 
 
+_BAND = "nb AS (SELECT f, list(c ORDER BY distance, later) AS cs FROM (SELECT fact_a AS f, fact_b AS c, distance, 1 AS later, page_a, page_b, shared FROM ns UNION ALL SELECT fact_b, fact_a, distance, 0, page_a, page_b, shared FROM ns) WHERE page_a = page_b AND shared >= 0.1::DOUBLE AND shared < 0.8::DOUBLE GROUP BY 1)"
+
+
+@q("gr_clusters", f"""{_FA},\n{_PAIRS},\n{_BAND},\nbp AS ({_BRIDGES.replace(_FA, 'WITH zz AS (SELECT 1)', 1)}),
+c1 AS (SELECT fact_a, fact_b, list_filter(a.cs, lambda x: x <> fact_a AND x <> fact_b)[1] AS a2, b.cs AS bcs FROM bp LEFT JOIN nb a ON a.f = fact_a LEFT JOIN nb b ON b.f = fact_b), c2 AS (SELECT fact_a, fact_b, a2, list_filter(bcs, lambda x: x <> fact_a AND x <> fact_b AND x <> coalesce(a2, ''))[1] AS b2 FROM c1)
+SELECT fact_a, CASE WHEN b2 IS NOT NULL THEN a2 END AS fact_a2, fact_b, CASE WHEN a2 IS NOT NULL THEN b2 END AS fact_b2, CASE WHEN a2 IS NOT NULL AND b2 IS NOT NULL THEN 'cluster_2plus2' ELSE 'pair' END AS kind FROM c2""")
+def gr_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Bridge pairs grown to clusters of four by the nearest fact in band of either side."""
+    f = _facts(spark, d)
+    return G.clusters(G.bridge_pairs(f), G.nearest_in_band(G.neighbour_pairs(f)))
+
+
 _SCHED = "s1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fact_a ORDER BY score DESC, fact_b) AS r1 FROM ns) WHERE r1 <= 2), s2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_a, page_b ORDER BY score DESC, fact_a, fact_b) AS r2 FROM s1) WHERE r2 <= 24)"
 
 
@@ -200,13 +215,6 @@ def gr_greedy_chains(spark: SparkSession, d: str) -> DataFrame:
     return G.greedy_chains(G.neighbour_pairs(_facts(spark, d)))
 
 
-@q("gr_single_chains", with_("fa", "SELECT doc_id, fact_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_start ORDER BY length(text) DESC, fact_id) AS r FROM fa) WHERE r = 1"))
-def gr_single_chains(spark: SparkSession, d: str) -> DataFrame:
-    """One fact a page, the longest, for questions of one hop."""
-    w = Window.partitionBy("doc_id", "page_start").orderBy(F.desc(F.length("text")), "fact_id")
-    return _facts(spark, d).withColumn("r", F.row_number().over(w)).filter("r = 1").select("doc_id", "fact_id")
-
-
 @q("gr_distractors", f"{_FA},\n{_PAIRS}\nSELECT fact_b AS distractor, min_by(fact_a, (-shared, fact_a)) AS fact_id FROM ns WHERE page_a <> page_b AND shared BETWEEN 0.1::DOUBLE AND 0.6::DOUBLE GROUP BY 1")
 def gr_distractors(spark: SparkSession, d: str) -> DataFrame:
     """Facts off the page that share something with another; each serves the one it is nearest to, once."""

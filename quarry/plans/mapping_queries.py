@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import predicates as P
@@ -142,18 +142,53 @@ def gr_vector_groups(spark: SparkSession, d: str) -> DataFrame:
     return components(e.select(F.col("vec_id").alias("node")), R.alike(e, 0.3)).groupBy("group").agg(F.count(F.lit(1)).alias("n"))
 
 
+@q("gr_kmeans_groups")
+def gr_kmeans_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Ten clusters of the vectors by k-means, and how pure they are in the vectors' own labels."""
+    e = table(spark, d, "embeddings").filter("vec_id is not null").dropDuplicates(["vec_id"])
+    c = R.vector_clusters(e, 10).join(e.select("vec_id", "label"), "vec_id").groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("c"))
+    return c.groupBy("cluster").agg(F.sum("c").alias("n"), F.round(F.max("c") / F.sum("c"), 6).alias("purity"))
+
+
+@q("gr_vector_distractors", """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, a.label AS own, b.label,
+  round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)) + 1e-10), 6) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)) WHERE rank <= 20),
+  one AS (SELECT min_by(query_id, (-score, query_id)) AS query_id, vec_id, max(score) AS score FROM nn WHERE score >= 0.2::DOUBLE AND own IS DISTINCT FROM label GROUP BY vec_id)
+  SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM one) WHERE r <= 2""")
+def gr_vector_distractors(spark: SparkSession, d: str) -> DataFrame:
+    """For every twentieth vector the two nearest of another label that no other one has."""
+    e = table(spark, d, "embeddings")
+    return R.distractors(R.nearest(e, e.filter("vec_id % 20 = 0"), 20), e.select("vec_id", F.col("label").alias("group")), 0.2)
+
+
 _LEAD = "substr(lower(t), 1, 60)"
 
 
-@q("fi_fallback_score", with_("fa", rf"""SELECT score, count(*) AS n FROM (SELECT CASE WHEN t = '' OR NOT regexp_matches(t, '^[^A-Za-z]*[A-Z]') OR {"regexp_matches(t, '" + P.DEICTIC_OPENER + "')"} THEN 0 WHEN regexp_matches(t, '^[A-Z][a-zA-Z].*\b(is|are|was|were|defines?|refers? to|involves?|requires?|specifies?|consists?\s+of|represents?|enables?|allows?)\b') AND NOT regexp_matches({_LEAD}, '\bis\s+(like|similar to|also\b|part of)') THEN CASE WHEN t LIKE '%.' THEN 4 ELSE 3 END
-  WHEN regexp_matches(t, '^(A|An|The)\s+[A-Za-z]') AND t LIKE '%.' THEN 3 WHEN t LIKE '%.' THEN 2 ELSE 1 END AS score FROM (SELECT trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM fa)) GROUP BY 1"""))
+_ALONE = rf"""CASE WHEN t = '' OR NOT regexp_matches(t, '^[^A-Za-z]*[A-Z]') OR {"regexp_matches(t, '" + P.DEICTIC_OPENER + "')"} THEN 0 WHEN regexp_matches(t, '^[A-Z][a-zA-Z].*\b(is|are|was|were|defines?|refers? to|involves?|requires?|specifies?|consists?\s+of|represents?|enables?|allows?)\b') AND NOT regexp_matches({_LEAD}, '\bis\s+(like|similar to|also\b|part of)') THEN CASE WHEN t LIKE '%.' THEN 4 ELSE 3 END
+  WHEN regexp_matches(t, '^(A|An|The)\s+[A-Za-z]') AND t LIKE '%.' THEN 3 WHEN t LIKE '%.' THEN 2 ELSE 1 END"""
+
+
+@q("fi_fallback_score", with_("fa", rf"""SELECT score, count(*) AS n FROM (SELECT {_ALONE} AS score FROM (SELECT trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM fa)) GROUP BY 1"""))
 def fi_fallback_score(spark: SparkSession, d: str) -> DataFrame:
     """How well a fact stands alone, 0 to 4."""
-    t = T.squeeze(F.col("text"))
+    return V.facts(table(spark, d, "chunks")).groupBy(_alone(F.col("text")).alias("score")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _alone(text: Column) -> Column:
+    t = T.squeeze(text)
     ends, lead = t.endswith("."), F.substring(F.lower(t), 1, 60)
     defines = t.rlike(r"^[A-Z][a-zA-Z].*\b(is|are|was|were|defines?|refers? to|involves?|requires?|specifies?|consists?\s+of|represents?|enables?|allows?)\b") & ~lead.rlike(r"\bis\s+(like|similar to|also\b|part of)")
-    score = F.when((t == "") | ~t.rlike("^[^A-Za-z]*[A-Z]") | t.rlike(P.DEICTIC_OPENER), 0).when(defines, F.when(ends, 4).otherwise(3)).when(t.rlike(r"^(A|An|The)\s+[A-Za-z]") & ends, 3).when(ends, 2).otherwise(1)
-    return V.facts(table(spark, d, "chunks")).groupBy(score.alias("score")).agg(F.count(F.lit(1)).alias("n"))
+    return F.when((t == "") | ~t.rlike("^[^A-Za-z]*[A-Z]") | t.rlike(P.DEICTIC_OPENER), 0).when(defines, F.when(ends, 4).otherwise(3)).when(t.rlike(r"^(A|An|The)\s+[A-Za-z]") & ends, 3).when(ends, 2).otherwise(1)
+
+
+_ROLE = "CASE " + " ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN '{r}'" for r, p in P.ROLES) + " ELSE 'definition' END"
+_RANK = "CASE role " + " ".join(f"WHEN '{r}' THEN {n}" for r, n in G.ROLE_RANK.items()) + " ELSE 6 END"
+
+
+@q("gr_single_chains", with_("fa", rf"""SELECT doc_id, fact_id, place FROM (SELECT doc_id, fact_id, row_number() OVER (PARTITION BY doc_id ORDER BY again, s, page, r, l, fact_id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY s, page, r, l, fact_id) > 1 AS again FROM (
+  SELECT doc_id, fact_id, -({_ALONE}) AS s, coalesce(page_start, 0) AS page, {_RANK} AS r, length(text) AS l FROM (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t, {_ROLE} AS role FROM fa) WHERE role <> 'example' AND len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')) BETWEEN 6 AND 60))) WHERE place <= 12"""))
+def gr_single_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Up to twelve facts of each document for questions of one hop: one a page, then the next best."""
+    return G.single_chains(V.facts(table(spark, d, "chunks")), _alone(F.col("text")))
 
 
 _GENERIC = r"(?i)\b(elaborates?\s+on|provides?\s+(?:additional\s+)?context|related\s+to|same\s+(?:concept|topic|subject|idea|thing)|similar\s+(?:concept|topic|subject|idea)|further\s+(?:describes|explains|discusses)|additional\s+information|more\s+specific\s+description)\b"

@@ -161,3 +161,23 @@ def test_greedy_chains_follow_the_best_next_fact(spark):
     p = spark.createDataFrame([("a", "b", 0.1, 1), ("a", "c", 0.3, 2), ("c", "d", 0.2, 1), ("c", "e", 0.2, 2), ("d", "e", 0.1, 1), ("e", "f", 0.1, 1)], "fact_a string, fact_b string, score double, distance int")
     got = {r.start: r.path for r in G.greedy_chains(p).collect()}
     assert got == {"a": ["a", "c", "d", "e"], "c": ["c", "d", "e", "f"], "d": ["d", "e", "f"], "e": ["e", "f"]}
+
+
+def test_clusters_take_the_nearest_in_band_once(spark):
+    from quarry.operators import graph as G
+
+    pairs = spark.createDataFrame([("a", "x", 1, 1, 1, 0.5), ("w", "a", 1, 1, 1, 0.5), ("a", "y", 2, 1, 1, 0.9), ("b", "x", 1, 1, 1, 0.3), ("b", "z", 2, 1, 1, 0.3), ("c", "q", 1, 1, 2, 0.5)], "fact_a string, fact_b string, distance int, page_a int, page_b int, shared double")
+    near = G.nearest_in_band(pairs)
+    assert {r.fact: r.near for r in near.collect()}["a"] == ["w", "x"]
+    bridges = spark.createDataFrame([("a", "b"), ("b", "x"), ("c", "a")], "fact_a string, fact_b string")
+    got = {(r.fact_a, r.fact_b): (r.fact_a2, r.fact_b2, r.kind) for r in G.clusters(bridges, near).collect()}
+    assert got == {("a", "b"): ("w", "x", "cluster_2plus2"), ("b", "x"): ("z", "a", "cluster_2plus2"), ("c", "a"): (None, None, "pair")}
+
+
+def test_single_chains_take_a_page_each_before_they_fill(spark):
+    from quarry.operators import graph as G
+
+    rows = [(1, f"F{i}", f"The pump number {i} means a device that moves water upward.", p) for i, p in enumerate([1, 1, 1, 2, 3])] + [(1, "F8", "For example, such as a pump that moves water.", 4), (1, "F9", "Too short.", 5)]
+    f = spark.createDataFrame(rows, "doc_id long, fact_id string, text string, page_start int")
+    got = [r.fact_id for r in G.single_chains(f, F.lit(1), limit=4).orderBy("place").collect()]
+    assert got == ["F0", "F3", "F4", "F1"]

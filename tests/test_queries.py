@@ -16,7 +16,7 @@ from quarry.plans import registry  # noqa: E402
 #: Queries that SQL can't express, and the tests of what they do.
 BY_BRUTE_FORCE = {
     "tx_recursive_chunks": ("test_text.py", "test_recursive_ranges_cover"), "tx_sentence_chunks": ("test_text.py", "test_sentence_packing_carries_overlap"), "rt_complementary": ("test_retrieval.py", "test_complementary_prefers_new_pages"), "dd_greedy_questions": ("test_operators.py", "test_greedy_unlike"),
-    "nl_pair_scores": ("test_operators.py", "test_scored_asks_once_and_keeps_known"), "mx_fuzzy_alignment": ("test_alignment.py", "test_nearest_window_equals_trying_all"), "gr_sampled_pairs": ("test_operators.py", "test_sampled_pairs"), "gr_vector_groups": ("test_retrieval.py", "test_vector_groups_equal_brute_force"),
+    "nl_pair_scores": ("test_operators.py", "test_scored_asks_once_and_keeps_known"), "mx_fuzzy_alignment": ("test_alignment.py", "test_nearest_window_equals_trying_all"), "gr_sampled_pairs": ("test_operators.py", "test_sampled_pairs"), "gr_kmeans_groups": ("test_retrieval.py", "test_vector_clusters_find_blobs"), "gr_vector_groups": ("test_retrieval.py", "test_vector_groups_equal_brute_force"),
     "dd_yield": ("test_chains.py", "test_yield_equals_the_whole_sequence"),
 }
 

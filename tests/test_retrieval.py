@@ -160,3 +160,19 @@ def test_retriever_by_name(spark):
     assert {(r.chunk_id, r["rank"]) for r in got} == {("2", 1), ("1", 2)}
     with pytest.raises(ValueError):
         retriever("none")
+
+
+def test_distractors_are_of_another_group_and_used_once(spark):
+    near = spark.createDataFrame([(1, 10, 0.9), (1, 11, 0.8), (1, 12, 0.7), (1, 13, 0.1), (2, 11, 0.85), (2, 12, 0.7), (2, 14, 0.6)], "query_id long, vec_id long, score double")
+    group = spark.createDataFrame([(1, 0), (2, 0), (10, 0), (11, 1), (12, 1), (13, 1), (14, None)], "vec_id long, group int")
+    got = {tuple(r) for r in R.distractors(near, group, 0.5, 2).collect()}
+    assert got == {(2, 11, 0.85), (1, 12, 0.7), (2, 14, 0.6)}
+
+
+def test_vector_clusters_find_blobs(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.05, 4) + np.eye(4)[i % 3]]) for i in range(90)] + [(900, None)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.cluster for r in R.vector_clusters(v, 3).collect()}
+    assert set(got) == set(range(90)) and all(len({got[i] for i in range(k, 90, 3)}) == 1 for k in range(3)) and len(set(got.values())) == 3
+    assert R.vector_clusters(v.limit(0), 3).count() == 0 and R.vector_clusters(v.filter("vec_id < 2"), 3).count() == 2
