@@ -23,12 +23,14 @@ def greedy_unlike(rows: DataFrame, group: str, item: str, tokens: str, order: st
     def run(p: pd.DataFrame) -> pd.DataFrame:
         kept: list[set] = []
         out = []
-        for _, r in p.sort_values([order, item], ascending=[False, True]).iterrows():
-            t = set(r[tokens])
-            dup = any(t and k and len(t & k) / len(t | k) >= alike for k in kept)
-            if not dup:
+        p = p.sort_values([order, item], ascending=[False, True])
+        for g, i, words in zip(p[group], p[item], p[tokens]):
+            t = set(words)
+            # sets of too different a size can't be alike
+            dup = any(len(k) * alike <= len(t) <= len(k) / alike and len(t & k) / len(t | k) >= alike for k in kept) if t else False
+            if not dup and t:
                 kept.append(t)
-            out.append((r[group], r[item], not dup))
+            out.append((g, i, not dup))
         return pd.DataFrame(out, columns=[group, item, "kept"])
 
     kind = {c: rows.schema[c].dataType.simpleString() for c in (group, item)}
