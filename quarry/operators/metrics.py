@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import share_held, tokens
+from quarry.operators.overlap import overlaps, possible, sketches
 
 KS = (1, 3, 5, 10)
 #: Share of a unit's tokens that one chunk must hold.
@@ -113,23 +114,31 @@ def layers(ranked: DataFrame, required: DataFrame, texts: DataFrame) -> DataFram
 
     It is retrieved if its id is in the list; present in words if one retrieved chunk holds IN_WORDS of its distinct tokens;
     present by vector if the cosine with one retrieved chunk, of counts of tokens, reaches BY_VECTOR. ranked: ret_id, q_id,
-    chunk_id; required: q_id, chunk_id; texts: chunk_id, text. Each pair of chunks is scored once, however many lists hold it;
-    a list without chunks or with unknown ones has nothing present.
+    chunk_id; required: q_id, chunk_id; texts: chunk_id, text. A list without chunks or with unknown ones has nothing present.
+
+    Each pair of chunks is met once for each question, however many lists hold it. Sketches, a byte a token, are shuffled to the
+    questions; texts follow only for the pairs whose sketches leave it open that they reach a threshold. Gathered are the chunks of one
+    list, the evidence of one question, and the other chunks its lists hold that reach a threshold.
     """
-    lists = ranked.select("ret_id", "q_id", "chunk_id").distinct()
-    counted = texts.select("chunk_id", tokens(F.col("text")).alias("t")).select("chunk_id", F.array_distinct("t").alias("u"), F.transform(F.array_sort(F.array_distinct("t")), lambda w: F.size(F.filter("t", lambda x: x == w))).alias("n"), F.array_sort(F.array_distinct("t")).alias("w"))
-    wanted = lists.select("ret_id", "q_id").distinct().join(required, "q_id")
-    met = wanted.join(lists.select("ret_id", F.col("chunk_id").alias("other")), "ret_id")
-    pairs = met.select("chunk_id", "other").distinct().join(counted.select("chunk_id", "u", "n", "w"), "chunk_id").join(counted.select(F.col("chunk_id").alias("other"), F.col("u").alias("ou"), F.col("n").alias("on"), F.col("w").alias("ow")), "other")
-    norm = lambda n: F.sqrt(F.aggregate(n, F.lit(0.0), lambda s, x: s + x * x))
-    both = F.map_from_arrays("ow", "on")
-    dot = F.aggregate(F.zip_with("w", "n", lambda w, n: n * F.coalesce(F.try_element_at(both, w), F.lit(0))), F.lit(0.0), lambda s, x: s + x)
-    scored = pairs.select("chunk_id", "other", F.round(ratio(F.size(F.array_intersect("u", "ou")), F.size("u")), 6).alias("held"), F.round(ratio(dot, norm(F.col("n")) * norm(F.col("on"))), 6).alias("cosine"))
-    best = met.join(scored, ["chunk_id", "other"]).groupBy("ret_id", "chunk_id").agg(F.max("held").alias("held"), F.max("cosine").alias("cosine"))
-    hit = lists.select("ret_id", "chunk_id", F.lit(True).alias("retrieved"))
+    lists = ranked.groupBy("ret_id", "q_id").agg(F.collect_set("chunk_id").alias("ids"))
+    sketched = sketches(texts)
+    wanted = required.join(sketched, "chunk_id", "left")
+    worded = F.col("sketch").isNotNull() & F.col("n").isNotNull() & F.col("squares").isNotNull()  # all columns, so that one shuffle of sketches serves all joins
+    asked = lists.join(wanted.groupBy("q_id").agg(F.collect_list(F.struct("chunk_id", worded.alias("worded"))).alias("wanted")), "q_id")
+    others = lists.join(required.select("q_id").distinct(), "q_id", "left_semi").select("q_id", F.explode("ids").alias("other")).distinct()
+    met = others.join(sketched, others["other"] == sketched["chunk_id"]).select("q_id", "other", F.col("sketch").alias("osketch"), F.col("n").alias("on"), F.col("squares").alias("osquares"))
+    met = met.join(required.join(sketched, "chunk_id"), "q_id").filter("chunk_id <> other")
+    close = possible(met, IN_WORDS, BY_VECTOR)
+    scored = overlaps(close.join(texts.select("chunk_id", "text"), "chunk_id").join(texts.select(F.col("chunk_id").alias("other"), F.col("text").alias("otext")), "other"), "text", "otext")
+    held, cosine = F.round(ratio(F.col("shared"), F.col("n")), 6), F.round(ratio(F.col("dot"), F.sqrt("squares") * F.sqrt("osquares")), 6)
+    found = scored.select("q_id", "chunk_id", "other", (held >= IN_WORDS).alias("in_words"), (cosine >= BY_VECTOR).alias("by_vector")).filter("in_words or by_vector")
+    by = found.groupBy("q_id", "chunk_id").agg(*(F.collect_set(F.when(F.col(c), F.col("other"))).alias(c) for c in ("in_words", "by_vector")))
+    rows = asked.join(by.groupBy("q_id").agg(F.collect_list(F.struct("chunk_id", "in_words", "by_vector")).alias("found")), "q_id", "left").select("ret_id", "q_id", "ids", "found", F.explode("wanted").alias("w"))
     flag = lambda c: F.coalesce(c, F.lit(False))
-    rows = wanted.join(hit, ["ret_id", "chunk_id"], "left").join(best, ["ret_id", "chunk_id"], "left")
-    return rows.select("ret_id", "q_id", "chunk_id", flag(F.col("retrieved")).alias("retrieved"), flag(F.col("held") >= IN_WORDS).alias("in_words"), flag(F.col("cosine") >= BY_VECTOR).alias("by_vector"))
+    near = lambda layer: F.exists("found", lambda f: (f.chunk_id == F.col("w.chunk_id")) & F.arrays_overlap(f[layer], F.col("ids")))
+    retrieved = F.array_contains("ids", F.col("w.chunk_id"))
+    itself = retrieved & flag(F.col("w.worded"))
+    return rows.select("ret_id", "q_id", "w.chunk_id", retrieved.alias("retrieved"), (itself | flag(near("in_words"))).alias("in_words"), (itself | flag(near("by_vector"))).alias("by_vector"))
 
 
 def layered(rows: DataFrame) -> DataFrame:

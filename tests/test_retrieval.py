@@ -176,3 +176,31 @@ def test_vector_clusters_find_blobs(spark):
     got = {r.vec_id: r.cluster for r in R.vector_clusters(v, 3).collect()}
     assert set(got) == set(range(90)) and all(len({got[i] for i in range(k, 90, 3)}) == 1 for k in range(3)) and len(set(got.values())) == 3
     assert R.vector_clusters(v.limit(0), 3).count() == 0 and R.vector_clusters(v.filter("vec_id < 2"), 3).count() == 2
+
+
+def test_layers_compare_texts_of_few_pairs(spark, monkeypatch):
+    rng, compared, plain = np.random.default_rng(5), [], M.overlaps
+    words = np.array([f"w{i}" for i in range(400)])
+    texts = {f"c{i}": " ".join(rng.choice(words, int(rng.integers(1, 60)))) for i in range(60)} | {"one": "w1 " * 700 + "w2 w2 w3", "none": "- -"}
+    texts |= {f"{k}_near": v + " w1" for k, v in list(texts.items())[:25]}
+    names = list(texts)
+    lists = {i: list(dict.fromkeys(rng.choice(names, 12))) for i in range(40)}
+    required = {f"q{i}": list(dict.fromkeys([*rng.choice(names, 3), "one", "none"])) for i in range(10)}
+    monkeypatch.setattr(M, "overlaps", lambda pairs, *a: compared.append(pairs.count()) or plain(pairs, *a))
+    got = M.layers(
+        spark.createDataFrame([(i, f"q{i % 10}", c) for i, cs in lists.items() for c in cs], "ret_id long, q_id string, chunk_id string"),
+        spark.createDataFrame([(k, c) for k, cs in required.items() for c in cs], "q_id string, chunk_id string"),
+        spark.createDataFrame(list(texts.items()), "chunk_id string, text string"),
+    )
+    count = {k: Counter(re.findall("[a-z0-9]+", v)) for k, v in texts.items()}
+
+    def near(x, y):
+        a, b = count[x], count[y]
+        dot, size = sum(a[w] * b[w] for w in a), math.sqrt(sum(v * v for v in a.values())) * math.sqrt(sum(v * v for v in b.values()))
+        return bool(a) and round(len(a.keys() & b.keys()) / len(a), 6) >= M.IN_WORDS, size > 0 and round(dot / size, 6) >= M.BY_VECTOR
+
+    want = {(i, x): (x in held, any(near(x, y)[0] for y in held), any(near(x, y)[1] for y in held)) for i, held in lists.items() for x in required[f"q{i % 10}"]}
+    assert {(r.ret_id, r.chunk_id): (r.retrieved, r.in_words, r.by_vector) for r in got.collect()} == want
+    pairs = {(x, y) for i, held in lists.items() for x in required[f"q{i % 10}"] for y in held if x != y}
+    assert {len(x) for x in (want.values())} == {3} and any(v[1] and not v[0] for v in want.values())
+    assert len(compared) == 1 and compared[0] < 0.2 * len(pairs)
