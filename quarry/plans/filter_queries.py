@@ -11,6 +11,7 @@ from quarry.functions import pair_checks as C
 from quarry.functions import predicates as P
 from quarry.functions import text as T
 from quarry.functions import views as V
+from quarry.functions.reasons import reason_counts
 from quarry.plans.named import register
 from quarry.plans.oracle import tok, with_
 from quarry.session import table
@@ -103,8 +104,7 @@ _PARTS = """(SELECT text, 'unit' AS part FROM fa UNION ALL SELECT text, 'line' F
 def fi_reject_reasons(spark: SparkSession, d: str) -> DataFrame:
     """Both tiers over facts and over all lines of documents, headings, tables and lists included."""
     rows = V.facts(table(spark, d, "chunks")).select("text", F.lit("unit").alias("part")).unionByName(V.lines(table(spark, d, "documents")).select("text", F.lit("line").alias("part")))
-    text = F.col("text")
-    return rows.groupBy("part", F.coalesce(P.strict_reason(text), F.lit("kept")).alias("strict"), F.coalesce(P.relaxed_reason(text), F.lit("kept")).alias("relaxed")).agg(F.count(F.lit(1)).alias("n"))
+    return reason_counts(rows, "part", "text")
 
 
 @q("fi_adaptive_reasons", with_("fa", f"""SELECT tier, coalesce(reason, 'kept') AS reason, count(*) AS n FROM (SELECT tier, CASE tier WHEN 'strict' THEN {_STRICT} WHEN 'relaxed' THEN {_relaxed('front')} ELSE {_MINIMAL} END AS reason FROM

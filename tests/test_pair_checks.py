@@ -1,10 +1,13 @@
 """The twenty pair checks and the reject rules on sentences whose verdict is known."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import pair_checks as C
 from quarry.functions import predicates as P
+from quarry.functions.reasons import reason_counts
 
 SOUND = ("Why is the nitrogen purge of Kelvar pipes preferred over an argon purge?", "It is preferred because nitrogen keeps the root of the weld free of oxide at a lower cost.", ["Nitrogen keeps the root of the weld free of oxide while it costs less than argon."])
 CASES = [
@@ -75,3 +78,18 @@ def test_strict_rules(spark, text, want):
 def test_relaxed_rules(spark, text, raw, score, front, want):
     d = spark.createDataFrame([(text, raw, score, front)], "t string, r string, s double, f boolean")
     assert d.select(P.relaxed_reason(F.col("t"), F.col("r"), F.col("s"), F.col("f")).alias("x")).first().x == want
+
+
+def test_reasons_of_batches_equal_those_of_columns(spark):
+    """The batched rules against the column rules: known verdicts, their mixtures, words in capitals."""
+    known = [m.args[1] for f in (test_strict_rules, test_relaxed_rules) for m in f.pytestmark if m.name == "parametrize"]
+    texts = [case[0] for cases in known for case in cases]
+    rng = random.Random(3)
+    pieces = [w for t in texts for w in t.split()] + ["ROOT", "A1-B", "ÉTÉ", "10-12", "ISO 9001,", "EN 10204,", "abc1", "...", "…", "•", "--", "a)", "is", "INDEX", ":", ""]
+    texts += [" ".join(rng.choice(pieces) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    texts += [" ".join(rng.choice(["ROOT", "WELD", "AB", "C", "x", "7", "the", "GAS-2"]) for _ in range(rng.randint(1, 9))) for _ in range(1000)] + [None, "", "  "]
+    d = spark.createDataFrame([("line", t) for t in texts], "part string, text string")
+    t = F.col("text")
+    want = {(r.part, r.s, r.r): r.n for r in d.groupBy("part", F.coalesce(P.strict_reason(t), F.lit("kept")).alias("s"), F.coalesce(P.relaxed_reason(t), F.lit("kept")).alias("r")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    got = {(r.part, r.strict, r.relaxed): r.n for r in reason_counts(d, "part", "text").collect()}
+    assert got == want and len(want) > 30
